@@ -70,7 +70,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document: each counts in ``group_size`` and each is returned with the same
     ``kept``.  Among rows without id the group's null is the id that stays.
     """
-    groups = duplicate_groups(docs, id_col, text_col, **options)
+    # written, so that both sides of the join are plain exchanges and a hot text can be split
+    groups = materialize(duplicate_groups(docs, id_col, text_col, **options), "dedup-groups")
     rows = docs.select(F.col(id_col), F.sha2(_text(text_col), 256).alias("text_sha256"))
     # a text without group stands for itself; within a group keep_id is null only if no row has an id
     keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
