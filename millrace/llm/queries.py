@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
@@ -34,6 +34,34 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n: which fold a document is in."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(_remainder(5) != 0))
+    found = identify(docs, model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "margin", "ambiguous")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from millrace.llm.toxicity import train
+
+    return train(docs, table(spark, sf_dir, "labels").where(_remainder(3) != 1))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import score
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, toxicity_model(spark, docs, sf_dir))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.winnowing import contamination
 
@@ -88,6 +116,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_winnowing": op6_winnowing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,
