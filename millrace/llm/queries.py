@@ -48,6 +48,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "margin", "ambiguous")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     from millrace.llm.toxicity import train
 
@@ -97,6 +103,12 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, good) of pages whose url names a labelled document: /<lang>/<doc_id>."""
     from millrace.llm.url_filter import split_url
@@ -117,9 +129,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_winnowing": op6_winnowing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_html_extract": op8_html_extract,
     "op10_url_filter": op10_url_filter,
 }
 
