@@ -96,12 +96,8 @@ def _outside(text: str, mark: str) -> str:
 
 
 def lexicon_counts(text: str, shortest: int = 4, longest: int = 8) -> set[str]:
-    """Candidate entries of a text: each word, and its beginnings of ``shortest`` to ``longest`` letters."""
-    found = set()
-    for word in set(fold(text).split()):
-        found.add(f" {word} ")
-        found.update(f" {word[:k]}" for k in range(shortest, min(longest, len(word)) + 1))
-    return found
+    """Candidate entries of a text: beginnings of its words, of ``shortest`` to ``longest`` letters."""
+    return {f" {word[:k]}" for word in set(fold(text).split()) for k in range(shortest, min(longest, len(word)) + 1)}
 
 
 @dataclass
@@ -197,7 +193,7 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    sample_rows: int = 20_000,
+    sample_rows: int = 12_000,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """Learn lexicon and logistic model from about ``sample_rows`` labelled rows.
@@ -222,13 +218,19 @@ def train(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = {(toxic, learns): Counter() for toxic in (True, False) for learns in (True, False)}
+            counts = {key: Counter() for key in names.values()}
             for toxic, learns, text in zip(*(c.to_pylist() for c in batch.columns)):
                 counts[toxic, learns].update(lexicon_counts(text))
                 counts[toxic, learns][""] += 1
-            entries = list({}.fromkeys(e for c in counts.values() for e in c))
-            columns = {name: pa.array([counts[key][e] for e in entries], pa.int64()) for name, key in names.items()}
-            yield pa.RecordBatch.from_pydict({"entry": pa.array(entries, pa.string())} | columns)
+                if sum(map(len, counts.values())) > 200_000:  # what a worker holds is bounded
+                    yield table_of(counts)
+                    counts = {key: Counter() for key in names.values()}
+            yield table_of(counts)
+
+    def table_of(counts: dict[tuple[bool, bool], Counter]) -> pa.RecordBatch:
+        entries = list({}.fromkeys(e for c in counts.values() for e in c))
+        columns = {name: pa.array([counts[key][e] for e in entries], pa.int64()) for name, key in names.items()}
+        return pa.RecordBatch.from_pydict({"entry": pa.array(entries, pa.string())} | columns)
 
     names = {"toxic_a": (True, True), "clean_a": (False, True), "toxic_b": (True, False), "clean_b": (False, False)}
     counted = (
