@@ -48,6 +48,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "margin", "ambiguous")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.token_counts import Encoding, attribute
+
+    return attribute(table(spark, sf_dir, "documents"), Encoding.load())
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.sentencepiece_nbest import Pieces, encode
+
+    return encode(table(spark, sf_dir, "documents"), Pieces.load())
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import near_duplicates
 
@@ -129,6 +141,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_token_counts": op2_token_counts,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_winnowing": op6_winnowing,
