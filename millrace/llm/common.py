@@ -57,7 +57,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = hadoop
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote; nothing may read these tables any more."""
+    for df in tables:
+        df._written_to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._written_to, True)
 
 
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:

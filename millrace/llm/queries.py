@@ -121,6 +121,26 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.rlz import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM d WHERE len(w) >= 20),
+     h AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 19], ' ')) AS h FROM p),
+     again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM h) WHERE n > 1),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM again),
+     lost AS (SELECT doc_id, count(*) AS n_removed, list(q) AS qs FROM gone GROUP BY doc_id),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS words
+              FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d) ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, good) of pages whose url names a labelled document: /<lang>/<doc_id>."""
     from millrace.llm.url_filter import split_url
@@ -148,10 +168,12 @@ QUERIES: dict[str, Query] = {
     "op6_winnowing": op6_winnowing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_html_extract": op8_html_extract,
+    "op9_rlz": op9_rlz,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_winnowing": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_rlz": OP9_SQL,
 }

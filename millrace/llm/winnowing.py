@@ -24,6 +24,16 @@ K, SPAN = 5, 10
 _MASK = np.uint64((1 << 20) - 1)
 
 
+def minima(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the k-grams, minimum of each ``window`` consecutive ones)."""
+    g = grams(hashes, k) | np.uint64(1)  # never 0, which marks a window that isn't whole
+    n = len(g)
+    low = g.copy()
+    for j in range(1, window):
+        low[: n - j] = np.minimum(low[: n - j], g[j:])
+    return g, low
+
+
 def winnow(hashes: np.ndarray, last: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, fingerprints): the k-grams that are the minimum of some window.
 
@@ -31,11 +41,8 @@ def winnow(hashes: np.ndarray, last: np.ndarray, k: int, window: int) -> tuple[n
     window crosses from one text into the next.  All k-grams that tie for the
     minimum are kept.
     """
-    g = grams(hashes, k) | np.uint64(1)  # never 0, which marks a window that isn't whole
+    g, low = minima(hashes, k, window)
     n = len(g)
-    low = g.copy()
-    for j in range(1, window):
-        low[: n - j] = np.minimum(low[: n - j], g[j:])
     at = np.arange(n)
     low[at + k + window - 1 > last[:n]] = 0
     best = low.copy()  # the greatest minimum among the windows that hold the position

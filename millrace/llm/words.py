@@ -12,16 +12,18 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse mo
 
 
 def byte_classes(is_word: Iterable[int], lower: bool) -> np.ndarray:
-    """256 entries: 0 for a byte between words, else the byte (A-Z lowered if asked)."""
+    """256 entries: 0 for a byte between words, else the byte (A-Z lowered if asked).
+
+    A zero byte that belongs to words becomes 255, which UTF-8 never holds.
+    """
     table = np.zeros(256, np.uint8)
     for b in is_word:
-        table[b] = b + 32 if lower and 65 <= b <= 90 else b
+        table[b] = b + 32 if lower and 65 <= b <= 90 else b or 255
     return table
 
 
-#: words ``[^\x20\x09-\x0D]+``, unchanged and with A-Z lowered
+#: words ``[^\x20\x09-\x0D]+``, unchanged
 SPACED = byte_classes((b for b in range(256) if b not in (32, 9, 10, 11, 12, 13)), lower=False)
-SPACED_LOWER = byte_classes((b for b in range(256) if b not in (32, 9, 10, 11, 12, 13)), lower=True)
 #: words of letters, digits and everything beyond ASCII, A-Z lowered
 ALNUM_LOWER = byte_classes((b for b in range(256) if b >= 128 or chr(b).isalnum()), lower=True)
 
