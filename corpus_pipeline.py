@@ -1,18 +1,69 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again.
+
+Toxic documents go, of equal texts one row stays, of near duplicates one
+document stays, contaminated documents go, and what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import materialize, table
+from millrace.llm.common import drop_ids, materialize, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7; learned from the labels of ``sf_dir``."""
+    from millrace.llm.queries import toxicity_model
+    from millrace.llm.toxicity import drop_toxic
+
+    return drop_toxic(docs, toxicity_model(spark, docs, sf_dir))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    from millrace.llm.exact_dedup import exact_dedup as judge
+
+    judged = materialize(judge(docs).where("NOT kept").select("doc_id"), "exact-dropped")
+    return drop_ids(docs, judged, "doc_id")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id."""
+    from millrace.llm.simhash import near_duplicates
+
+    judged = materialize(near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "near-dropped")
+    return drop_ids(docs, judged, "doc_id")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    from millrace.llm.winnowing import contamination
+
+    judged = materialize(contamination(docs, table(spark, sf_dir, "benchmark")).where("size(spans) > 0").select("doc_id"), "contaminated")
+    return drop_ids(docs, judged, "doc_id")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, score, nbest_scores, round_trip of every document."""
+    from millrace.llm.sentencepiece_nbest import Pieces, encode
+
+    return encode(docs, Pieces.load())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
-#: Learned and Python-side stages have no SQL; tests hold them against brute force.
+#: The first and the last stage have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
