@@ -118,6 +118,26 @@ def count_chunks(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return chunks.withColumn("num_chunks", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
 
 
+def containment(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "item", text_col: str = "text", anchor: int = 5) -> DataFrame:
+    """(item id, id): documents whose text holds an item's text.
+
+    Inner words of an item stand in the document word for word, so its second
+    to ``anchor + 1``-th words are looked up among the documents' runs of as
+    many words: an equi-join, of which only the matches meet their texts again.
+    Items of fewer words than that are compared with every document.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    sized = items.withColumn("__w", words(F.col(item_text)))
+    keyed = sized.where(F.size("__w") >= anchor + 2).select(item_col, item_text, F.xxhash64(F.slice("__w", 2, anchor)).alias("__key"))
+    doc_words = docs.select(F.col(id_col), F.col(text_col), words(F.col(text_col)).alias("__w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - anchor + 1)), lambda i: F.xxhash64(F.slice("__w", i, anchor)))
+    places = doc_words.select(id_col, F.explode(F.array_distinct(runs)).alias("__key"))
+    found = places.join(keyed, "__key").select(id_col, item_col, item_text)
+    long = docs.select(id_col, text_col).join(found, id_col).where(F.col(text_col).contains(F.col(item_text)))
+    short = docs.select(id_col, text_col).join(sized.where(F.size("__w") < anchor + 2).select(item_col, item_text), F.col(text_col).contains(F.col(item_text)))
+    return long.select(item_col, id_col).unionByName(short.select(item_col, id_col))
+
+
 def first_match(left: DataFrame, right: DataFrame, on: Column, left_id: str, right_order: str) -> DataFrame:
     """Left join in which each left row gets its first match in ``right_order`` (null without one)."""
     best = left.join(right, on).groupBy(left_id).agg(F.min(right_order).alias(right_order))

@@ -85,14 +85,9 @@ def num_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id) where the document's text holds the item's.
-
-    The benchmark is a fixed small table whose size decides on the broadcast;
-    lines that can't match are cut off by the length.
-    """
+    """(item_id, doc_id) where the document's text holds the item's."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(items, F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    return documents.containment(read(spark, sf_dir, "documents"), items)
 
 
 def first_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
