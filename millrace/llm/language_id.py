@@ -92,7 +92,7 @@ class Model:
     trust: np.ndarray  # weight of each bit in decoding
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: list[str], steps: int = 100, rate: float = 8.0, decay: float = 1e-5) -> Model:
+    def fit(cls, x: np.ndarray, labels: list[str], steps: int = 60, rate: float = 8.0, decay: float = 1e-5) -> Model:
         languages = sorted(set(labels))
         code = codewords(len(languages))
         bits = code.shape[1]
