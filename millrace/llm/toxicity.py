@@ -286,9 +286,10 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """Rows of ``docs``, all columns, that score below ``threshold``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            yield batch.filter(pa.array([shipped.value.score(t or "") < threshold for t in texts], pa.bool_()))
+            for at, texts in pieces(batch.column(batch.schema.names.index(text_col))):
+                clean = [shipped.value.score(t.decode()) < threshold for t in texts]
+                yield batch.slice(at, len(texts)).filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 
@@ -103,17 +104,16 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 def pieces(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of consecutive texts of about ``size`` bytes, with the first one's index.
 
-    A null text is empty.  A text is never cut: one longer than ``size`` is a
-    run of its own.
+    A null text is empty.  A text is never cut: a run ends with the one that
+    reaches ``size``.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    at, run, room = 0, [], size
-    for i, text in enumerate(column.cast(pa.binary()).to_pylist()):
-        run.append(text or b"")
-        room -= len(run[-1])
-        if room <= 0:
-            yield at, run
-            at, run, room = i + 1, [], size
-    if run:
-        yield at, run
+    column = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        # up to the text that reaches the size, converted run by run to hold little at once
+        stop = min(len(column), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1)
+        yield at, [t or b"" for t in column.slice(at, stop - at).to_pylist()]
+        at = stop
