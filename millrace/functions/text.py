@@ -85,17 +85,11 @@ def english_ratio(c: Column) -> Column:
 def max_char_ratio(c: Column) -> Column:
     """Share of the most frequent character; 0.0 for an empty text.
 
-    The sorted characters fall into runs, so one pass over them suffices.
+    One native replacement per distinct character, of which there are few.
     """
-    ordered = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
-
-    most = F.aggregate(ordered, start, step)["most"]
-    return F.when(F.length(c) > 0, most / F.length(c)).otherwise(0.0)
+    distinct = F.filter(F.array_distinct(F.split(c, "")), lambda x: x != "")
+    counts = F.transform(distinct, lambda x: F.length(c) - F.length(F.replace(c, x)))
+    return F.when(F.length(c) > 0, F.array_max(counts) / F.length(c)).otherwise(0.0)
 
 
 def invalid_characters(c: Column) -> Column:

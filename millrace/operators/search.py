@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,29 @@ from millrace.functions.text import tokens
 from millrace.operators.ranking import top_k
 
 
+class _Best:
+    """The k best (score down, id up) of each query seen so far."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.rows: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def add(self, names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of each query (row) for each id (column); -inf is no match."""
+        k = self.k
+        # the k best of each query here and all that tie with the last of them, then in order
+        cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(names), -np.inf)
+        at, j = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
+        rows = [np.concatenate(x) for x in zip(self.rows, (names[at], ids[j], scores[at, j]))]
+        order = np.lexsort((rows[1], -rows[2], rows[0]))
+        rows = [x[order] for x in rows]
+        keep = np.arange(len(order)) - np.searchsorted(rows[0], rows[0]) < k
+        self.rows = [x[keep] for x in rows]
+
+    def batch(self, id_col: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in self.rows], names=["query_id", id_col, "score"])
+
+
 def dense_top_k(
     corpus: DataFrame,
     queries: DataFrame,
@@ -52,79 +77,128 @@ def dense_top_k(
 
         def nearest(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             names, q = shipped.value
-            best: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            best = _Best(k)
             for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                ids = batch.column(0).to_numpy()
-                scores = np.round(q @ matrix(batch.column(1)).T, 6) + 0.0
-                scores[names[:, None] == ids[None, :]] = -np.inf
-                # the k best of each query in this batch and all that tie with the last of them, then in order
-                cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(names), -np.inf)
-                at, j = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
-                best = [np.concatenate(x) for x in zip(best, (names[at], ids[j], scores[at, j]))]
-                order = np.lexsort((best[1], -best[2], best[0]))
-                best = [x[order] for x in best]
-                first = np.searchsorted(best[0], best[0])
-                keep = np.arange(len(first)) - first < k
-                best = [x[keep] for x in best]
-            yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2])], names=["query_id", id_col, "score"])
+                if batch.num_rows and len(names):
+                    ids = batch.column(0).to_numpy()
+                    scores = np.round(q @ matrix(batch.column(1)).T, 6) + 0.0
+                    scores[names[:, None] == ids[None, :]] = -np.inf
+                    best.add(names, ids, scores)
+            yield best.batch(id_col)
 
         part = corpus.select(F.col(id_col).cast("long").alias(id_col), vector_col).where(F.size(vector_col) > 0).mapInArrow(nearest, f"query_id bigint, `{id_col}` bigint, score double")
         found = part if found is None else found.unionByName(part)
     return top_k(found, k, [F.desc("score"), F.asc(id_col)])
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, term, tf): the postings of a table."""
-    return docs.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+def bm25_weight(tf: Column, df: Column, n: Column, length: Column, mean_length: Column, k1: float, b: float, idf: bool = True) -> Column:
+    saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * saturated if idf else saturated
 
 
 def sparse_scores(query_weights: DataFrame, postings: DataFrame, id_col: str) -> DataFrame:
-    """Dot product of sparse vectors: sum over shared terms of wq * wd."""
-    return (
-        query_weights.join(postings, "term")
-        .groupBy("query_id", id_col)
-        .agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-    )
+    """Dot product of sparse vectors (query_id, term, wq) and (id, term, wd): sum over shared terms of wq * wd."""
+    matched = query_weights.join(postings, "term")
+    return matched.groupBy("query_id", id_col).agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
+def _lexical_top_k(
+    docs: DataFrame, queries: DataFrame, k: int, id_col: str, digits: int, statistics: Callable[[list[str]], Callable[[np.ndarray, np.ndarray, int], np.ndarray]], block: int
+) -> DataFrame:
+    """The k best documents of every query under a sum of term weights.
+
+    Queries go out in blocks of at most ``block``; ``statistics`` gets a
+    block's terms and returns the weight of (term numbers, counts, length) in a
+    document.  A document meets a block's queries in one sparse-dense product,
+    and a task keeps its k best per query, so neither postings nor document
+    and query pairs are shuffled.
+    """
+    spark = docs.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for at in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at)
+        asked = [(r["query_id"], Counter(_terms(r["text"]))) for r in mine.select("query_id", "text").collect()]
+        terms = sorted({t for _, c in asked for t in c})
+        number = {t: i for i, t in enumerate(terms)}
+        weights = np.zeros((len(terms), len(asked)))
+        for j, (_, counts) in enumerate(asked):
+            for t, n in counts.items():
+                weights[number[t], j] = n
+        shipped = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), number, weights, statistics(terms)))
+
+        def nearest(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            names, known, wanted, weigh = shipped.value
+            best = _Best(k)
+            for batch in batches:
+                ids, rows, scores = batch.column(0).to_pylist(), [], []
+                for i, text in zip(ids, batch.column(1).to_pylist()):
+                    words = _terms(text)
+                    counts = Counter(map(known.get, words))
+                    counts.pop(None, None)
+                    if counts:
+                        term = np.fromiter(counts.keys(), np.int64, len(counts))
+                        tf = np.fromiter(counts.values(), np.float64, len(counts))
+                        # only queries that share a term are candidates
+                        shared = wanted[term]
+                        score = np.round(weigh(term, tf, len(words)) @ shared, digits)
+                        rows.append(i)
+                        scores.append(np.where(shared.any(axis=0), score, -np.inf))
+                    if len(rows) >= 1024:
+                        best.add(names, np.array(rows, np.int64), np.stack(scores, axis=1))
+                        rows, scores = [], []
+                if rows:
+                    best.add(names, np.array(rows, np.int64), np.stack(scores, axis=1))
+            yield best.batch(id_col)
+
+        part = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(nearest, f"query_id bigint, `{id_col}` bigint, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k, [F.desc("score"), F.asc(id_col)])
+
+
+_TERM = re.compile("[a-z0-9]+")
+
+
+def _terms(text: str | None) -> list[str]:
+    return _TERM.findall((text or "").lower())
+
+
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", block: int = 1024) -> DataFrame:
     """Term-frequency dot product, not normalised; ties by id."""
-    wanted = term_counts(queries, "query_id").withColumnRenamed("tf", "wq")
-    # only terms of queries are counted
-    kept = _tokens_of(docs, id_col).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = kept.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("wd"))
-    scored = sparse_scores(wanted, postings, id_col).withColumn("score", F.col("score").cast("double"))
-    return top_k(scored, k, [F.desc("score"), F.asc(id_col)])
+    return _lexical_top_k(docs, queries, k, id_col, 9, lambda terms: _raw_counts, block)
 
 
-def _tokens_of(docs: DataFrame, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), F.explode(tokens(F.col("text"))).alias("term"))
+def _raw_counts(term: np.ndarray, tf: np.ndarray, length: int) -> np.ndarray:
+    return tf
 
 
-def bm25_weight(tf: Column, df: Column, n: Column, length: Column, mean_length: Column, k1: float, b: float, idf: bool = True) -> Column:
-    saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
-    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * saturated if idf else saturated
+class _Bm25:
+    def __init__(self, df: np.ndarray, n: int, mean_length: float, k1: float, b: float, idf: bool) -> None:
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if idf else np.ones(len(df))
+        self.mean_length, self.k1, self.b = mean_length, k1, b
 
+    def __call__(self, term: np.ndarray, tf: np.ndarray, length: int) -> np.ndarray:
+        return self.idf[term] * (tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean_length)))
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, idf: bool = True, id_col: str = "doc_id") -> DataFrame:
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, idf: bool = True, id_col: str = "doc_id", block: int = 1024) -> DataFrame:
     """BM25 of every query against all documents; score to 6 digits, ties by id.
 
-    Documents' tokens are filtered to the queries' terms before they are
-    counted; lengths come with them, so nothing is joined but by term.
+    Document frequencies are counted for the queries' terms only, by an
+    aggregate that is combined before its shuffle; lengths and counts come from
+    the document itself.
     """
-    text = tokens(F.col("text"))
-    sized = docs.select(F.col(id_col), text.alias("t")).withColumn("length", F.size("t"))
-    totals = sized.where("length > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    wanted = term_counts(queries, "query_id")
-    kept = sized.select(id_col, "length", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = kept.groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length"), k1, b, idf)
-    weighted = tf.join(df, "term").join(F.broadcast(totals)).select(id_col, "term", weight.alias("wd"))
-    scored = sparse_scores(wanted.withColumnRenamed("tf", "wq"), weighted, id_col).withColumn("score", F.round("score", 6))
-    return top_k(scored, k, [F.desc("score"), F.asc(id_col)])
+    sized = docs.select(tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    totals = sized.where(F.size("t") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("m")).first()
+
+    def statistics(terms: list[str]) -> _Bm25:
+        spark = docs.sparkSession
+        wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # terms of one block
+        counts = sized.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term").groupBy("term").count().collect() if terms else []
+        df = {r["term"]: r["count"] for r in counts}
+        return _Bm25(np.array([df.get(t, 0) for t in terms], np.float64), totals["n"], totals["m"] or 1.0, k1, b, idf)
+
+    return _lexical_top_k(docs, queries, k, id_col, 6, statistics, block)
 
 
 def route(text: Column, available: Sequence[str] = ("dense", "sparse", "hybrid"), rules: Mapping[str, Sequence[str]] | None = None, default: str | None = None) -> Column:
