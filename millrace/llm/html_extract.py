@@ -28,6 +28,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("article body center div main section td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # an element of the key ends an open element of the values, unless one of the barrier stands between
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr", "tbody": "tr thead", "tfoot": "tr tbody"}
@@ -74,6 +75,7 @@ class Node:
     heading: bool
     region: int
     above: tuple[int, ...]  # serial numbers of the elements that hold it
+    container: int  # that of the innermost container among them, 0 for the page
 
 
 def _is_furniture(tag: str, attrs: str, in_region: bool) -> bool:
@@ -106,7 +108,7 @@ def text_nodes(page: str) -> list[Node]:
             region = stack[-1].region if stack else 0
             header = "header" in tags and not HEADINGS.intersection(tags)
             nodes.append(
-                Node("/".join(tags), html.unescape(text), block, any(e.furniture for e in stack) or header, "a" in tags, bool(HEADINGS.intersection(tags)), region, tuple(e.serial for e in stack))
+                Node("/".join(tags), html.unescape(text), block, any(e.furniture for e in stack) or header, "a" in tags, bool(HEADINGS.intersection(tags)), region, tuple(e.serial for e in stack), next((e.serial for e in reversed(stack) if e.tag in CONTAINERS), 0))
             )
 
     def close(wanted: tuple[str, ...], barrier: frozenset[str]) -> None:
@@ -210,17 +212,12 @@ def main_text(page: str | None) -> str:
         if best:
             kept = [n for n in nodes if n.region == best and not n.furniture]
         else:
-            # the deepest element with nine tenths of the content, from its first to its last content block
-            held: dict[int, int] = defaultdict(int)
-            for n in content:
-                for serial in n.above:
-                    held[serial] += len(n.text)
-            enough = 0.9 * sum(len(n.text) for n in content)
-            root = max((s for s, size in held.items() if size >= enough), default=0)
-            inside = [n for n in nodes if (not root or root in n.above) and not n.furniture]
-            blocks = [n.block for n in content if not root or root in n.above]
-            heading = [n.block for n in inside if n.heading and n.block < blocks[0]]
-            kept = [n for n in inside if min(heading, default=blocks[0]) <= n.block <= blocks[-1]]
+            # what stands in a container that holds content itself, from the first to the last content block
+            holders = {n.container for n in content}
+            inside = [n for n in nodes if not n.furniture and (0 in holders or not holders.isdisjoint(n.above))]
+            first, last = content[0].block, content[-1].block
+            heading = [n.block for n in inside if n.heading and n.block < first]
+            kept = [n for n in inside if min(heading, default=first) <= n.block <= last]
     out: dict[int, list[Node]] = defaultdict(list)
     for n in kept:
         out[n.block].append(n)

@@ -159,6 +159,49 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES)
 
 
+def _kappa_sql(level: str) -> str:
+    """The prior strength of a level's groups (n, k) by moments."""
+    return f"""
+{level}_sums AS (SELECT CAST(sum(n) AS double) AS n, CAST(sum(k) AS double) / sum(n) AS p, CAST(sum(n * n) AS double) AS n2, sum(CAST(k * k AS double) / n) AS k2, CAST(count(*) AS double) AS g FROM {level}),
+{level}_rho AS (SELECT CASE WHEN p * (1 - p) * (n - n2 / n - (g - 1)) > 0 THEN (k2 - n * p * p - p * (1 - p) * (g - 1)) / (p * (1 - p) * (n - n2 / n - (g - 1))) END AS rho FROM {level}_sums),
+{level}_kappa AS (SELECT CASE WHEN rho > 0 THEN greatest(2.0, least(200.0, 1 / rho - 1)) ELSE 200.0 END AS kappa FROM {level}_rho)"""
+
+
+def _posterior_sql(level: str, above: str, key: str, on: str) -> str:
+    return f"""{level}_post AS (SELECT {key}, k + kappa * m AS a, n - k + kappa * (1 - m) AS b
+    FROM {level} c JOIN (SELECT *, a / (a + b) AS m FROM {above}) prior ON {on}, {level}_kappa)"""
+
+
+def _bound_sql(posterior: str, key: str) -> str:
+    return f"SELECT {key}, round(a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 6) AS bound FROM {posterior}"
+
+
+_RULES_SQL = " ".join(
+    f"WHEN (p.host = '{host}' OR ends_with(p.host, '.{host}')) AND starts_with(path, '{path}') THEN '{host}{path}:{verdict}'"
+    for verdict, host, path in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+)
+
+OP10_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+parts AS (SELECT *, string_split(host, '.') AS l FROM u),
+p AS (SELECT page_id, host, path, l[-1] AS suffix, CASE WHEN len(l) <= 2 THEN host
+      WHEN l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND length(l[-1]) = 2 THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM parts),
+lab AS (SELECT doc_id, CASE WHEN min(quality) = 1 AND max(toxic) = 0 THEN 1 ELSE 0 END AS good FROM labels GROUP BY doc_id),
+hosts AS (SELECT host, domain, suffix, count(*) AS n, sum(good) AS k FROM p JOIN lab ON doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS bigint) GROUP BY ALL),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+everything AS (SELECT coalesce(sum(k), 0) + 1.0::double AS a, coalesce(sum(n) - sum(k), 0) + 1.0::double AS b FROM suffixes),
+{_kappa_sql("hosts")}, {_kappa_sql("domains")}, {_kappa_sql("suffixes")},
+{_posterior_sql("suffixes", "everything", "c.suffix", "true")},
+{_posterior_sql("domains", "suffixes_post", "c.domain", "c.suffix = prior.suffix")},
+{_posterior_sql("hosts", "domains_post", "c.host", "c.domain = prior.domain")},
+judged AS (SELECT page_id, p.host, path, CASE {_RULES_SQL} END AS fits, coalesce(h.bound, d.bound, s.bound, e.bound) AS reputation
+  FROM p LEFT JOIN ({_bound_sql("hosts_post", "host")}) h ON h.host = p.host LEFT JOIN ({_bound_sql("domains_post", "domain")}) d ON d.domain = p.domain
+  LEFT JOIN ({_bound_sql("suffixes_post", "suffix")}) s ON s.suffix = p.suffix, ({_bound_sql("everything", "1 AS one")}) e)
+SELECT page_id, host, path, split_part(fits, ':', 1) AS rule, coalesce(split_part(fits, ':', 2), CASE WHEN reputation >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, reputation FROM judged
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -176,4 +219,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_winnowing": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_rlz": OP9_SQL,
+    "op10_url_filter": OP10_SQL,
 }
