@@ -14,20 +14,24 @@ def extract_json(answer: Column) -> Column:
         F.trim(answer),
         F.regexp_extract(answer, r"\{[^}]+\}", 0),
     )
-    parsed = (F.when(c.startswith("{") & F.try_parse_json(c).isNotNull(), c) for c in candidates)
-    return F.coalesce(*parsed)
+    parsed = F.filter(F.array(*candidates), lambda c: c.startswith("{") & F.try_parse_json(c).isNotNull())
+    return F.try_element_at(parsed, F.lit(1))
 
 
 def verdict(answer: Column) -> Column:
     """A verifier's answer as a struct; what is missing gets the cautious default."""
     schema = "is_faithful boolean, hallucination_detected boolean, confidence double, severity string, issues array<string>, recommendation string, reasoning string"
-    read = F.from_json(extract_json(answer), schema)
-    return F.struct(
-        F.coalesce(read["is_faithful"], F.lit(False)).alias("is_faithful"),
-        F.coalesce(read["hallucination_detected"], F.lit(True)).alias("hallucination_detected"),
-        F.coalesce(read["confidence"], F.lit(0.5)).alias("confidence"),
-        F.coalesce(read["severity"], F.lit("moderate")).alias("severity"),
-        F.coalesce(read["issues"], F.array().cast("array<string>")).alias("issues"),
-        F.coalesce(read["recommendation"], F.lit("revise")).alias("recommendation"),
-        F.coalesce(read["reasoning"], F.lit("")).alias("reasoning"),
-    )
+
+    def filled(read: Column) -> Column:
+        return F.struct(
+            F.coalesce(read["is_faithful"], F.lit(False)).alias("is_faithful"),
+            F.coalesce(read["hallucination_detected"], F.lit(True)).alias("hallucination_detected"),
+            F.coalesce(read["confidence"], F.lit(0.5)).alias("confidence"),
+            F.coalesce(read["severity"], F.lit("moderate")).alias("severity"),
+            F.coalesce(read["issues"], F.array().cast("array<string>")).alias("issues"),
+            F.coalesce(read["recommendation"], F.lit("revise")).alias("recommendation"),
+            F.coalesce(read["reasoning"], F.lit("")).alias("reasoning"),
+        )
+
+    # through an array of one, so that the answer is parsed once and not again for every field that is used
+    return F.transform(F.array(F.from_json(extract_json(answer), schema)), filled)[0]

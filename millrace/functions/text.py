@@ -1,9 +1,13 @@
-"""Text functions as Column expressions (all JVM-side)."""
+"""Text functions as Column expressions (JVM-side but for the character count)."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Entities in the order in which they are decoded (&amp;lt; becomes <).
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
@@ -82,14 +86,14 @@ def english_ratio(c: Column) -> Column:
     return F.when(F.size(found) > 0, F.size(marked) / F.size(found)).otherwise(0.0)
 
 
-def max_char_ratio(c: Column) -> Column:
+@F.pandas_udf(T.DoubleType())
+def max_char_ratio(texts: pd.Series) -> pd.Series:
     """Share of the most frequent character; 0.0 for an empty text.
 
-    One native replacement per distinct character, of which there are few.
+    Counting characters with array functions makes an array element of each
+    and takes some thirty times as long as one pass in C per text.
     """
-    distinct = F.filter(F.array_distinct(F.split(c, "")), lambda x: x != "")
-    counts = F.transform(distinct, lambda x: F.length(c) - F.length(F.replace(c, x)))
-    return F.when(F.length(c) > 0, F.array_max(counts) / F.length(c)).otherwise(0.0)
+    return texts.map(lambda t: max(Counter(t).values()) / len(t) if t else 0.0)
 
 
 def invalid_characters(c: Column) -> Column:

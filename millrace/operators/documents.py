@@ -55,7 +55,6 @@ def validate(
         F.when(F.size(problems) > 0, F.concat(F.lit("suspicious: "), F.array_join(problems, ", "))),
         F.when(tx.max_char_ratio(t) > 0.5, "repetition"),
         F.when(t.rlike(tx.INVALID_CHARACTER), "invalid characters"),
-        F.when(F.col(order) != F.col("__first"), "duplicate"),
         F.when(F.col(id_col).isNull(), "missing id"),
         F.when(F.coalesce(F.col(source_col), F.lit("")) == "", "missing source"),
     ]
@@ -66,8 +65,10 @@ def validate(
         F.when(t.rlike(r"\s{10,}"), "white space"),
         F.when(tx.english_ratio(t) < 0.7, "little English"),
     ]
-    judged = rows.join(first, "__hash").select(id_col, F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings"))
-    return judged.select(id_col, (F.size("errors") == 0).alias("valid"), "errors", "warnings")
+    # judged before the join, so that no text is shuffled
+    judged = rows.select(id_col, F.col(order).alias("__order"), "__hash", F.array_compact(F.array(*errors)).alias("e"), F.array_compact(F.array(*warnings)).alias("warnings"))
+    again = F.when(F.col("__order") != F.col("__first"), F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))
+    return judged.join(first, "__hash").withColumn("errors", F.concat("e", again)).select(id_col, (F.size("errors") == 0).alias("valid"), "errors", "warnings")
 
 
 def identifiers(docs: DataFrame, source: Column, external_id: Column, text: Column, index: Column | None = None) -> DataFrame:

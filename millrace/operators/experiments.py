@@ -13,7 +13,7 @@ from millrace.operators.fusion import paired, rrf_score
 
 def tag_features(tags: Column, separator: str = ";") -> tuple[Column, Column]:
     """(tags, primary tag or Other) of a separated string."""
-    split = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), separator), F.trim), lambda t: t != "")
+    split = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), separator), lambda x: F.trim(x)), lambda t: t != "")
     return split, F.coalesce(F.try_element_at(split, F.lit(1)), F.lit("Other"))
 
 

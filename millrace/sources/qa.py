@@ -35,7 +35,7 @@ def joined_literal(c: Column) -> Column:
 
 def ids_literal(c: Column) -> Column:
     """Ids of a list literal, a comma-separated list or a single value."""
-    plain = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(list_literal(c), plain)
 
 
