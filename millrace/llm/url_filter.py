@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
+
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
 
@@ -88,11 +90,13 @@ def host_reputation(outcomes: DataFrame, weakest: float = 2.0, strongest: float
     outcome are left out.  Counts are combined before every shuffle, so a host
     with a third of all rows costs one row per task.
     """
-    hosts = (
+    # written once: every level's counts, strength and posterior come from it
+    hosts = materialize(
         outcomes.where(F.col("good").isNotNull())
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
-        .select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "k")
+        .select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "k"),
+        "host-outcomes",
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
