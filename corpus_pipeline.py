@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import drop_ids, materialize, table
+from millrace.session import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id."""
     from millrace.llm.simhash import near_duplicates
 
+    ship(spark)
     judged = materialize(near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "near-dropped")
     return drop_ids(docs, judged, "doc_id")
 
@@ -47,6 +49,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, ids, n_pieces, score, nbest_scores, round_trip of every document."""
     from millrace.llm.sentencepiece_nbest import Pieces, encode
 
+    ship(spark)
     return encode(docs, Pieces.load())
 
 
