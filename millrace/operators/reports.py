@@ -91,7 +91,7 @@ def write_lineage(spark, path: str, record: Mapping[str, Any]) -> None:
 
 def write_jsonl(df: DataFrame, path: str, **renamed: str) -> None:
     """One JSON object per row; ``renamed`` gives columns the names they have in the file."""
-    chosen = [F.col(c).alias(name) for name, c in renamed.items()] or ["*"]
+    chosen = [F.col(c).alias(name) for c, name in renamed.items()] or ["*"]
     df.select(*chosen).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
