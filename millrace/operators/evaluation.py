@@ -224,8 +224,16 @@ def win_loss(pairs: DataFrame, by: Sequence[str], first: str, second: str) -> Da
     )
 
 
+# Lower limits of the bands of a score.
+BANDS = (("excellent", 0.8), ("good", 0.6), ("fair", 0.4), ("poor", 0.2), ("very poor", float("-inf")))
+
+
 def score_band(score: Column) -> Column:
-    return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "fair").when(score >= 0.2, "poor").otherwise("very poor")
+    """The band of a score; null and NaN are very poor."""
+    band = F.lit(BANDS[-1][0])
+    for name, limit in reversed(BANDS[:-1]):
+        band = F.when((score >= limit) & ~F.isnan(score), name).otherwise(band)
+    return band
 
 
 def grid_objective(success3: Column, p3: Column, recall: Column, precision: Column, latency_ms: Column) -> Column:

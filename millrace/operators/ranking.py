@@ -96,11 +96,15 @@ def duplicate_filter(results: DataFrame, by: str = "external_id", text: str = "t
     return keyed.join(first, ["__key", "__more"]).where(F.col(order) == F.col("__first")).drop("__key", "__more", "__first")
 
 
+# What marks code in an answer.
+CODE_MARKERS = ("```", "<code>", "def ", "function", "class ")
+
+
 def answer_quality(text: Column, has_context: Column, n_tags: Column) -> Column:
     """high, medium or low by length, code, question context and tags."""
     lowered = F.lower(text)
     code = F.lit(False)
-    for marker in ("```", "<code>", "def ", "function", "class "):
+    for marker in CODE_MARKERS:
         code = code | lowered.contains(marker)
     points = sum(c.cast("int") for c in (F.length(text) > 200, code, has_context, n_tags >= 2))
     return F.when(points >= 3, "high").when(points >= 2, "medium").otherwise("low")

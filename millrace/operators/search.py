@@ -201,6 +201,10 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2
     return _lexical_top_k(docs, queries, k, id_col, 6, statistics, block)
 
 
+# Phrases of conceptual queries.
+CONCEPTUAL = ("how to", "what is", "explain", "describe")
+
+
 def route(text: Column, available: Sequence[str] = ("dense", "sparse", "hybrid"), rules: Mapping[str, Sequence[str]] | None = None, default: str | None = None) -> Column:
     """Strategies for a query: short ones sparse, conceptual ones dense, others hybrid (or both).
 
@@ -210,7 +214,7 @@ def route(text: Column, available: Sequence[str] = ("dense", "sparse", "hybrid")
     lowered = F.lower(text)
     n_words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     conceptual = F.lit(False)
-    for phrase in ("how to", "what is", "explain", "describe"):
+    for phrase in CONCEPTUAL:
         conceptual = conceptual | lowered.contains(phrase)
     strings = lambda names: F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
     present = lambda *names: strings([n for n in names if n in available])

@@ -11,6 +11,7 @@ from millrace.operators.agent import query_type
 from millrace.plans.evaluation import _ALL, RRF_KS, _methods, grid_search
 from millrace.plans.evaluation import QUERIES as EVALUATED
 from millrace.plans.retrieval import TOKENS, VECTORS, bm25_topk, dense, read, second, text_queries, vector_queries
+from millrace.sources import qa
 
 
 def semantic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +131,49 @@ def query_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", query_type(analysis).alias("query_type"))
 
 
+def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as questions that list the documents 3i and 3i + 1, documents as answers."""
+    i = F.col("item_id")
+    asked = read(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("q_"), i.cast("string")).alias("external_id"),
+        F.substring("text", 1, 60).alias("title"),
+        F.col("text").alias("body"),
+        F.array(F.lit("t")).alias("tags"),
+        F.lit(1).alias("question_type"),
+        F.array((3 * i).cast("string"), (3 * i + 1).cast("string")).alias("related_posts"),
+    )
+    given = read(spark, sf_dir, "documents").select(F.concat(F.lit("a_"), F.col("doc_id").cast("string")).alias("external_id"), F.col("text").alias("body"), F.lit(None).cast("string").alias("summary"))
+    return asked, given
+
+
+def answer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.answer_documents(*_posts(spark, sf_dir)).select("external_id", F.md5("text").alias("text_md5"), "question_title", "has_question_context")
+
+
+def evaluation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, given = _posts(spark, sf_dir)
+    return qa.evaluation_queries(asked, given).select("query_id", "kind", "query_text", F.array_join("relevant", ",").alias("relevant"))
+
+
 _JUDGED = "j AS (SELECT conv_id, turn, role, length(text) % 6 AS f, 1 + length(text) % 5 AS r, 1 + length(text) % 4 AS h FROM conversations WHERE text IS NOT NULL)"
 
+_POSTS = "q AS (SELECT 'q_' || item_id AS qid, item_id, left(text, 60) AS title, text, unnest([3 * item_id, 3 * item_id + 1]) AS n FROM benchmark)"
+
 QUERIES = {
+    "answer_documents": (
+        answer_documents,
+        f"""WITH {_POSTS}, l AS (SELECT n, arg_min(title, qid) AS title, min(qid) AS qid FROM q GROUP BY n), s AS (SELECT DISTINCT item_id, title FROM q)
+        SELECT 'a_' || doc_id AS external_id, md5(text) AS text_md5, coalesce(l.title, s.title) AS question_title, coalesce(l.title, s.title) IS NOT NULL AS has_question_context
+        FROM documents LEFT JOIN l ON l.n = doc_id LEFT JOIN s ON s.item_id = doc_id WHERE trim(text) <> ''""",
+    ),
+    "evaluation_queries": (
+        evaluation_queries,
+        rf"""WITH {_POSTS}, k AS (SELECT qid, title, any_value(text) AS body, string_agg('a_' || n, ',' ORDER BY 'a_' || n) AS relevant FROM q WHERE n IN (SELECT doc_id FROM documents) GROUP BY ALL),
+        t AS (SELECT qid, relevant, 'title' AS kind, trim(title) AS query_text FROM k
+              UNION ALL SELECT qid, relevant, 'short', array_to_string(string_split_regex(trim(title), '\s+')[1:6], ' ') FROM k
+              UNION ALL SELECT qid, relevant, 'sentence', trim(split_part(body, '.', 1)) FROM k)
+        SELECT qid || ':' || kind AS query_id, kind, query_text, relevant FROM t WHERE length(query_text) > 10""",
+    ),
     "semantic_rerank": (
         semantic_rerank,
         f"""WITH {VECTORS} SELECT s.query_id, s.vec_id, c.score, s.score AS original_score,
