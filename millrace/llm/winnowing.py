@@ -132,7 +132,7 @@ def contamination(
     item_text_col: str = "text",
     k: int = K,
     span: int = SPAN,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, spans (word ranges hit), items (ids as strings).
 
