@@ -40,12 +40,13 @@ def validate(
     """id, valid, errors, warnings: checks on the raw text; warnings don't reject.
 
     A text whose normalised form occurred before (in ``order``) is a duplicate,
-    even if its first occurrence is invalid itself.  First occurrences are
-    found by an aggregate that is combined before the shuffle.
+    even if its first occurrence is invalid itself.  ``order`` is unique.  First
+    occurrences are found by an aggregate that is combined before the shuffle,
+    and rows meet them by place, so a text with many copies is split.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("__hash", tx.content_hash(t))
-    first = rows.groupBy("__hash").agg(F.min(order).alias("__first"))
+    first = rows.groupBy("__hash").agg(F.min(order).alias("__order")).select("__order", F.lit(True).alias("__first"))
     n, estimate = F.length(t), tx.token_estimate(t)
     problems = tx.suspicious(t)
     errors = [
@@ -66,9 +67,9 @@ def validate(
         F.when(tx.english_ratio(t) < 0.7, "little English"),
     ]
     # judged before the join, so that no text is shuffled
-    judged = rows.select(id_col, F.col(order).alias("__order"), "__hash", F.array_compact(F.array(*errors)).alias("e"), F.array_compact(F.array(*warnings)).alias("warnings"))
-    again = F.when(F.col("__order") != F.col("__first"), F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))
-    return judged.join(first, "__hash").withColumn("errors", F.concat("e", again)).select(id_col, (F.size("errors") == 0).alias("valid"), "errors", "warnings")
+    judged = rows.select(id_col, F.col(order).alias("__order"), F.array_compact(F.array(*errors)).alias("e"), F.array_compact(F.array(*warnings)).alias("warnings"))
+    again = F.when(F.col("__first").isNull(), F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))
+    return judged.join(first, "__order", "left").withColumn("errors", F.concat("e", again)).select(id_col, (F.size("errors") == 0).alias("valid"), "errors", "warnings")
 
 
 def identifiers(docs: DataFrame, source: Column, external_id: Column, text: Column, index: Column | None = None) -> DataFrame:

@@ -34,14 +34,26 @@ def strata(rows: DataFrame, kind: Column, category: Column, bin_: Column, most:
     name = F.concat_ws("_", "__kind", F.when(F.col("__top"), F.col("__cat")).otherwise("Other"), "__bin")
     rows = rows.withColumn("stratum", name).drop("__kind", "__cat", "__bin", "__top")
     large = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("stratum_size")).where(F.col("stratum_size") >= least)
-    return rows.join(large, "stratum")
+    # kinds times most + 1 categories times four bins: a table of strata, not of rows
+    return rows.join(F.broadcast(large), "stratum")
 
 
 def stratified_split(rows: DataFrame, id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``split``: of each stratum round(test_share * size) rows of least seeded hash are test."""
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(order, id_col))
-    return rows.withColumn("split", F.when(place <= F.round(test_share * F.col("stratum_size")), "test").otherwise("train"))
+    """Adds ``split``: of each stratum round(test_share * size) rows of least seeded hash are test.
+
+    A row's place is the count of the stratum's rows in lower hash buckets plus
+    its place in its own bucket (one of 4,096), so no task ranks a whole
+    stratum.
+    """
+    seeded = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
+    rows = rows.withColumn("__hash", seeded).withColumn("__bucket", F.substring("__hash", 1, 3))
+    counts = rows.groupBy("stratum", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("stratum").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("stratum", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("stratum", "__bucket").orderBy("__hash", id_col))
+    placed = rows.join(counts, ["stratum", "__bucket"]).withColumn("__place", F.col("__before") + within)
+    split = F.when(F.col("__place") <= F.round(test_share * F.col("stratum_size")), "test").otherwise("train")
+    return placed.withColumn("split", split).drop("__hash", "__bucket", "__before", "__place")
 
 
 def grid_scores(

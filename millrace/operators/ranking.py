@@ -84,16 +84,19 @@ def tag_filter(results: DataFrame, required: Sequence[str] = (), excluded: Seque
 def duplicate_filter(results: DataFrame, by: str = "external_id", text: str = "text", query: str | None = "query_id", order: str = "rank") -> DataFrame:
     """Keep the first row in ``order`` of every external id, text beginning or both; null ids are one id.
 
-    Aggregates to one order value per key first (combined before the shuffle),
-    so a key that a third of the rows share is no single task's work.
+    ``order`` is unique within a query (in the table where ``query`` is None).
+    The first place of every key comes from an aggregate that is combined
+    before its shuffle, and rows are then met by place, not by key, so a key
+    that a third of the rows share is no single task's work.
     """
     digest = F.sha2(F.col(text), 256)
     keys = {"external_id": [F.col("external_id")], "content": [F.substring(text, 1, 200)], "both": [F.col("external_id"), digest]}[by]
-    key = F.struct(*([F.col(query)] if query else []), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    groups = [query] if query else []
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
     # 128 bits, so that no two keys meet by chance
-    keyed = results.withColumns({"__key": F.xxhash64(key), "__more": F.xxhash64(F.lit("more"), key)})
-    first = keyed.groupBy("__key", "__more").agg(F.min(order).alias("__first"))
-    return keyed.join(first, ["__key", "__more"]).where(F.col(order) == F.col("__first")).drop("__key", "__more", "__first")
+    keyed = results.select(*groups, F.col(order), F.xxhash64(key).alias("__key"), F.xxhash64(F.lit("more"), key).alias("__more"))
+    first = keyed.groupBy(*groups, "__key", "__more").agg(F.min(order).alias(order)).select(*groups, order)
+    return results.join(first, [*groups, order], "left_semi")
 
 
 # What marks code in an answer.
