@@ -144,7 +144,9 @@ def _parse(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            pointers = batch.column(2).to_pylist()
+            # as flat numbers: a document may have as many pointers as a tenth of its words
+            cuts = batch.column(2).offsets.to_numpy()
+            fields = [batch.column(2).values.field(i).to_numpy().astype(np.int64) for i in range(3)]
             for first, texts in pieces(batch.column(1)):
                 words = Words.of(texts, SPACED)
                 hashes = words.hashes()
@@ -153,7 +155,7 @@ def _parse(window: int, k: int):
                 starts, ends, places, prints = [], [], [], []
                 for d in range(len(texts)):
                     lo, n = int(words.first[d]), int(words.first[d + 1] - words.first[d])
-                    found = np.array([(p["at"], p["key0"], p["at0"]) for p in pointers[first + d]], np.int64).reshape(-1, 3)
+                    found = np.stack([f[cuts[first + d] : cuts[first + d + 1]] for f in fields], axis=1)
                     found[:, 0] = np.where(found[:, 0] < 0, -1 - found[:, 0], found[:, 0])
                     found = found[np.argsort(found[:, 0], kind="stable")]
                     spans = [s for s in factors(keys[first + d], *found.T, k) if s[1] - s[0] >= window]
