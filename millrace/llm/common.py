@@ -57,7 +57,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        # small row groups: what a writer holds is bounded, also for whole texts
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     table = spark.read.schema(df.schema).parquet(path)

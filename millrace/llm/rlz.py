@@ -244,7 +244,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = materialize(scanned.select("key", "n_words", "sha"), "rlz-counts")
     discard(scanned, index)
     parsed = materialize(
-        texts.join(pointers.hint("shuffle_merge"), "key")
+        texts.join(pointers.hint("shuffle_hash"), "key")  # texts stream past, unsorted
         .select("key", "text", "pointers")
         .mapInArrow(_parse(window, k), "key bigint, text string, starts array<int>, ends array<int>, h array<bigint>, at array<int>"),
         "rlz-parsed",
@@ -257,7 +257,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = materialize(again.groupBy("key").agg(F.collect_list("at").alias("windows")), "rlz-repeats")
     changed = (
         parsed.select("key", "text", "starts", "ends")
-        .join(again, "key", "left")
+        .join(again.hint("shuffle_hash"), "key", "left")
         .where("size(starts) > 0 OR windows IS NOT NULL")
         .mapInArrow(_cut(window), "key bigint, n_removed bigint, kept_sha256 string, starts array<int>, ends array<int>")
     )
