@@ -43,6 +43,8 @@ FURNITURE_WORDS = frozenset(
     "pagination popup promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup skip social "
     "responses sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+# First and last words of a class that only says that there is such a thing elsewhere (has-sidebar, comments-open).
+SAYS_FIRST, SAYS_LAST = frozenset("has with without no".split()), frozenset("open closed enabled disabled on off".split())
 MAIN_ROLES = frozenset(("main", "article"))
 
 _TAG = re.compile(
@@ -78,6 +80,13 @@ class Node:
     container: int  # that of the innermost container among them, 0 for the page
 
 
+def _names_furniture(name: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or words[0] in SAYS_FIRST or words[-1] in SAYS_LAST:
+        return False
+    return any(w in FURNITURE_WORDS or w.rstrip("s") in FURNITURE_WORDS for w in words)
+
+
 def _is_furniture(tag: str, attrs: str, in_region: bool) -> bool:
     if tag in FURNITURE or (tag == "header" and not in_region):
         return True
@@ -91,7 +100,7 @@ def _is_furniture(tag: str, attrs: str, in_region: bool) -> bool:
             return True
         if name == "role" and value.lower() in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main") and any(w in FURNITURE_WORDS or w.rstrip("s") in FURNITURE_WORDS for w in map(str.lower, _WORD.findall(value))):
+        if name in ("class", "id") and tag not in ("body", "html", "main") and any(map(_names_furniture, value.split())):
             return True
     return False
 

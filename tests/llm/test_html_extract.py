@@ -41,6 +41,11 @@ def test_all_furniture_at_once():
     assert main_text(f"<body>{every}<article><h1>Title</h1><p>{FIRST}</p>{every}<ul><li>one<li>two</ul><p>{SECOND}</article>{every}") == f"Title\n\n{FIRST}\n\none\n\ntwo\n\n{PLAIN}"
 
 
+@pytest.mark.parametrize("classes", ["post has-sidebar comments-open", "page no-ads", "withSidebar"])
+def test_classes_that_only_mention_furniture(classes):
+    assert main_text(f'<body class="search"><div class="{classes}"><p>{FIRST}</p><p>{SECOND}</p></div></body>') == f"{FIRST}\n\n{PLAIN}"
+
+
 def test_white_space_and_references():
     assert main_text("<p>a &amp; b&nbsp;c<br>d\n\n e &lt;p&gt; &#233;&copy;</p><p>f</p>") == "a & b c d e <p> é©\n\nf"
 
