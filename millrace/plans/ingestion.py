@@ -94,7 +94,7 @@ def first_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = qrels(spark, sf_dir).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = read(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(pairs, "doc_id", "left").join(labels, "doc_id", "left").select("doc_id", "item_id", F.coalesce("item_id", F.col("quality").cast("long"), F.lit(-1).cast("long")).alias("fallback"))
+    return docs.join(pairs, "doc_id", "left").join(labels, "doc_id", "left").select("doc_id", F.coalesce("item_id", F.lit(-1).cast("long")).alias("item_id"), F.coalesce("item_id", F.col("quality").cast("long"), F.lit(-1).cast("long")).alias("fallback"))
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ QUERIES = {
     "qrels": (qrels, "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "first_match_join": (
         first_match_join,
-        """SELECT doc_id, item_id, coalesce(item_id, quality, -1) AS fallback FROM documents
+        """SELECT doc_id, coalesce(item_id, -1) AS item_id, coalesce(item_id, quality, -1) AS fallback FROM documents
         LEFT JOIN (SELECT doc_id, min(item_id) AS item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id) USING (doc_id) LEFT JOIN labels USING (doc_id)""",
     ),
     "collection_stats": (
