@@ -163,7 +163,7 @@ def _terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", block: int = 1024) -> DataFrame:
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", block: int = 256) -> DataFrame:
     """Term-frequency dot product, not normalised; ties by id."""
     return _lexical_top_k(docs, queries, k, id_col, 9, lambda terms: _raw_counts, block)
 
@@ -181,7 +181,7 @@ class _Bm25:
         return self.idf[term] * (tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean_length)))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, idf: bool = True, id_col: str = "doc_id", block: int = 1024) -> DataFrame:
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, idf: bool = True, id_col: str = "doc_id", block: int = 256) -> DataFrame:
     """BM25 of every query against all documents; score to 6 digits, ties by id.
 
     Document frequencies are counted for the queries' terms only, by an

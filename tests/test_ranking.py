@@ -93,6 +93,16 @@ def test_lexical_search_of_empty_tables(spark):
     assert search.bm25_top_k(docs, queries.limit(0)).count() == 0
 
 
+def test_lexical_search_in_blocks(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(20)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"b{i % 3} c{i} zz") for i in range(7)], "query_id long, text string")
+    once, blocks = (sorted(map(tuple, search.bm25_top_k(docs, queries, 3, block=b).collect())) for b in (256, 2))
+    assert once == blocks and len(once) == 21
+    flat = search.bm25_top_k(docs, queries, 3, idf=False).where("query_id = 0 AND rank = 1").first()
+    assert flat.doc_id == 0
+    assert search.sparse_top_k(docs, queries, 1).where("query_id = 4").first().doc_id == 4
+
+
 def test_pipeline_from_config(spark):
     rows = ranked(spark, [(1, "a", 0.8, 1), (1, "b", 0.3, 2)])
     config = {"retrieval": {"type": "dense", "stages": [{"type": "score_filter", "config": {"min_score": 0.5}}]}}
