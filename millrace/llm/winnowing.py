@@ -29,7 +29,7 @@ def minima(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndar
     g = grams(hashes, k) | np.uint64(1)  # never 0, which marks a window that isn't whole
     n = len(g)
     low = g.copy()
-    for j in range(1, window):
+    for j in range(1, min(window, n)):
         low[: n - j] = np.minimum(low[: n - j], g[j:])
     return g, low
 
@@ -46,7 +46,7 @@ def winnow(hashes: np.ndarray, last: np.ndarray, k: int, window: int) -> tuple[n
     at = np.arange(n)
     low[at + k + window - 1 > last[:n]] = 0
     best = low.copy()  # the greatest minimum among the windows that hold the position
-    for j in range(1, window):
+    for j in range(1, min(window, n)):
         best[j:] = np.maximum(best[j:], low[: n - j])
     chosen = np.flatnonzero(best == g)
     return chosen, g[chosen]

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from tests.llm.conftest import documents
 
 from millrace.llm import queries
-from millrace.llm.winnowing import contamination
+from millrace.llm.winnowing import Index, K, contamination, minima, winnow
+from millrace.llm.words import ALNUM_LOWER, Words
 from tests import oracle
 
 
@@ -53,6 +55,29 @@ def test_every_long_shared_span_is_found(spark):
     assert {sum(s.end - s.start for s in r.spans) for r in got} == {10}
 
 
+@pytest.mark.parametrize("window", [6, 10])
+@pytest.mark.parametrize("n", range(1, 26))
+def test_minima_of_a_single_short_text(n, window):
+    g, low = minima(np.arange(n, dtype=np.uint64), K, window)
+    assert low.tolist() == [min(g[i : i + window]) for i in range(len(g))]
+    where, prints = winnow(np.arange(n, dtype=np.uint64), np.full(n, n), K, window)
+    least = [(i, low[i]) for i in range(n - K - window + 2)]
+    assert where.tolist() == sorted({j for i, m in least for j in range(i, i + window) if g[j] == m}) and prints.tolist() == g[where].tolist()
+
+
+def test_tables_of_one_short_document(spark):
+    texts = [f"{' '.join(f'w{i}' for i in range(n))}" for n in range(1, 26)]
+    for n, doc in enumerate(texts, 1):
+        index = Index(["1"], [doc.encode()])
+        hit = np.zeros(n, bool)
+        for a, b, _ in index.hits(Words.of([doc.encode()], ALNUM_LOWER)):
+            hit[a:b] = True
+        assert hit.all()
+    for n in (6, 8):
+        rows = contamination(documents(spark, [texts[n - 1]]), items(spark, [texts[n - 1]])).collect()
+        assert [(r.n_words, [(s.start, s.end) for s in r.spans], r["items"]) for r in rows] == [(n, [(0, n)], ["1"])]
+
+
 def test_odd_rows(odd, empty, spark):
     got = contamination(odd, items(spark, ["one two three", None])).collect()
     assert len(got) == 10 and {r.doc_id for r in got if r.spans} == {6}
