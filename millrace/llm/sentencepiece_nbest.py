@@ -11,6 +11,7 @@ are combined.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -103,20 +104,30 @@ class Pieces:
 
     def edges(self, text: str) -> list[list[tuple[int, float, bytes]]]:
         """For each end the pieces that end there: (start, score, ids)."""
-        known, n = self.known, len(text)
+        return self._lattice(text)[0]
+
+    def _lattice(self, text: str) -> tuple[list[list[tuple[int, float, bytes]]], list[float]]:
+        """The edges and, by a forward Viterbi pass, the best score of every prefix."""
+        trie, n = self.trie, len(text)
         into: list[list[tuple[int, float, bytes]]] = [[] for _ in range(n + 1)]
+        alpha = [0.0] + [float("-inf")] * n
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                sub = text[i:j]
-                if sub not in known:
-                    break
-                if found := known[sub]:
-                    into[j].append((i, *found))
-                    single = single or j == i + 1
+            a, single = alpha[i], False
+            node, j = trie, i
+            while j < n and (node := node.get(text[j])) is not None:
+                j += 1
+                if (found := node.get("")) is None:
+                    continue  # only the beginning of a piece
+                score, ids = found
+                single = single or j == i + 1
+                into[j].append((i, score, ids))
+                if a + score > alpha[j]:
+                    alpha[j] = a + score
             if not single:
                 into[i + 1].append((i, self.fallback, self._spell(text[i])))
-        return into
+                if a + self.fallback > alpha[i + 1]:
+                    alpha[i + 1] = a + self.fallback
+        return into, alpha
 
     def best(self, parts: list[str]) -> list[tuple[bytes, float, float]]:
         """(ids, score, lead over the second-best segmentation or inf) of each part."""
@@ -124,70 +135,49 @@ class Pieces:
         return [get(p) or search(p) for p in parts]
 
     def _best(self, part: str) -> tuple[bytes, float, float]:
-        """The same for one part, by Viterbi with the two best scores of every prefix."""
+        """The same for one part: the first two paths of the A* search."""
         if len(self.cache) >= _CACHED:
             self.older, self.cache = self.cache, {}
-        if found := self.older.get(part):
-            self.cache[part] = found
-            return found
-        trie, n, none = self.trie, len(part), float("-inf")
-        first, second = [none] * (n + 1), [none] * (n + 1)
-        back, piece = [0] * (n + 1), [b""] * (n + 1)
-        first[0] = 0.0
-        for i in range(n):
-            a, b, single = first[i], second[i], False
-            node, j = trie, i
-            while j < n and (node := node.get(part[j])) is not None:
-                j += 1
-                if (found := node.get("")) is None:
-                    continue  # only the beginning of a piece
-                score, ids = found
-                if j == i + 1:
-                    single = True
-                s = a + score
-                if s > first[j]:
-                    second[j] = max(first[j], b + score)
-                    first[j], back[j], piece[j] = s, i, ids
-                elif s > second[j]:
-                    second[j] = s
-            if not single:
-                s = a + self.fallback
-                if s > first[i + 1]:
-                    second[i + 1] = max(first[i + 1], b + self.fallback)
-                    first[i + 1], back[i + 1], piece[i + 1] = s, i, self._spell(part[i])
-                elif s > second[i + 1]:
-                    second[i + 1] = s
-        ids, at = [], n
-        while at:
-            ids.append(piece[at])
-            at = back[at]
-        ids.reverse()
-        found = (b"".join(ids), first[n], first[n] - second[n])
+        if not (found := self.older.get(part)):
+            paths = self.nbest_part(part, 2)
+            score, ids = paths[0]
+            found = (ids, score, score - paths[1][0] if len(paths) > 1 else float("inf"))
         self.cache[part] = found
         return found
 
     def nbest_part(self, part: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of one part: backward A* under forward Viterbi scores."""
-        into = self.edges(part)
-        alpha = [0.0]
-        for ends in into[1:]:
-            alpha.append(max(alpha[i] + s for i, s, _ in ends))
+        """The n best segmentations of one part: backward A* under forward Viterbi scores.
+
+        A node is met at most n times, best rest of the text first; what is met
+        later is on none of the n best paths.  So ties cost no more than n
+        times the lattice.
+        """
+        into, alpha = self._lattice(part)
+        push, pop = heapq.heappush, heapq.heappop
+        met = [0] * (len(part) + 1)
         out: list[tuple[float, bytes]] = []
         serial = 0
-        # (-(score so far + best score of the rest), order, position, score so far, path)
-        heap: list[tuple] = [(-alpha[-1], 0, len(part), 0.0, None)]
-        while heap and len(out) < n:
-            _, _, at, gone, path = heapq.heappop(heap)
+        # (-(score so far + best score of the rest), position, order, score so far, path)
+        heap: list[tuple] = [(-alpha[-1], len(part), 0, 0.0, None)]
+        while heap:
+            _, at, _, gone, path = pop(heap)
             if at == 0:
                 ids = []
                 while path:
                     ids.append(path[0])
                     path = path[1]
                 out.append((gone, b"".join(ids)))
+                if len(out) == n:
+                    break
+                continue
+            if met[at] == n:
                 continue
+            met[at] += 1
             for i, score, piece in into[at]:
-                serial += 1
-                heapq.heappush(heap, (-(gone + score + alpha[i]), serial, i, gone + score, (piece, path)))
+                if met[i] < n:
+                    serial += 1
+                    so_far = gone + score
+                    push(heap, (-(so_far + alpha[i]), i, serial, so_far, (piece, path)))
         return out
 
     def encode(self, text: str) -> tuple[bytes, float]:
@@ -198,11 +188,20 @@ class Pieces:
     def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text, best first: (score, ids)."""
         parts = self.parts.findall(" " + text) if text else []
+        return [(score, np.frombuffer(ids, np.int32).tolist()) for score, ids in self._nbest(parts, n)]
+
+    def _nbest(self, parts: list[str], n: int) -> list[tuple[float, bytes]]:
+        """(score, ids as int32 bytes) of the n best segmentations of all parts, best first."""
         best, scores, leads = zip(*self.best(parts)) if parts else ((), (), ())
+        first = b"".join(best)
+        ends = list(itertools.accumulate(map(len, best)))
         out = []
         for score, changes in self._combine(parts, scores, leads, n):
-            ids = b"".join(changes.get(k, b) for k, b in enumerate(best))
-            out.append((score, np.frombuffer(ids, np.int32).tolist()))
+            pieces, at = [], 0
+            for k in sorted(changes):
+                pieces += (first[at : ends[k] - len(best[k])], changes[k])
+                at = ends[k]
+            out.append((score, b"".join([*pieces, first[at:]]) if pieces else first))
         return out
 
     def _combine(self, parts: list[str], scores: Sequence[float], leads: Sequence[float], n: int) -> list[tuple[float, dict[int, bytes]]]:
@@ -212,10 +211,7 @@ class Pieces:
         second-best lie behind.  An alternative outside the n - 1 parts with
         the least leads is beaten by n others, so only those are searched.
         """
-        if n == 2 and leads:
-            near = [leads.index(min(leads))]
-        else:
-            near = heapq.nsmallest(n - 1, range(len(leads)), key=leads.__getitem__)
+        near = heapq.nsmallest(n - 1, range(len(leads)), key=leads.__getitem__)
         ways: list[tuple[float, dict[int, bytes]]] = [(sum(scores), {})]
         for k in near:
             if leads[k] == float("inf"):
@@ -231,13 +227,19 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, found)).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 def encode(
-    docs: DataFrame, pieces: Pieces, nbest: int = 2, id_col: str = "doc_id", text_col: str = "text", check: bool = True
+    docs: DataFrame, pieces: Pieces, nbest: int = 5, id_col: str = "doc_id", text_col: str = "text", check: bool = True
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ids, n_pieces, score, nbest_scores, round_trip.
+    """One row per row of ``docs``: id, ids, n_pieces, score, nbest_scores, nbest_ids, round_trip.
 
-    The whole text is encoded.  ``nbest_scores`` are the scores of the up to
-    ``nbest`` best segmentations, best first; ``round_trip`` tells whether
+    The whole text is encoded.  ``nbest_scores`` and ``nbest_ids`` are the
+    scores and the ids of the up to ``nbest`` best segmentations, best first;
+    ``ids`` and ``score`` are those of the first; ``round_trip`` tells whether
     decoding ``ids`` gives back the text (null: not checked).  A null text
     counts as empty; an empty one has no piece and the one score 0.  A row's
     work is linear in its text, and nothing is shuffled.
@@ -249,29 +251,29 @@ def encode(
         known: Pieces = shipped.value
         for batch in batches:
             for at, texts in runs_of_texts(batch.column(1)):
-                ids, scores, all_scores, same = [], [], [], []
+                ids, scores, all_scores, all_ids, same = [], [], [], [], []
                 for raw in texts:
                     text = raw.decode()
                     parts = known.parts.findall(" " + text) if text else []
-                    best, part_scores, leads = zip(*known.best(parts)) if parts else ((), (), ())
-                    ids.append(b"".join(best))
-                    ways = [w[0] for w in known._combine(parts, part_scores, leads, nbest)]
-                    scores.append(ways[0])
-                    all_scores.append(ways)
+                    ways = known._nbest(parts, nbest)
+                    ids.append(ways[0][1])
+                    scores.append(ways[0][0])
+                    all_scores.append([w[0] for w in ways])
+                    all_ids.append([w[1] for w in ways])
                     same.append(known.decode(ids[-1]) == text if check else None)
-                counts = np.array([len(i) // 4 for i in ids], np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                each = _lists([i for ways in all_ids for i in ways])
+                of_rows = pa.array(np.cumsum([0, *map(len, all_ids)]).astype(np.int32))
                 yield pa.RecordBatch.from_pydict(
                     {
                         id_col: batch.column(0).slice(at, len(texts)),
-                        "ids": pa.ListArray.from_arrays(offsets, flat),
-                        "n_pieces": pa.array(counts),
+                        "ids": _lists(ids),
+                        "n_pieces": pa.array([len(i) // 4 for i in ids], pa.int32()),
                         "score": pa.array(scores, pa.float64()),
                         "nbest_scores": pa.array(all_scores, pa.list_(pa.float64())),
+                        "nbest_ids": pa.ListArray.from_arrays(of_rows, each),
                         "round_trip": pa.array(same, pa.bool_()),
                     }
                 )
 
-    schema = f"`{id_col}` {id_type}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, round_trip boolean"
+    schema = f"`{id_col}` {id_type}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, nbest_ids array<array<int>>, round_trip boolean"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -70,3 +70,18 @@ def test_rows(spark, odd, empty):
     assert encode(empty, PIECES).count() == 0
     ids = encode(documents(spark, ["hello"]), PIECES).first().ids
     assert PIECES.decode(ids) == "hello"
+
+
+def test_rows_hold_every_segmentation(spark):
+    text = "the wonderful cat."
+    row = encode(documents(spark, [text, "a" * 3000]), PIECES).where("doc_id = 1").first()
+    assert row.nbest_scores == pytest.approx(every_path(PIECES, " " + text)[:5])
+    assert row.nbest_ids[0] == row.ids and len({tuple(i) for i in row.nbest_ids}) == 5
+    assert all(PIECES.decode(i) == text for i in row.nbest_ids)
+    scores = {i: max(s, PIECES.fallback) for _, s, i in PIECES.entries}
+    assert [sum(scores[i] for i in ids) for ids in row.nbest_ids] == pytest.approx(row.nbest_scores)
+
+
+def test_ties_cost_no_more_than_the_lattice():
+    paths = PIECES.nbest_part("a" * 3000, 5)
+    assert len({ids for _, ids in paths}) == 5 and all(PIECES.decode(ids) == "a" * 3000 for _, ids in paths)
