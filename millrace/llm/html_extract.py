@@ -5,7 +5,8 @@ averaged over the nodes of a path, smoothed along the page, fused to one score
 per path and thresholded; the nodes of the paths that pass are content.  Marked
 page furniture (navigation, adverts, forms, comments ...) has no score, and the
 region that holds the content is then taken whole, so that its headings, lists
-and short paragraphs stay.
+and short paragraphs stay.  A class or id is only evidence: it never discards
+an article or what holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ FURNITURE_WORDS = frozenset(
 # First and last words of a class that only says that there is such a thing elsewhere (has-sidebar, comments-open).
 SAYS_FIRST, SAYS_LAST = frozenset("has with without no".split()), frozenset("open closed enabled disabled on off".split())
 MAIN_ROLES = frozenset(("main", "article"))
+# Classes of what readers wrote; only these, as a whole class, mark an article.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -60,7 +63,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：…]")
 @dataclass
 class Element:
     tag: str
-    furniture: bool
+    furniture: bool  # by its tag, its role or since it isn't shown
     region: int  # number of the article or main element that holds it, 0 for none
     serial: int
 
@@ -100,15 +103,46 @@ def _is_furniture(tag: str, attrs: str, in_region: bool) -> bool:
             return True
         if name == "role" and value.lower() in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main") and any(map(_names_furniture, value.split())):
-            return True
     return False
 
 
+def _is_named_furniture(tag: str, attrs: str, is_main: bool) -> bool:
+    """By words of its class or id, which :func:`_overruled` may set aside."""
+    if "=" not in attrs or tag in ("body", "html", "main"):
+        return False
+    names = [n for name, a, b, c in _ATTRIBUTE.findall(attrs) if name.lower() in ("class", "id") for n in (a or b or c).split()]
+    return any(n.lower() in COMMENTS for n in names) if is_main else any(map(_names_furniture, names))
+
+
+def _overruled(nodes: list[Node], named: dict[int, bool], mains: set[int]) -> set[int]:
+    """Elements of ``named`` (serial: for comments) that their content shows to be no furniture.
+
+    Those that hold more than half of the page's plain text or the longest
+    article or main element; comments only if no article or main element that
+    isn't in named furniture has text.
+    """
+    total, held = 0, defaultdict(int)
+    free = False
+    for n in nodes:
+        if not n.furniture and not n.linked and (size := len(n.text.strip())):
+            total += size
+            for serial in n.above:
+                held[serial] += size
+            free = free or (not mains.isdisjoint(n.above) and named.keys().isdisjoint(n.above))
+    out = {e for e, comments in named.items() if 2 * held[e] > total and not (comments and free)}
+    longest = max((m for m in mains if m not in named and held[m]), key=lambda m: (held[m], -m), default=None)
+    if longest:
+        above = next(n.above for n in nodes if longest in n.above and not n.furniture)
+        out.update(e for e in above[: above.index(longest)] if e in named)
+    return out
+
+
 def text_nodes(page: str) -> list[Node]:
     """The page's text nodes in order; what isn't shown (scripts, comments ...) is left out."""
     nodes: list[Node] = []
     stack: list[Element] = []
+    named: dict[int, bool] = {}
+    mains: set[int] = set()
     block = serial = regions = at = 0
 
     def add(text: str) -> None:
@@ -157,12 +191,21 @@ def text_nodes(page: str) -> list[Node]:
         region = stack[-1].region if stack else 0
         furniture = _is_furniture(tag, m["attrs"], bool(region))
         role = re.search(r"""\brole\s*=\s*["']?(\w+)""", m["attrs"])
-        if not region and not furniture and not any(e.furniture for e in stack) and (tag in ("article", "main") or role and role[1].lower() in MAIN_ROLES):
+        is_main = tag in ("article", "main") or bool(role and role[1].lower() in MAIN_ROLES)
+        if not region and not furniture and is_main and not any(e.furniture for e in stack):
             regions += 1
             region = regions
         serial += 1
+        if is_main:
+            mains.add(serial)
+        if not furniture and _is_named_furniture(tag, m["attrs"], is_main):
+            named[serial] = any(n.lower() in COMMENTS for name, *v in _ATTRIBUTE.findall(m["attrs"]) if name.lower() in ("class", "id") for n in _WORD.findall("".join(v)))
         stack.append(Element(tag, furniture, region, serial))
     add(page[at:])
+    if named:
+        left = named.keys() - _overruled(nodes, named, mains)
+        for n in nodes:
+            n.furniture = n.furniture or not left.isdisjoint(n.above)
     return nodes
 
 

@@ -46,6 +46,18 @@ def test_classes_that_only_mention_furniture(classes):
     assert main_text(f'<body class="search"><div class="{classes}"><p>{FIRST}</p><p>{SECOND}</p></div></body>') == f"{FIRST}\n\n{PLAIN}"
 
 
+@pytest.mark.parametrize("classes", ["content-sidebar-wrap", "page-with-sidebar", "tag-social", "post category-legal"])
+@pytest.mark.parametrize("page", ["<div class='{}'><article>{}</article></div>", "<article class='{}'>{}</article>", "<div class='{}'>{}</div>", "<article><div class='{}'>{}</div></article>"])
+def test_classes_never_discard_the_text(classes, page):
+    inner = f"<h1>Title</h1><p>{FIRST}</p><div class='sidebar'><p>Read this, too.</p></div><p>{SECOND}</p>"
+    assert main_text(f"<body>{FURNITURE[5]}{page.format(classes, inner)}{FURNITURE[11]}</body>") == f"Title\n\n{FIRST}\n\n{PLAIN}"
+
+
+def test_long_comments_stay_furniture():
+    comments = f"<section class='comments'>{f'<article><p>{SECOND}</p></article>' * 9}</section>"
+    assert main_text(f"<article><p>{FIRST}</p></article>{comments}") == FIRST
+
+
 def test_white_space_and_references():
     assert main_text("<p>a &amp; b&nbsp;c<br>d\n\n e &lt;p&gt; &#233;&copy;</p><p>f</p>") == "a & b c d e <p> é©\n\nf"
 
