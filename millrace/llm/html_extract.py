@@ -4,7 +4,7 @@ Every text node has a root-to-leaf tag path.  Text length and punctuation are
 averaged over the nodes of a path, smoothed along the page, fused to one score
 per path and thresholded; the nodes of the paths that pass are content.  Marked
 page furniture (navigation, adverts, forms, comments ...) has no score, and the
-region that holds the content is then taken whole, so that its headings, lists
+regions that hold content are then taken whole, so that their headings, lists
 and short paragraphs stay.  A class or id is only evidence: it never discards
 an article or what holds most of the page's text.
 """
@@ -257,19 +257,13 @@ def main_text(page: str | None) -> str:
     if not content:
         kept = [n for n in nodes if not n.furniture]
     else:
-        mass: dict[int, int] = defaultdict(int)
-        for n in content:
-            mass[n.region] += len(n.text)
-        best = max((r for r in mass if r), key=lambda r: (mass[r], -r), default=0)
-        if best:
-            kept = [n for n in nodes if n.region == best and not n.furniture]
+        regions = {n.region for n in content if n.region}
+        if regions:
+            kept = [n for n in nodes if n.region in regions and not n.furniture]
         else:
-            # what stands in a container that holds content itself, from the first to the last content block
+            # the containers that hold content themselves, each of them whole
             holders = {n.container for n in content}
-            inside = [n for n in nodes if not n.furniture and (0 in holders or not holders.isdisjoint(n.above))]
-            first, last = content[0].block, content[-1].block
-            heading = [n.block for n in inside if n.heading and n.block < first]
-            kept = [n for n in inside if min(heading, default=first) <= n.block <= last]
+            kept = [n for n in nodes if not n.furniture and (0 in holders or not holders.isdisjoint(n.above))]
     out: dict[int, list[Node]] = defaultdict(list)
     for n in kept:
         out[n.block].append(n)

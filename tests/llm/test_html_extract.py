@@ -58,6 +58,16 @@ def test_long_comments_stay_furniture():
     assert main_text(f"<article><p>{FIRST}</p></article>{comments}") == FIRST
 
 
+def test_containers_are_taken_whole():
+    long, short = "A long paragraph, which goes on. " * 8, "A closing item, not long."
+    page = f"<body><div><p>By a writer.</p><h1>Title</h1>{f'<p>{long}</p>' * 5}<ul>{f'<li>{short}</li>' * 5}</ul><table><tr><td>cell</td></tr></table></div></body>"
+    assert main_text(page).split("\n\n") == ["By a writer.", "Title", *[long.strip()] * 5, *[short] * 5, "cell"]
+
+
+def test_every_article_with_content_is_kept():
+    assert main_text(f"<body><article><p>{FIRST}</p></article><p>x</p><article><p>{SECOND}</p></article></body>") == f"{FIRST}\n\n{PLAIN}"
+
+
 def test_white_space_and_references():
     assert main_text("<p>a &amp; b&nbsp;c<br>d\n\n e &lt;p&gt; &#233;&copy;</p><p>f</p>") == "a & b c d e <p> é©\n\nf"
 
