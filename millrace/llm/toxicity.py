@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
 from millrace.llm.words import pieces
 
 # Characters that stand for another letter.  l and i fold together since 1, ! and | stand for both.
@@ -233,16 +234,22 @@ def train(
         return pa.RecordBatch.from_pydict({"entry": pa.array(entries, pa.string())} | columns)
 
     names = {"toxic_a": (True, True), "clean_a": (False, True), "toxic_b": (True, False), "clean_b": (False, False)}
-    counted = (
+    counted = materialize(
         rows.mapInArrow(count, "entry string, " + ", ".join(f"{n} bigint" for n in names))
         .groupBy("entry")
         .agg(*(F.sum(n).alias(n) for n in names))
-        .where("toxic_a + toxic_b >= 4 AND (toxic_a + toxic_b) * 4 >= clean_a + clean_b OR entry = ''")
+        .where("toxic_a + toxic_b >= 4 OR entry = ''"),
+        "toxicity-counts",
     )
-    counts = {r["entry"]: (r["toxic_a"], r["clean_a"], r["toxic_b"], r["clean_b"]) for r in counted.collect()}
-    toxic_a, clean_a, toxic_b, clean_b = counts.pop("", (0, 0, 0, 0))
+    totals = counted.where("entry = ''").first()
+    toxic_a, clean_a, toxic_b, clean_b = (totals[n] for n in names) if totals else (0, 0, 0, 0)
     if not toxic_a + toxic_b or not clean_a + clean_b:
         return UNTRAINED
+    # what can reach the margin in the whole sample or in its half: four times as frequent among toxic rows
+    likely = lambda toxic, clean, n_toxic, n_clean: f"({toxic} + 0.5D) * {n_clean + 1} >= 4 * ({clean} + 0.5D) * {n_toxic + 1}"
+    both = likely("toxic_a + toxic_b", "clean_a + clean_b", toxic_a + toxic_b, clean_a + clean_b)
+    kept = counted.where(f"entry <> '' AND ({both} OR {likely('toxic_a', 'clean_a', toxic_a, clean_a)})")
+    counts = {r["entry"]: (r["toxic_a"], r["clean_a"], r["toxic_b"], r["clean_b"]) for r in kept.collect()}
     whole = select_lexicon(((e, c[0] + c[2], c[1] + c[3]) for e, c in counts.items()), toxic_a + toxic_b, clean_a + clean_b)
     half = select_lexicon(((e, c[0], c[1]) for e, c in counts.items()), toxic_a, clean_a)
     model = Model(half, [0.0] * 5, exceptions)

@@ -60,3 +60,9 @@ def test_held_out_quality(spark):
     held = [r for r in queries.op5_toxicity(spark, sf_dir).collect() if r.held_out and r.doc_id in truth]
     right = sum(r.predicted and truth[r.doc_id] for r in held)
     assert right >= 0.9 * sum(r.predicted for r in held) and right >= 0.85 * sum(truth[r.doc_id] for r in held)
+
+
+def test_few_toxic_labels_still_find_their_words(spark):
+    texts = [f"{'grumbok' if i < 20 else 'river'} day" for i in range(100)] + [f"{'grumbok' if i < 98 else 'river'} day" for i in range(4900)]
+    labels = spark.createDataFrame([(i, int(i <= 100)) for i in range(1, 5001)], "doc_id long, toxic int")
+    assert toxicity.fold("grum")[:-1] in toxicity.train(documents(spark, texts), labels).weights
