@@ -1,14 +1,15 @@
 """The corpus pipeline: documents through five stages, each written and read again.
 
 Toxic documents go, of equal texts one row stays, of near duplicates one
-document stays, contaminated documents go, and what is left is encoded.
+row stays, contaminated documents go, and what is left is encoded.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm.common import drop_ids, materialize, table
+from millrace.llm.common import drop_rows, materialize, numbered, table
 from millrace.session import ship
 
 
@@ -21,28 +22,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts one row, of the largest id; rows without id come last."""
     from millrace.llm.exact_dedup import exact_dedup as judge
 
-    judged = materialize(judge(docs).where("NOT kept").select("doc_id"), "exact-dropped")
-    return drop_ids(docs, judged, "doc_id")
+    rows = numbered(docs)
+    judged = judge(rows.select(F.struct(F.col("doc_id").alias("id"), "__row").alias("row"), "text"), "row").where("NOT kept")
+    return drop_rows(rows, materialize(judged.select("row.__row"), "exact-dropped"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id."""
+    """Of each component of near duplicates one row, of the smallest id; rows without id come last."""
     from millrace.llm.simhash import near_duplicates
 
     ship(spark)
-    judged = materialize(near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "near-dropped")
-    return drop_ids(docs, judged, "doc_id")
+    rows = numbered(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), "__row")
+    judged = near_duplicates(rows.select(row.alias("row"), "text"), "row").where("row.__row <> component_id.__row")
+    return drop_rows(rows, materialize(judged.select("row.__row"), "near-dropped"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    from millrace.llm.winnowing import contamination
+    from millrace.llm.winnowing import drop_contaminated
 
-    judged = materialize(contamination(docs, table(spark, sf_dir, "benchmark")).where("size(spans) > 0").select("doc_id"), "contaminated")
-    return drop_ids(docs, judged, "doc_id")
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

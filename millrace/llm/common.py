@@ -72,14 +72,19 @@ def discard(*tables: DataFrame) -> None:
         df._written_to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._written_to, True)
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``dropped`` (materialised, one column).
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with a unique number of each row in ``__row``; ids may be null or repeat."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
-    Up to ``broadcast_rows`` distinct ids (8 bytes each, counted first) go to
-    every executor and the texts stay where they are; beyond that both sides
-    are shuffled by id.
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of :func:`numbered` ``docs`` whose number is not in ``dropped`` (materialised, one column), without it.
+
+    Up to ``broadcast_rows`` numbers (8 bytes each, counted first) go to every
+    executor and the texts stay where they are; beyond that both sides are
+    shuffled by number.
     """
-    ids = dropped.select(F.col(id_col).alias("__dropped")).where(F.col("__dropped").isNotNull()).distinct()
-    if ids.count() <= broadcast_rows:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col] == ids["__dropped"], "left_anti")
+    rows = dropped.select(F.col("__row").alias("__dropped"))
+    if rows.count() <= broadcast_rows:
+        rows = F.broadcast(rows)
+    return docs.join(rows, docs["__row"] == rows["__dropped"], "left_anti").drop("__row")

@@ -147,10 +147,6 @@ def contamination(
     several blocks, each against all documents.  Documents are never shuffled,
     so neither a hot source nor a passage that a third of them shares matters.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     id_type = docs.schema[id_col].dataType.simpleString()
     frame = docs.select(F.col(id_col), F.col(text_col).alias("__text")).withColumns(
         {
@@ -160,11 +156,7 @@ def contamination(
         }
     )
     carried = f"`{id_col}` {id_type}, __text string, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = part.collect()
-        index = spark.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"].encode() for r in rows], k, span))
-        final = block == blocks - 1
+    for index, final in _blocks(benchmark, item_col, item_text_col, k, span, block_bytes):
         schema = carried.replace(" __text string,", "") if final else carried
         frame = frame.mapInArrow(_marker(index, final), schema)
         if not final:
@@ -172,6 +164,49 @@ def contamination(
     return frame
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    k: int = K,
+    span: int = SPAN,
+    block_bytes: int = 4 << 20,
+) -> DataFrame:
+    """Rows of ``docs``, all columns, that hold no window of an item; see :func:`contamination`."""
+    for index, final in _blocks(benchmark, item_col, item_text_col, k, span, block_bytes):
+        docs = docs.mapInArrow(_filter(index, text_col), docs.schema)
+        if not final:
+            docs = materialize(docs, "decontamination-block")
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, k: int, span: int, block_bytes: int) -> Iterator[tuple]:
+    """(broadcast index, whether it is the last) of every block of items."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        rows = part.collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"].encode() for r in rows], k, span)), block == blocks - 1
+
+
+def _filter(index, text_col: str):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Index = index.value
+        for batch in batches:
+            for at, texts in pieces(batch.column(batch.schema.names.index(text_col))):
+                words = Words.of(texts, ALNUM_LOWER)
+                clean = np.ones(len(texts), bool)
+                if hit := found.hits(words):
+                    clean[np.searchsorted(words.first, [a for a, _, _ in hit], "right") - 1] = False
+                yield batch.slice(at, len(texts)).filter(pa.array(clean))
+
+    return keep
+
+
 def _marker(index, final: bool):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Index = index.value

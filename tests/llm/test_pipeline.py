@@ -3,6 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 from millrace.llm import queries
 from millrace.llm.sentencepiece_nbest import Pieces
+from millrace.llm.simhash import fingerprint
 from millrace.llm.winnowing import contamination
 
 
@@ -51,3 +52,23 @@ def test_odd_documents(spark, odd, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, sf_dir)
     assert {r.doc_id for r in kept.collect()} >= {5, 6, 7}
+
+
+def test_rows_without_id_and_repeated_ids(spark, sf_dir):
+    words = [f"word{i}" for i in range(400)]
+    base, copy = " ".join(words), " ".join([*words, "end"])
+    assert 0 < (fingerprint(base.encode()) ^ fingerprint(copy.encode())).bit_count() <= 3
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").orderBy("item_id").first().text
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        return sorted(((r.doc_id, r.text) for r in stages[stage](spark, docs, sf_dir).collect()), key=str)
+
+    same = [(None, "a copy", "en"), (None, "a copy", "de"), (1, "another copy", "en"), (2, "another copy", "en"), (None, "another copy", "en"), (1, "clean", "en")]
+    assert kept("exact_dedup", same) == [(1, "clean"), (2, "another copy"), (None, "a copy")]
+    near = [(None, base, "en"), (None, copy, "en"), (7, "quite another text", "en"), (7, "one more text than that", "en")]
+    assert [i for i, _ in kept("near_dedup", near)] == [7, 7, None]
+    assert kept("near_dedup", [*near, (7, copy, "en"), (5, base, "en")]) == sorted([(5, base), *[(i, t) for i, t, _ in near[2:]]], key=str)
+    hit = [(None, f"so: {item}", "en"), (None, "clean", "en"), (3, item, "en"), (3, "clean too", "en")]
+    assert kept("decontamination", hit) == [(3, "clean too"), (None, "clean")]
