@@ -1,12 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a root-to-leaf tag path.  Text length and punctuation are
-averaged over the nodes of a path, smoothed along the page, fused to one score
-per path and thresholded; the nodes of the paths that pass are content.  Marked
-page furniture (navigation, adverts, forms, comments ...) has no score, and the
-regions that hold content are then taken whole, so that their headings, lists
-and short paragraphs stay.  A class or id is only evidence: it never discards
-an article or what holds most of the page's text.
+Every text node has a root-to-leaf tag path (containers with their class).
+Text length and punctuation are averaged over the nodes of a path, smoothed
+along the page, fused to one score per path and thresholded; the nodes of the
+paths that pass are content.  From the root the extraction goes down to the
+element that still holds nearly all content, and takes it whole, so that its
+headings, lists, links and short paragraphs stay; an article or main element
+on that way ends it.  Marked furniture (navigation, adverts, forms, comments
+...) inside it goes.  Words of a class or id are only evidence of furniture,
+which the content an element holds can overrule.
+
+Parsing and scoring are linear in the page, also for broken or deeply nested
+markup: paths are interned as (path above, tag), an element knows its parent,
+and open tags are found by their places on the stack.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 # The HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object audio video canvas select datalist".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg object audio video canvas select datalist annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -39,189 +45,236 @@ BARRIER = frozenset("ul ol dl table menu body article section div".split())
 FURNITURE = frozenset("nav footer aside form button dialog menu search head".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies "
-    "copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notification overlay pager "
-    "pagination popup promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup skip social "
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies "
+    "disclaimer discussion disqus footer gdpr login masthead modal nav navbar navigation newsletter overlay pager "
+    "pagination popup promo promoted promotion recommendations recommended replies respond sharing sidebar signup "
     "responses sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+# Words that also name subjects; they count if the whole name consists of them and of layout.
+WEAK_WORDS = frozenset("alert copyright hidden legal menu notice notification related reply search share skip social".split())
+LAYOUT_WORDS = frozenset("bar block bottom box button buttons container content inner item items left link links list main outer panel right row section side site top wrap wrapper".split())
 # First and last words of a class that only says that there is such a thing elsewhere (has-sidebar, comments-open).
 SAYS_FIRST, SAYS_LAST = frozenset("has with without no".split()), frozenset("open closed enabled disabled on off".split())
 MAIN_ROLES = frozenset(("main", "article"))
 # Classes of what readers wrote; only these, as a whole class, mark an article.
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+#: What keeps its text whatever its class or id says.
+UNMARKABLE = HEADINGS | frozenset("html body main p li dd dt td th tr table tbody thead tfoot caption blockquote pre figure figcaption".split())
+#: An element that holds this share of the content found so far is entered.
+ENTERED = 0.9
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：…]")
 
 
-@dataclass
-class Element:
-    tag: str
-    furniture: bool  # by its tag, its role or since it isn't shown
-    region: int  # number of the article or main element that holds it, 0 for none
-    serial: int
-
-
 @dataclass
 class Node:
     """A text node."""
 
-    path: str
+    path: int
     text: str
     block: int
+    element: int  # the innermost element that holds it
     furniture: bool
     linked: bool
-    heading: bool
-    region: int
-    above: tuple[int, ...]  # serial numbers of the elements that hold it
-    container: int  # that of the innermost container among them, 0 for the page
+
+    def plain(self) -> bool:
+        return not self.furniture and not self.linked and not self.text.isspace()
+
+
+@dataclass
+class Page:
+    """Text nodes in page order, and the elements by number; a parent has the smaller number, 0 is the page itself."""
+
+    nodes: list[Node] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    container: list[bool] = field(default_factory=lambda: [True])
+    main: list[bool] = field(default_factory=lambda: [False])
+    named: dict[int, bool] = field(default_factory=dict)  # furniture by its class or id: whether for comments
+    body: int = 0
+
+    def held(self, own: dict[int, float]) -> list[float]:
+        """For each element what it and all elements below it hold, given what each holds itself."""
+        out = [own.get(e, 0.0) for e in range(len(self.parent))]
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def below(self, elements: set[int] | dict[int, bool]) -> list[bool]:
+        """For each element whether it is one of ``elements`` or below one."""
+        out = [0 in elements] * len(self.parent)
+        for e in range(1, len(out)):
+            out[e] = out[self.parent[e]] or e in elements
+        return out
 
 
 def _names_furniture(name: str) -> bool:
     words = [w.lower() for w in _WORD.findall(name)]
     if not words or words[0] in SAYS_FIRST or words[-1] in SAYS_LAST:
         return False
-    return any(w in FURNITURE_WORDS or w.rstrip("s") in FURNITURE_WORDS for w in words)
+    if any(w in FURNITURE_WORDS or w.rstrip("s") in FURNITURE_WORDS for w in words):
+        return True
+    return any(w in WEAK_WORDS for w in words) and all(w in WEAK_WORDS or w in LAYOUT_WORDS for w in words)
 
 
-def _is_furniture(tag: str, attrs: str, in_region: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_region):
+def _is_furniture(tag: str, attributes: list[tuple[str, str]], in_main: bool) -> bool:
+    if tag in FURNITURE or (tag == "header" and not in_main):
         return True
-    if "=" not in attrs and "hidden" not in attrs:
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), a or b or c
+    for name, value in attributes:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "role" and value.lower() in FURNITURE_ROLES:
+        if (name == "style" and _UNSEEN.search(value)) or (name == "role" and value.lower() in FURNITURE_ROLES):
             return True
     return False
 
 
-def _is_named_furniture(tag: str, attrs: str, is_main: bool) -> bool:
+def _is_named_furniture(tag: str, attributes: list[tuple[str, str]], is_main: bool) -> bool:
     """By words of its class or id, which :func:`_overruled` may set aside."""
-    if "=" not in attrs or tag in ("body", "html", "main"):
+    if tag in UNMARKABLE:
         return False
-    names = [n for name, a, b, c in _ATTRIBUTE.findall(attrs) if name.lower() in ("class", "id") for n in (a or b or c).split()]
+    names = [n for name, value in attributes if name in ("class", "id") for n in value.split()]
     return any(n.lower() in COMMENTS for n in names) if is_main else any(map(_names_furniture, names))
 
 
-def _overruled(nodes: list[Node], named: dict[int, bool], mains: set[int]) -> set[int]:
-    """Elements of ``named`` (serial: for comments) that their content shows to be no furniture.
-
-    Those that hold more than half of the page's plain text or the longest
-    article or main element; comments only if no article or main element that
-    isn't in named furniture has text.
-    """
-    total, held = 0, defaultdict(int)
-    free = False
-    for n in nodes:
-        if not n.furniture and not n.linked and (size := len(n.text.strip())):
-            total += size
-            for serial in n.above:
-                held[serial] += size
-            free = free or (not mains.isdisjoint(n.above) and named.keys().isdisjoint(n.above))
-    out = {e for e, comments in named.items() if 2 * held[e] > total and not (comments and free)}
-    longest = max((m for m in mains if m not in named and held[m]), key=lambda m: (held[m], -m), default=None)
-    if longest:
-        above = next(n.above for n in nodes if longest in n.above and not n.furniture)
-        out.update(e for e in above[: above.index(longest)] if e in named)
-    return out
-
-
-def text_nodes(page: str) -> list[Node]:
-    """The page's text nodes in order; what isn't shown (scripts, comments ...) is left out."""
-    nodes: list[Node] = []
-    stack: list[Element] = []
-    named: dict[int, bool] = {}
-    mains: set[int] = set()
-    block = serial = regions = at = 0
+class _Tags:
+    """Where tags begin and end; each part of the page is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.broken = -1  # up to here quotes don't count, since one that was opened never closes
+        self.no_cdata = len(page)  # from here on no CDATA section closes
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool, str] | None:
+        """(begin, end, name or "", attributes, whether an end tag, CDATA text) of the next tag from ``at``."""
+        page = self.page
+        while (begin := page.find("<", at)) >= 0:
+            at = begin + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                return begin, len(page) if end < 0 else end + 3, "", "", False, ""
+            if page.startswith("![CDATA[", at) and begin < self.no_cdata:
+                if (end := page.find("]]>", at + 8)) >= 0:
+                    return begin, end + 3, "", "", False, page[at + 8 : end]
+                self.no_cdata = begin
+            if at > self.last:
+                return None  # no tag closes any more: the rest is text
+            if page.startswith(("!", "?"), at):
+                return begin, page.index(">", at) + 1, "", "", False, ""
+            closing = page.startswith("/", at)
+            if name := _NAME.match(page, at + closing):
+                end = self._end(name.end())
+                return begin, end + 1, name[0].lower(), page[name.end() : end], closing, ""
+        return None
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends a tag; one in quotes doesn't, unless the quotes or the tag never close."""
+        first = self.page.index(">", at)
+        while at > self.broken and (stop := _STOP.search(self.page, at)):
+            if stop[0] == ">":
+                return stop.start()
+            if not (at := self.page.find(stop[0], stop.end()) + 1):
+                self.broken = stop.start()
+        self.broken = max(self.broken, at)
+        return first
+
+
+def parse(page: str) -> Page:
+    """The page's text nodes and elements; what isn't shown (scripts, comments ...) is left out."""
+    out = Page()
+    nodes, parent = out.nodes, out.parent
+    paths: dict[tuple[int, str], int] = {}
+    # of each element: its path, and whether it is in furniture, a header, a link, a heading, an article or main element
+    path_of, furniture, header, linked, heading, in_main = [0], [False], [False], [False], [False], [False]
+    stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # tag -> its places on the stack
+    ends: dict[str, re.Pattern[str]] = {}
+    tags = _Tags(page)
+    block = at = 0
 
     def add(text: str) -> None:
         if text and (nodes or text.strip()):
-            tags = [e.tag for e in stack]
-            region = stack[-1].region if stack else 0
-            header = "header" in tags and not HEADINGS.intersection(tags)
-            nodes.append(
-                Node("/".join(tags), html.unescape(text), block, any(e.furniture for e in stack) or header, "a" in tags, bool(HEADINGS.intersection(tags)), region, tuple(e.serial for e in stack), next((e.serial for e in reversed(stack) if e.tag in CONTAINERS), 0))
-            )
-
-    def close(wanted: tuple[str, ...], barrier: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in wanted:
-                del stack[i:]
-                return
-            if stack[i].tag in barrier:
-                return
-
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m["name"]:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+            e = stack[-1][1] if stack else 0
+            # of a header only the headings count
+            nodes.append(Node(path_of[e], html.unescape(text), block, e, furniture[e] or (header[e] and not heading[e]), linked[e]))
+
+    def close(wanted: str, barrier: frozenset[str]) -> None:
+        place = max((places[t][-1] for t in wanted.split() if places[t]), default=-1)
+        if place < 0 or any(places[t] and places[t][-1] > place for t in barrier):
+            return
+        while len(stack) > place:
+            places[stack.pop()[0]].pop()
+
+    while found := tags.next(at):
+        begin, end, tag, attrs, closing, data = found
+        add(page[at:begin] + data)
+        at = end
+        if not tag:
             continue
-        tag = m["name"].lower()
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCK:
             block += 1
-        if m["end"]:
-            close((tag,), frozenset())
+        if closing:
+            close(tag, frozenset())
             continue
-        if tag in RAW and not m[0].endswith("/>"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW and not attrs.endswith("/"):
+            if tag not in ends:
+                ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+            rest = ends[tag].search(page, at)
+            at = rest.end() if rest else len(page)
             continue
         if tag in BLOCK:
-            close(("p",), BARRIER | {"li", "td", "th", "blockquote"})
+            close("p", BARRIER | {"li", "td", "th", "blockquote"})
         if tag in CLOSES:
-            close(tuple(CLOSES[tag].split()), frozenset(("ul", "ol", "dl", "table", "menu")))
-        if tag in VOID or m[0].endswith("/>"):
+            close(CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "menu")))
+        if tag in VOID or attrs.endswith("/"):
             continue
-        region = stack[-1].region if stack else 0
-        furniture = _is_furniture(tag, m["attrs"], bool(region))
-        role = re.search(r"""\brole\s*=\s*["']?(\w+)""", m["attrs"])
-        is_main = tag in ("article", "main") or bool(role and role[1].lower() in MAIN_ROLES)
-        if not region and not furniture and is_main and not any(e.furniture for e in stack):
-            regions += 1
-            region = regions
-        serial += 1
-        if is_main:
-            mains.add(serial)
-        if not furniture and _is_named_furniture(tag, m["attrs"], is_main):
-            named[serial] = any(n.lower() in COMMENTS for name, *v in _ATTRIBUTE.findall(m["attrs"]) if name.lower() in ("class", "id") for n in _WORD.findall("".join(v)))
-        stack.append(Element(tag, furniture, region, serial))
+        above, e = stack[-1][1] if stack else 0, len(parent)
+        attributes = [(n.lower(), a or b or c) for n, a, b, c in _ATTRIBUTE.findall(attrs)] if "=" in attrs or "hidden" in attrs else []
+        out.body = out.body or (e if tag == "body" else 0)
+        is_main = tag in ("article", "main") or any(n == "role" and v.lower() in MAIN_ROLES for n, v in attributes)
+        own = _is_furniture(tag, attributes, in_main[above])
+        if not own and _is_named_furniture(tag, attributes, is_main):
+            out.named[e] = any(w.lower() in COMMENTS for n, v in attributes if n in ("class", "id") for w in _WORD.findall(v))
+        classes = ".".join(v for n, v in attributes if n == "class") if tag in CONTAINERS else ""
+        path_of.append(paths.setdefault((path_of[above], f"{tag}.{classes}"), len(paths) + 1))
+        parent.append(above)
+        out.container.append(tag in CONTAINERS)
+        out.main.append(is_main)
+        furniture.append(own or furniture[above])
+        header.append(header[above] or tag == "header")
+        linked.append(linked[above] or tag == "a")
+        heading.append(heading[above] or tag in HEADINGS)
+        in_main.append(in_main[above] or (is_main and not furniture[e]))
+        places[tag].append(len(stack))
+        stack.append((tag, e))
     add(page[at:])
-    if named:
-        left = named.keys() - _overruled(nodes, named, mains)
-        for n in nodes:
-            n.furniture = n.furniture or not left.isdisjoint(n.above)
-    return nodes
+    return out
+
 
+def path_scores(nodes: list[Node], sigma: float = 0.5) -> dict[int, float]:
+    """Fused, smoothed ratio of text length and punctuation of every path without furniture.
 
-def path_scores(nodes: list[Node], sigma: float = 1.0) -> dict[str, float]:
-    """Fused, smoothed ratio of text length and punctuation of every path without furniture."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    plain = [n for n in nodes if not n.furniture and not n.linked and n.text.strip()]
+    A path's ratios are text length and punctuation marks by text node.  Along
+    the page they are smoothed with a Gaussian kernel and averaged again by
+    path; the score is length times log2(2 + marks).
+    """
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    plain = [n for n in nodes if n.plain()]
     for n in plain:
         s = sums[n.path]
         s[0] += 1
         s[1] += len(n.text.strip())
         s[2] += len(_PUNCTUATION.findall(n.text))
     ratio = {p: (length / count, marks / count) for p, (count, length, marks) in sums.items()}
-    reach = max(1, int(3 * sigma))
+    reach = math.ceil(3 * sigma)
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
-    smooth: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    smooth: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     series = [ratio[n.path] for n in plain]
     for i, n in enumerate(plain):
         lo, hi = max(0, i - reach), min(len(series), i + reach + 1)
@@ -234,7 +287,7 @@ def path_scores(nodes: list[Node], sigma: float = 1.0) -> dict[str, float]:
     return {p: length / count * math.log2(2 + marks / count) for p, (count, length, marks) in smooth.items()}
 
 
-def content_paths(scores: dict[str, float], strictness: float = 0.5) -> set[str]:
+def content_paths(scores: dict[int, float], strictness: float = 0.5) -> set[int]:
     """Paths whose score reaches ``strictness`` standard deviations, all of them if there is no spread."""
     if not scores:
         return set()
@@ -243,6 +296,72 @@ def content_paths(scores: dict[str, float], strictness: float = 0.5) -> set[str]
     return {p for p, v in scores.items() if v >= strictness * spread}
 
 
+def _content(page: Page) -> dict[int, float]:
+    """Content by the element that holds it: text of the nodes whose path passes, weighted by the path's score."""
+    scores = path_scores(page.nodes)
+    chosen = content_paths(scores)
+    out: dict[int, float] = defaultdict(float)
+    for n in page.nodes:
+        if n.path in chosen and n.plain():
+            out[n.element] += len(n.text.strip()) * scores[n.path]
+    return out
+
+
+def _overruled(page: Page) -> set[int]:
+    """Elements of ``named`` that the content they hold shows to be no furniture.
+
+    Those that hold more than half of the content of the article or main
+    element around them, and those around the largest of these.  Outside of
+    such elements, and for readers' comments, half of the page's content counts
+    only if no article or main element has content beside named furniture.
+    """
+    own = _content(page)
+    held, inside = page.held(own), page.below(page.named)
+    beside = page.held({e: n for e, n in own.items() if not inside[e]})
+    free = any(main and n for main, n in zip(page.main, beside))
+    around = [0] * len(held)  # the innermost article or main element around each
+    for e in range(1, len(held)):
+        around[e] = page.parent[e] if page.main[page.parent[e]] else around[page.parent[e]]
+    out = {e for e, comments in page.named.items() if 2 * held[e] > held[around[e]] and not (free and (comments or not around[e]))}
+    longest = max((e for e, main in enumerate(page.main) if main and held[e] and e not in page.named), key=lambda e: (held[e], -e), default=0)
+    while longest := page.parent[longest]:
+        if longest in page.named:
+            out.add(longest)
+    return out
+
+
+def _regions(page: Page) -> set[int]:
+    """The elements that hold the content, to be taken whole.
+
+    From the page down into whatever element holds ``ENTERED`` of the content,
+    up to the first article or main element or the innermost container.  A body
+    whose content lies in several containers (articles, say) and hardly beside
+    them is these containers.
+    """
+    own = _content(page)
+    held = page.held(own)
+    below: dict[int, list[int]] = defaultdict(list)
+    for e in range(1, len(held)):
+        if held[e]:
+            below[page.parent[e]].append(e)
+    region = entered = 0
+    wanted = ENTERED * held[0]
+    while not page.main[region] and (step := max(below[region], key=held.__getitem__, default=0)) and held[step] >= wanted:
+        region = step
+        entered = region if page.container[region] else entered
+    if entered not in (0, page.body):
+        return {entered}
+    containers, beside, todo = set(), 0, [entered]
+    while todo:
+        e = todo.pop()
+        if e != entered and page.container[e] and e != page.body:
+            containers.add(e)
+        else:
+            beside += own.get(e, 0)
+            todo += below[e]
+    return containers if containers and beside < held[0] - wanted else {entered}
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: blocks in page order, joined by two line feeds.
 
@@ -250,31 +369,32 @@ def main_text(page: str | None) -> str:
     breaks too) becomes one space.  Null, empty and text-free pages give an
     empty text; a page without tags is one block.
     """
-    nodes = text_nodes(page or "")
-    scores = path_scores(nodes)
-    chosen = content_paths(scores)
-    content = [n for n in nodes if not n.furniture and not n.linked and n.path in chosen and n.text.strip()]
-    if not content:
-        kept = [n for n in nodes if not n.furniture]
-    else:
-        regions = {n.region for n in content if n.region}
-        if regions:
-            kept = [n for n in nodes if n.region in regions and not n.furniture]
-        else:
-            # the containers that hold content themselves, each of them whole
-            holders = {n.container for n in content}
-            kept = [n for n in nodes if not n.furniture and (0 in holders or not holders.isdisjoint(n.above))]
+    parsed = parse(page or "")
+    nodes = parsed.nodes
+    if parsed.named:
+        left = parsed.below(parsed.named.keys() - _overruled(parsed))
+        for n in nodes:
+            n.furniture = n.furniture or left[n.element]
+    regions = _regions(parsed)
+    inside = parsed.below(regions)
     out: dict[int, list[Node]] = defaultdict(list)
-    for n in kept:
-        out[n.block].append(n)
-    texts = []
-    for block in sorted(out):
-        text = " ".join("".join(n.text for n in out[block]).split())
-        linked = sum(len(n.text.strip()) for n in out[block] if n.linked)
-        # a block of links only is a menu, unless it is a heading or all there is
-        if text and (linked < 0.8 * len(text) or any(n.heading for n in out[block]) or len(out) == 1):
-            texts.append(text)
-    return "\n\n".join(texts)
+    for n in nodes:
+        if inside[n.element] and not n.furniture:
+            out[n.block].append(n)
+    blocks = sorted((b, " ".join("".join(n.text for n in out[b]).split())) for b in out)
+    blocks = [(b, text) for b, text in blocks if text]
+    if regions <= {0, parsed.body}:
+        blocks = _without_menus(blocks, out)
+    return "\n\n".join(text for _, text in blocks)
+
+
+def _without_menus(blocks: list[tuple[int, str]], nodes: dict[int, list[Node]]) -> list[tuple[int, str]]:
+    """Blocks of the whole page without runs of several blocks that are links only, before or after all other text."""
+    menu = [all(n.linked or n.text.isspace() for n in nodes[b]) for b, _ in blocks]
+    if all(menu):
+        return blocks
+    first, last = menu.index(False), len(menu) - menu[::-1].index(False)
+    return blocks[first if first > 1 else 0 : last if len(menu) - last > 1 else len(menu)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
