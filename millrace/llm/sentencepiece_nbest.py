@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import pieces as runs_of_texts
+from millrace.llm.words import valid
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts of a generation of the cache; a part takes about 250 bytes.
@@ -253,7 +254,7 @@ def encode(
             for at, texts in runs_of_texts(batch.column(1)):
                 ids, scores, all_scores, all_ids, same = [], [], [], [], []
                 for raw in texts:
-                    text = raw.decode()
+                    text, _ = valid(raw)
                     parts = known.parts.findall(" " + text) if text else []
                     ways = known._nbest(parts, nbest)
                     ids.append(ways[0][1])

@@ -8,6 +8,7 @@ is allocated by an explicit rule.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import pieces
+from millrace.llm.words import pieces, valid
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "end", "middle", "proportional")
+# Fixed value: the pattern's white space.  The pattern looks ahead from every character of such a run, which long runs don't allow.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 
 @dataclass
@@ -47,18 +50,34 @@ class Encoding:
             import tiktoken
 
             self._built = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+            self._whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
             self._lengths = np.zeros(max(self.ranks.values(), default=0) + 1, np.int64)
             for token, rank in self.ranks.items():
                 self._lengths[rank] = len(token)
         return self._built
 
+    def ids(self, text: str) -> list[int]:
+        """The tokens of the whole text.
+
+        The pattern takes a run of white space up to its last character, which
+        belongs to what follows; at the end of the text it takes all of it.
+        Long runs are cut out just so and merged as the one piece they are.
+        """
+        encode, out, at = self.encoder().encode_ordinary, [], 0
+        for run in _LONG_SPACE.finditer(text) if self.pattern == PATTERN else ():
+            end = run.end() - (run.end() < len(text))
+            out += encode(text[at : run.start()])
+            out += self._whole.encode_ordinary(text[run.start() : end])
+            at = end
+        return out + encode(text[at:]) if at else encode(text)
+
     def spans(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(first character, one past the last character) of every token of the whole text.
 
         Tokens are runs of bytes; one that holds part of a character counts
         from that character's place.
         """
-        ids = np.array(self.encoder().encode_ordinary(text), np.int64)
+        ids = np.array(self.ids(text), np.int64)
         ends = np.cumsum(self._lengths[ids])
         starts = ends - self._lengths[ids]
         if len(text) == len(raw):
@@ -130,7 +149,9 @@ def attribute(
     section and one outside.  Tokens of a document that no section holds are a
     row with section -1, so the lines' counts and, where sections don't
     overlap, any sections' counts add up to the document's.  A null or empty
-    text has no token, and no row unless it has given sections.
+    text has no token, and no row unless it has given sections.  Bytes that are
+    not UTF-8 count as U+FFFD.  Other columns of ``docs`` are not read, whatever
+    their names.
 
     The text is encoded once, whole, where it lies; nothing is shuffled.
     """
@@ -145,7 +166,7 @@ def attribute(
                 given = batch.column(2).slice(at, len(texts)).to_pylist() if sections_col else [None] * len(texts)
                 rows, columns = [], []
                 for i, (raw, sections) in enumerate(zip(texts, given)):
-                    text = raw.decode()
+                    text, raw = valid(raw)
                     first, last = shipped.value.spans(text, raw)
                     if sections_col:
                         limits = [(min(max(s["start"], 0), len(text)), min(max(s["end"], s["start"], 0), len(text))) for s in sections or () if s and s["start"] is not None and s["end"] is not None]

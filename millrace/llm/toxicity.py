@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize
-from millrace.llm.words import pieces
+from millrace.llm.words import pieces, valid
 
 # Characters that stand for another letter.  l and i fold together since 1, ! and | stand for both.
 LOOKALIKES = {
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in pieces(batch.column(1)):
-                texts = [t.decode() for t in texts]
+                texts = [valid(t)[0] for t in texts]
                 scores = [shipped.value.score(t) for t in texts]
                 yield pa.RecordBatch.from_pydict(
                     {id_col: batch.column(0).slice(at, len(texts)), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= threshold) for s in scores], pa.int32())}
@@ -296,7 +296,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in pieces(batch.column(batch.schema.names.index(text_col))):
-                clean = [shipped.value.score(t.decode()) < threshold for t in texts]
+                clean = [shipped.value.score(valid(t)[0]) < threshold for t in texts]
                 yield batch.slice(at, len(texts)).filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -117,3 +117,12 @@ def pieces(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[by
         stop = min(len(column), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1)
         yield at, [t or b"" for t in column.slice(at, stop - at).to_pylist()]
         at = stop
+
+
+def valid(raw: bytes) -> tuple[str, bytes]:
+    """A text and its UTF-8; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        return raw.decode(), raw
+    except UnicodeDecodeError:
+        text = raw.decode("utf-8", "replace")
+        return text, text.encode()
