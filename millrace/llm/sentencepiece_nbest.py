@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import operator
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,14 +79,14 @@ class Pieces:
                 self.known.setdefault(text[:k], None)
                 before.setdefault(text[k], set()).add(text[k - 1])
             self.known[text] = (max(score, self.fallback), np.int32(i).tobytes())
-        # the same by single characters, "" holding the piece that ends at a node
-        self.trie: dict = {}
+        # all pieces that end at each character, longest first
+        self.matcher, self.singles = ahocorasick.Automaton(), set()
         for text, found in self.known.items():
-            node = self.trie
-            for c in text:
-                node = node.setdefault(c, {})
             if found:
-                node[""] = found
+                self.matcher.add_word(text, (len(text), *found))
+                if len(text) == 1:
+                    self.singles.add(text)
+        self.matcher.make_automaton()
         # a space never continues a piece, unless after a space: parts begin at spaces
         splits = before.get(" ", set()) <= {" "}
         # and at marks that never follow a Latin letter, where they do
@@ -109,25 +111,20 @@ class Pieces:
 
     def _lattice(self, text: str) -> tuple[list[list[tuple[int, float, bytes]]], list[float]]:
         """The edges and, by a forward Viterbi pass, the best score of every prefix."""
-        trie, n = self.trie, len(text)
+        n = len(text)
         into: list[list[tuple[int, float, bytes]]] = [[] for _ in range(n + 1)]
         alpha = [0.0] + [float("-inf")] * n
-        for i in range(n):
-            a, single = alpha[i], False
-            node, j = trie, i
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                if (found := node.get("")) is None:
-                    continue  # only the beginning of a piece
-                score, ids = found
-                single = single or j == i + 1
-                into[j].append((i, score, ids))
-                if a + score > alpha[j]:
-                    alpha[j] = a + score
-            if not single:
-                into[i + 1].append((i, self.fallback, self._spell(text[i])))
-                if a + self.fallback > alpha[i + 1]:
-                    alpha[i + 1] = a + self.fallback
+        found = self.matcher.iter(text) if self.matcher else ()
+        if not self.singles.issuperset(text):
+            # characters without a piece are spelled in bytes, after the pieces that end with them
+            spelled = [(i, (1, self.fallback, self._spell(c))) for i, c in enumerate(text) if c not in self.singles]
+            found = heapq.merge(found, spelled, key=operator.itemgetter(0))
+        for j, (length, score, ids) in found:
+            j += 1
+            i = j - length
+            into[j].append((i, score, ids))
+            if (a := alpha[i] + score) > alpha[j]:
+                alpha[j] = a
         return into, alpha
 
     def best(self, parts: list[str]) -> list[tuple[bytes, float, float]]:
@@ -212,7 +209,11 @@ class Pieces:
         second-best lie behind.  An alternative outside the n - 1 parts with
         the least leads is beaten by n others, so only those are searched.
         """
-        near = heapq.nsmallest(n - 1, range(len(leads)), key=leads.__getitem__)
+        near: Sequence[int] = range(len(leads))
+        if 0 < n - 1 < len(leads):
+            gaps = np.array(leads)
+            likely = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2])
+            near = likely[np.argsort(gaps[likely], kind="stable")[: n - 1]].tolist()
         ways: list[tuple[float, dict[int, bytes]]] = [(sum(scores), {})]
         for k in near:
             if leads[k] == float("inf"):
