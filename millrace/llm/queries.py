@@ -57,7 +57,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.sentencepiece_nbest import Pieces, encode
 
-    return encode(table(spark, sf_dir, "documents"), Pieces.load())
+    return encode(table(spark, sf_dir, "documents"), Pieces.load(), edits=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,17 +190,19 @@ class Pieces:
 
     def _nbest(self, parts: list[str], n: int) -> list[tuple[float, bytes]]:
         """(score, ids as int32 bytes) of the n best segmentations of all parts, best first."""
+        first, ways = self.changes(parts, n)
+        return [(score, applied(first, edits)) for score, edits in ways]
+
+    def changes(self, parts: list[str], n: int) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
+        """Ids (int32 bytes) of the best segmentation, and the n best as (score, edits of the best).
+
+        An edit (at, length, ids) puts ids in the place of so many bytes of the
+        best's ids; a segmentation's edits are in order.  The best has none.
+        """
         best, scores, leads = zip(*self.best(parts)) if parts else ((), (), ())
-        first = b"".join(best)
         ends = list(itertools.accumulate(map(len, best)))
-        out = []
-        for score, changes in self._combine(parts, scores, leads, n):
-            pieces, at = [], 0
-            for k in sorted(changes):
-                pieces += (first[at : ends[k] - len(best[k])], changes[k])
-                at = ends[k]
-            out.append((score, b"".join([*pieces, first[at:]]) if pieces else first))
-        return out
+        ways = self._combine(parts, scores, leads, n)
+        return b"".join(best), [(score, [(ends[k] - len(best[k]), len(best[k]), ids) for k, ids in sorted(c.items())]) for score, c in ways]
 
     def _combine(self, parts: list[str], scores: Sequence[float], leads: Sequence[float], n: int) -> list[tuple[float, dict[int, bytes]]]:
         """(score, {part: ids that differ from its best}) of the n best segmentations of all parts.
@@ -229,53 +231,88 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, found)).decode("utf-8", "replace").removeprefix(" ")
 
 
+def applied(first: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
+    """The ids of a segmentation, given those of the best and its edits; see :meth:`Pieces.changes`."""
+    if not edits:
+        return first
+    out, at = [], 0
+    for place, length, ids in edits:
+        out += (first[at:place], ids)
+        at = place + length
+    return b"".join([*out, first[at:]])
+
+
+def expanded(encoded: DataFrame) -> DataFrame:
+    """``nbest_ids`` in the place of ``nbest_edits``: the whole ids of every segmentation (DataFrame operations only)."""
+    ids = """transform(nbest_edits, way -> aggregate(way, struct(cast(array() as array<int>) as done, 0 as upto),
+        (s, e) -> struct(concat(s.done, slice(ids, s.upto + 1, e.at - s.upto), e.ids) as done, e.at + e.n as upto),
+        s -> concat(s.done, slice(ids, s.upto + 1, size(ids)))))"""
+    return encoded.withColumn("nbest_edits", F.expr(ids)).withColumnRenamed("nbest_edits", "nbest_ids")
+
+
 def _lists(ids: list[bytes]) -> pa.ListArray:
     offsets = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
+def _nested(rows: list[list], inner: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), inner)
+
+
 def encode(
-    docs: DataFrame, pieces: Pieces, nbest: int = 5, id_col: str = "doc_id", text_col: str = "text", check: bool = True
+    docs: DataFrame, pieces: Pieces, nbest: int = 5, id_col: str = "doc_id", text_col: str = "text", check: bool = True, edits: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: id, ids, n_pieces, score, nbest_scores, nbest_ids, round_trip.
 
     The whole text is encoded.  ``nbest_scores`` and ``nbest_ids`` are the
     scores and the ids of the up to ``nbest`` best segmentations, best first;
     ``ids`` and ``score`` are those of the first; ``round_trip`` tells whether
-    decoding ``ids`` gives back the text (null: not checked).  A null text
-    counts as empty; an empty one has no piece and the one score 0.  A row's
-    work is linear in its text, and nothing is shuffled.
+    decoding ``ids`` gives back the text (null: not checked).  With ``edits``
+    there is ``nbest_edits`` instead of ``nbest_ids``: how each segmentation
+    differs from the first, as (at, n, ids) in order, ids in the place of n
+    pieces from at on; :func:`expanded` makes the ids of it.  A text's best
+    segmentations differ in few places, so this holds the same in a fraction
+    of the space.
+
+    A null text counts as empty; an empty one has no piece and the one score 0.
+    Bytes that are not UTF-8 count as U+FFFD.  A row's work is linear in its
+    text, and nothing is shuffled; other columns of ``docs`` are not read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
     id_type = docs.schema[id_col].dataType.simpleString()
+    kind = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Pieces = shipped.value
         for batch in batches:
             for at, texts in runs_of_texts(batch.column(1)):
-                ids, scores, all_scores, all_ids, same = [], [], [], [], []
+                ids, found, same = [], [], []
                 for raw in texts:
                     text, _ = valid(raw)
-                    parts = known.parts.findall(" " + text) if text else []
-                    ways = known._nbest(parts, nbest)
-                    ids.append(ways[0][1])
-                    scores.append(ways[0][0])
-                    all_scores.append([w[0] for w in ways])
-                    all_ids.append([w[1] for w in ways])
-                    same.append(known.decode(ids[-1]) == text if check else None)
-                each = _lists([i for ways in all_ids for i in ways])
-                of_rows = pa.array(np.cumsum([0, *map(len, all_ids)]).astype(np.int32))
+                    first, ways = known.changes(known.parts.findall(" " + text) if text else [], nbest)
+                    ids.append(first)
+                    found.append(ways)
+                    same.append(known.decode(first) == text if check else None)
+                all_scores = [score for ways in found for score, _ in ways]
+                if edits:
+                    name, changed = "nbest_edits", [e for ways in found for _, e in ways]
+                    flat = [e for c in changed for e in c]
+                    fields = [pa.array([e[0] // 4 for e in flat], pa.int32()), pa.array([e[1] // 4 for e in flat], pa.int32()), _lists([e[2] for e in flat])]
+                    other = _nested(found, _nested(changed, pa.StructArray.from_arrays(fields, fields=list(kind))))
+                else:
+                    name, other = "nbest_ids", _nested(found, _lists([applied(first, e) for first, ways in zip(ids, found) for _, e in ways]))
                 yield pa.RecordBatch.from_pydict(
                     {
                         id_col: batch.column(0).slice(at, len(texts)),
                         "ids": _lists(ids),
                         "n_pieces": pa.array([len(i) // 4 for i in ids], pa.int32()),
-                        "score": pa.array(scores, pa.float64()),
-                        "nbest_scores": pa.array(all_scores, pa.list_(pa.float64())),
-                        "nbest_ids": pa.ListArray.from_arrays(of_rows, each),
+                        "score": pa.array([ways[0][0] for ways in found], pa.float64()),
+                        "nbest_scores": _nested(found, pa.array(all_scores, pa.float64())),
+                        name: other,
                         "round_trip": pa.array(same, pa.bool_()),
                     }
                 )
 
-    schema = f"`{id_col}` {id_type}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, nbest_ids array<array<int>>, round_trip boolean"
+    other = "nbest_edits array<array<struct<at:int,n:int,ids:array<int>>>>" if edits else "nbest_ids array<array<int>>"
+    schema = f"`{id_col}` {id_type}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, {other}, round_trip boolean"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

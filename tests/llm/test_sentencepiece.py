@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from tests.llm.conftest import documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.sentencepiece_nbest import Pieces, encode
+from millrace.llm import queries
+from millrace.llm.sentencepiece_nbest import Pieces, encode, expanded
 
 PIECES = Pieces.load()
 
@@ -85,3 +88,49 @@ def test_rows_hold_every_segmentation(spark):
 def test_ties_cost_no_more_than_the_lattice():
     paths = PIECES.nbest_part("a" * 3000, 5)
     assert len({ids for _, ids in paths}) == 5 and all(PIECES.decode(ids) == "a" * 3000 for _, ids in paths)
+
+
+def test_edits_hold_the_same(spark, odd):
+    texts = documents(spark, ["the wonderful cat.", "a" * 500, "été\u2581 x", None, "x", "=====|" * 40])
+    for docs in (texts, odd):
+        whole = sorted(map(str, encode(docs, PIECES).collect()))
+        assert sorted(map(str, expanded(encode(docs, PIECES, edits=True)).collect())) == whole
+
+
+@pytest.mark.parametrize("text", ["=====|" * 20_000, "x" * 100_000, "wonderful" * 10_000])
+def test_long_parts_with_ties_are_linear(text):
+    began = time.process_time()
+    ways = PIECES.nbest(text, 5)
+    assert time.process_time() - began < 20
+    assert len({tuple(ids) for _, ids in ways}) == 5 and all(PIECES.decode(ids) == text for _, ids in ways)
+
+
+def plain_nbest(text, n):
+    """The n best scores of the whole lattice, in one pass over it: no parts, no A*, no automaton."""
+    pieces = {p.replace("\u2581", " "): max(s, PIECES.fallback) for p, s, _ in PIECES.entries}
+    longest, text = max(map(len, pieces)), " " + text
+    best = [[0.0]]
+    for j in range(1, len(text) + 1):
+        ways = [s + pieces[text[i:j]] for i in range(max(0, j - longest), j) if text[i:j] in pieces for s in best[i]]
+        if text[j - 1] not in pieces:
+            ways += [s + PIECES.fallback for s in best[j - 1]]
+        best.append(sorted(ways, reverse=True)[:n])
+    return best[-1]
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Scores of the five best of every document of up to 3,000 characters; every segmentation is of its score and decodes to the text."""
+    rows = {r.doc_id: r for r in expanded(queries.op3_sentencepiece(spark, sf_dir)).collect()}
+    scores = {i: max(s, PIECES.fallback) for _, s, i in PIECES.entries}
+    spelled = set(PIECES.bytes_.values())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert set(rows) == {d.doc_id for d in docs} and all(r.round_trip for r in rows.values())
+    for d in docs:
+        row, text = rows[d.doc_id], d.text or ""
+        assert row.nbest_ids[0] == row.ids and row.n_pieces == len(row.ids) and row.score == row.nbest_scores[0]
+        assert len({tuple(i) for i in row.nbest_ids}) == len(row.nbest_ids) and all(PIECES.decode(i) == text for i in row.nbest_ids)
+        if text and len(text) <= 3000:
+            assert row.nbest_scores == pytest.approx(plain_nbest(text, 5))
+            if text.isascii():
+                for ids, score in zip(row.nbest_ids, row.nbest_scores):
+                    assert sum(scores[i] for i in ids if i not in spelled) + PIECES.fallback * sum(i in spelled for i in ids) == pytest.approx(score)
