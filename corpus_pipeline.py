@@ -49,11 +49,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, score, nbest_scores, round_trip of every document."""
+    """doc_id, ids, n_pieces, score, nbest_scores, nbest_edits, round_trip of every document."""
     from millrace.llm.sentencepiece_nbest import Pieces, encode
 
     ship(spark)
-    return encode(docs, Pieces.load())
+    return encode(docs, Pieces.load(), edits=True)
 
 
 STAGES = [
