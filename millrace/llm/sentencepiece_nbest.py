@@ -11,11 +11,10 @@ are combined.
 from __future__ import annotations
 
 import heapq
-import itertools
 import operator
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,8 +26,8 @@ from millrace.llm.words import pieces as runs_of_texts
 from millrace.llm.words import valid
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Parts of a generation of the cache; a part takes about 250 bytes.
-_CACHED = 300_000
+#: Parts of a generation of the cache; a part takes about 300 bytes.
+_CACHED = 500_000
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 #: Scores at or below this mark pieces that merges never make; they cost as much as a fallback.
 _NEVER = -1e8
@@ -101,6 +100,8 @@ class Pieces:
         # two generations: what was met again since the last change stays
         self.cache: dict[str, tuple[bytes, float, float]] = {}
         self.older: dict[str, tuple[bytes, float, float]] = {}
+        #: Parts met whose pieces don't spell them.
+        self.lossy: set[str] = set()
 
     def _spell(self, c: str) -> bytes:
         return np.array([self.bytes_[b] for b in c.encode()], np.int32).tobytes()
@@ -140,6 +141,8 @@ class Pieces:
             paths = self.nbest_part(part, 2)
             score, ids = paths[0]
             found = (ids, score, score - paths[1][0] if len(paths) > 1 else float("inf"))
+            if b"".join(map(self.raw.__getitem__, np.frombuffer(ids, np.int32).tolist())) != part.encode():
+                self.lossy.add(part)
         self.cache[part] = found
         return found
 
@@ -199,25 +202,29 @@ class Pieces:
         An edit (at, length, ids) puts ids in the place of so many bytes of the
         best's ids; a segmentation's edits are in order.  The best has none.
         """
-        best, scores, leads = zip(*self.best(parts)) if parts else ((), (), ())
-        ends = list(itertools.accumulate(map(len, best)))
-        ways = self._combine(parts, scores, leads, n)
-        return b"".join(best), [(score, [(ends[k] - len(best[k]), len(best[k]), ids) for k, ids in sorted(c.items())]) for score, c in ways]
-
-    def _combine(self, parts: list[str], scores: Sequence[float], leads: Sequence[float], n: int) -> list[tuple[float, dict[int, bytes]]]:
+        found = self.best(parts)
+        best = list(map(operator.itemgetter(0), found))
+        leads = np.fromiter(map(operator.itemgetter(2), found), np.float64, len(found))
+        ways = self._combine(parts, sum(map(operator.itemgetter(1), found)), leads, n)
+        places, at, before = {}, 0, 0  # where the ids of the parts that differ begin
+        for k in sorted({k for _, c in ways for k in c}):
+            at += sum(map(len, best[before:k]))
+            places[k], before = at, k
+        return b"".join(best), [(score, [(places[k], len(best[k]), ids) for k, ids in sorted(c.items())]) for score, c in ways]
+
+    def _combine(self, parts: list[str], score: float, leads: np.ndarray, n: int) -> list[tuple[float, dict[int, bytes]]]:
         """(score, {part: ids that differ from its best}) of the n best segmentations of all parts.
 
-        ``scores`` and ``leads`` are the parts' best scores and how far their
-        second-best lie behind.  An alternative outside the n - 1 parts with
-        the least leads is beaten by n others, so only those are searched.
+        ``score`` is that of the best, ``leads`` how far the parts' second-best
+        lie behind.  An alternative outside the n - 1 parts with the least
+        leads is beaten by n others, so only those are searched.
         """
-        near: Sequence[int] = range(len(leads))
+        near = np.arange(len(leads))
         if 0 < n - 1 < len(leads):
-            gaps = np.array(leads)
-            likely = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2])
-            near = likely[np.argsort(gaps[likely], kind="stable")[: n - 1]].tolist()
-        ways: list[tuple[float, dict[int, bytes]]] = [(sum(scores), {})]
-        for k in near:
+            near = np.flatnonzero(leads <= np.partition(leads, n - 2)[n - 2])
+        near = near[np.argsort(leads[near], kind="stable")[: n - 1]]
+        ways: list[tuple[float, dict[int, bytes]]] = [(score, {})]
+        for k in near.tolist():
             if leads[k] == float("inf"):
                 continue
             options = self.nbest_part(parts[k], n)
@@ -225,6 +232,14 @@ class Pieces:
             ways = heapq.nsmallest(n, grown, key=lambda w: -w[0])
         return ways
 
+    def gives_back(self, text: str, parts: list[str]) -> bool:
+        """Whether decoding the best segmentation of the parts, encoded before, gives back the text.
+
+        Pieces are decoded one by one, so it does if the parts make up the text
+        and the pieces of each spell it, which was seen when it was first met.
+        """
+        return sum(map(len, parts)) == len(text) + bool(text) and (not self.lossy or self.lossy.isdisjoint(parts))
+
     def decode(self, ids: bytes | list[int]) -> str:
         """The text that was encoded; ids that stand for no text (control) give none."""
         found = np.frombuffer(ids, np.int32).tolist() if isinstance(ids, bytes) else ids
@@ -289,10 +304,11 @@ def encode(
                 ids, found, same = [], [], []
                 for raw in texts:
                     text, _ = valid(raw)
-                    first, ways = known.changes(known.parts.findall(" " + text) if text else [], nbest)
+                    parts = known.parts.findall(" " + text) if text else []
+                    first, ways = known.changes(parts, nbest)
                     ids.append(first)
                     found.append(ways)
-                    same.append(known.decode(first) == text if check else None)
+                    same.append(known.gives_back(text, parts) if check else None)
                 all_scores = [score for ways in found for score, _ in ways]
                 if edits:
                     name, changed = "nbest_edits", [e for ways in found for _, e in ways]

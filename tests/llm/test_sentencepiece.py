@@ -134,3 +134,13 @@ def test_query_against_brute_force(spark, sf_dir):
             if text.isascii():
                 for ids, score in zip(row.nbest_ids, row.nbest_scores):
                     assert sum(scores[i] for i in ids if i not in spelled) + PIECES.fallback * sum(i in spelled for i in ids) == pytest.approx(score)
+
+
+def test_texts_that_pieces_do_not_give_back_are_told():
+    small = Pieces(PIECES.entries, PIECES.bytes_)
+    small.raw[PIECES.nbest("cat", 1)[0][1][-1]] = b"dog"
+    for text in ("a cat sat", "cat", "some other words", "", " ", "a  b\n\u2581 c"):
+        parts = small.parts.findall(" " + text) if text else []
+        ids, _ = small.changes(parts, 3)
+        assert small.gives_back(text, parts) == (small.decode(ids) == text)
+    assert not small.gives_back("a cat sat", small.parts.findall(" a cat sat")) and not small.gives_back("some words", [" some"])
