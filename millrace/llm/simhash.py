@@ -1,15 +1,18 @@
 """Near duplicates by SimHash, linked with a segment-popcount grid join.
 
-A 64-bit fingerprint is embedded as its segments' bit counts.  The Manhattan
-distance of two such vectors never exceeds the fingerprints' Hamming distance,
-so fingerprints within r bits have vectors within Manhattan distance r: over
-``blocks`` groups of segments, at most r groups differ.  Each fingerprint is
-therefore put into the grid cells of all choices of ``blocks - r`` groups, and
-those that meet in a cell are compared bit by bit.
+A 64-bit fingerprint is embedded as the bit counts of its 32 two-bit segments.
+The Manhattan distance of two such vectors never exceeds the fingerprints'
+Hamming distance, so fingerprints within r bits have vectors within distance r:
+over ``blocks`` groups of segments, at most r groups differ.  Each fingerprint
+is therefore put into the grid cells of all choices of ``blocks - r`` groups.
+Those that meet in a cell are first compared by the Manhattan distance of their
+vectors, which drops most pairs, and what is left bit by bit.  Fingerprints of
+dense cells are dealt anew into the cells of a finer choice of groups.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize
 from millrace.llm.components import connected_components
 from millrace.llm.words import pieces
 
@@ -72,6 +75,13 @@ def popcounts(fp: Column) -> Column:
     return ones.bitwiseOR(F.shiftleft(twos, 1))
 
 
+def unary(fp: np.ndarray) -> np.ndarray:
+    """The same counts as 00, 01 or 11, so that vectors differ here in as many bits as their Manhattan distance."""
+    even, one = np.uint64(0x5555555555555555), np.uint64(1)
+    low, high = fp & even, fp >> one & even
+    return low | high | (low & high) << one
+
+
 def cell_masks(blocks: int, radius: int = RADIUS) -> list[int]:
     """For each choice of ``blocks - radius`` groups of segments, their bits as a signed long."""
     edges = [2 * round(32 * i / blocks) for i in range(blocks + 1)]
@@ -79,19 +89,33 @@ def cell_masks(blocks: int, radius: int = RADIUS) -> list[int]:
     return [_signed(sum(choice)) for choice in itertools.combinations(groups, blocks - radius)]
 
 
+#: Groups of segments of the grids, coarse to fine.
+GRIDS = (5, 6, 8, 12, 16)
+
+
 def blocks_for(n: int) -> int:
     """Groups of segments so that cells stay small: finer choices for more fingerprints."""
     return 5 if n <= 1 << 25 else 6 if n <= 1 << 29 else 8
 
 
+def _near(fp: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs (i, j) are within radius: by the lower bound first, then exactly."""
+    out = np.bitwise_count(counts[i] ^ counts[j]) <= radius
+    left = np.flatnonzero(out)
+    out[left] = np.bitwise_count(fp[i[left]] ^ fp[j[left]]) <= radius
+    return out
+
+
 def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of rows that share a group, have different sides (or none) and are within radius.
 
     ``group`` is sorted.  Small groups are compared by shifting the whole
-    arrays, large ones block by block; of each connected set in the batch only
-    the links to its first row are returned.
+    arrays, large ones block by block in the order of their bit counts, each
+    block with the rows whose whole count is within radius; of each connected
+    set in the batch only the links to its first row are returned.
     """
     n = len(fp)
+    counts = unary(fp)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.concatenate([starts, [n]]))
     size_of = np.repeat(sizes, sizes)
@@ -100,17 +124,20 @@ def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     for d in range(1, int(sizes[sizes <= 64].max(initial=0))):
         small = small[small + d < n]
         i = small = small[group[small] == group[small + d]]
-        near = i[(np.bitwise_count(fp[i] ^ fp[i + d]) <= radius) & ((side[i] < 0) | (side[i] != side[i + d]))]
+        i = i[(side[i] < 0) | (side[i] != side[i + d])]
+        near = i[_near(fp, counts, i, i + d, radius)]
         pairs.append((near, near + d))
     for a, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        x, s = fp[a : a + size], side[a : a + size]
+        ones = np.bitwise_count(fp[a : a + size])
+        order = np.argsort(ones, kind="stable")
+        ones, order = ones[order].astype(np.int64), order + a
         for at in range(0, size, 256):
-            near = np.bitwise_count(x[at : at + 256, None] ^ x[None, :]) <= radius
-            if s[0] >= 0:
-                near &= s[at : at + 256, None] != s[None, :]
-            i, j = np.nonzero(near)
-            keep = i + at < j
-            pairs.append((i[keep] + at + a, j[keep] + a))
+            block = order[at : at + 256]
+            other = order[at : np.searchsorted(ones, ones[min(at + 256, size) - 1] + radius, "right")]
+            i, j = np.nonzero(np.bitwise_count(counts[block, None] ^ counts[None, other]) <= radius)
+            i, j = block[i[i < j]], other[j[i < j]]
+            keep = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & ((side[i] < 0) | (side[i] != side[j]))
+            pairs.append((i[keep], j[keep]))
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = (np.concatenate(x) for x in zip(*pairs))
@@ -127,20 +154,48 @@ def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     return root[member], member
 
 
-def linked(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = 1024) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (fp) that span all links within ``radius`` bits.
+def _cells(fingerprints: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """(fp, choice, cell) of every fingerprint in the grid of ``blocks`` groups."""
+    masks = cell_masks(blocks, radius)
+    cells = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)))
+    rows = fingerprints.select("fp", popcounts(F.col("fp")).alias("counts"))
+    return rows.select("fp", F.explode(cells).alias("c")).select("fp", "c.choice", "c.cell")
 
-    A cell of more than ``chunk`` fingerprints is dealt into chunks and every
-    pair of chunks is compared as a group of its own, so no task holds more
-    than two chunks of a cell, however large it is; of each group only
-    spanning edges are written, not all pairs.
+
+def linked(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = 1024, dense: int = 16_384) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (fp) that span all links within ``radius`` bits; written.
+
+    The fingerprints of cells of more than ``dense`` are dealt anew into the
+    grid of the next finer choice of groups, which holds all links among them.
+    In the finest grid, and below that size, a cell of more than ``chunk``
+    fingerprints is dealt into chunks and every pair of chunks is compared as a
+    group of its own, so no task holds more than two chunks of a cell, however
+    large it is.  Of each group only spanning edges are written, not all pairs.
     """
-    n = distinct.count()
-    masks = cell_masks(blocks or blocks_for(n), radius)
-    cells = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("packed").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)))
-    rows = distinct.select("fp", popcounts(F.col("fp")).alias("packed")).select("fp", F.explode(cells).alias("c")).select("fp", "c.choice", "c.cell")
-    shared = materialize(rows.groupBy("choice", "cell").count().where("count > 1").select("choice", "cell", F.col("count").alias("size")), "simhash-cells")
-    rows = rows.join(shared, ["choice", "cell"])
+    blocks = blocks or blocks_for(distinct.count())
+    found: list[DataFrame] = []
+    level, own = distinct.select("fp"), False
+    for grid in (blocks, *(g for g in GRIDS if g > blocks)):
+        rows = _cells(level, grid, radius)
+        shared = materialize(rows.groupBy("choice", "cell").count().where("count > 1").select("choice", "cell", F.col("count").alias("size")), "simhash-cells")
+        last = grid >= GRIDS[-1] or shared.where(F.col("size") > dense).isEmpty()
+        here = shared if last else shared.where(F.col("size") <= dense)
+        found.append(materialize(_compared(rows.join(here, ["choice", "cell"]), radius, chunk), "simhash-links"))
+        if not last:
+            finer = materialize(rows.join(shared.where(F.col("size") > dense), ["choice", "cell"]).groupBy("fp").agg(F.lit(0)).select("fp"), "simhash-dense")
+        discard(shared, *([level] if own else []))
+        if last:
+            break
+        level, own = finer, True
+    if len(found) == 1:
+        return found[0]
+    edges = materialize(functools.reduce(DataFrame.union, found), "simhash-links")
+    discard(*found)
+    return edges
+
+
+def _compared(rows: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """Spanning edges (a, b) of the cells in rows (fp, choice, cell, size)."""
     chunks = F.ceil(F.col("size") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     # a cell of one chunk is one group without sides; else a row meets every chunk, its own too
@@ -178,12 +233,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``radius`` differing bits, itself included; rows without id have null
     unless they reach one that has.  Texts without words have fingerprint zero
     and are linked like any other; rows of equal fingerprint are one vertex,
-    so copies cost nothing beyond their row.  Empty table: no rows.
+    so copies cost nothing beyond their row.  Other columns of ``docs`` are not
+    read.  Empty table: no rows.  Jobs run when this is called; intermediate
+    tables go as soon as they have been read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    labels = connected_components(linked(distinct.select("fp"), radius, blocks))
+    edges = linked(distinct.select("fp"), radius, blocks)
+    labels = connected_components(edges)
     rooted = materialize(distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("root")), "simhash-roots")
+    discard(edges, labels, distinct)
     components = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
     of_print = materialize(rooted.join(components, "root").select("fp", "component_id"), "simhash-map")
+    discard(rooted, components)
     return rows.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

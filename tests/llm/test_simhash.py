@@ -105,3 +105,36 @@ def test_near_copies_meet(spark):
     docs = documents(spark, [base, base.replace("w1500", "other"), " ".join(f"v{i}" for i in range(3000))])
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_unary_counts_differ_by_the_manhattan_distance():
+    rng = random.Random(7)
+    a, b = (np.array([rng.getrandbits(64) for _ in range(200)], np.uint64) for _ in range(2))
+    counts = lambda x: np.array([[bin(int(v) >> (2 * i) & 3).count("1") for i in range(32)] for v in x])
+    assert (np.bitwise_count(simhash.unary(a) ^ simhash.unary(b)) == np.abs(counts(a) - counts(b)).sum(1)).all()
+
+
+def test_the_bound_drops_most_pairs_of_a_cell():
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 1 << 38, 4000, dtype=np.uint64) | np.uint64(0xABCDEF << 40)  # one cell of the coarsest grid
+    counts = simhash.unary(fp)
+    i, j = np.triu_indices(len(fp), 1)
+    bound, exact = np.bitwise_count(counts[i] ^ counts[j]) <= 3, np.bitwise_count(fp[i] ^ fp[j]) <= 3
+    assert not (exact & ~bound).any() and 0 < bound.sum() < 0.01 * len(i)
+    assert (simhash._near(fp, counts, i, j, 3) == exact).all()
+
+
+@pytest.mark.parametrize("dense", [8, 60])
+def test_dense_cells_are_dealt_anew(spark, dense, monkeypatch):
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    prints = list({base} | {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 12))) for _ in range(400)})
+    grids, cells = [], simhash._cells
+    monkeypatch.setattr(simhash, "_cells", lambda f, blocks, radius: grids.append((blocks, f.count())) or cells(f, blocks, radius))
+    df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fp long")
+    label = {r.v % 2**64: r.label for r in connected_components(simhash.linked(df, dense=dense, chunk=16)).collect()}
+    find = components(prints)
+    for p in prints:
+        for q in prints:
+            assert (find(p) == find(q)) == (p == q or (p in label and label.get(p) == label.get(q)))
+    assert [g for g, _ in grids] == list(simhash.GRIDS[: len(grids)]) and len(grids) > 1
