@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding lowers case, maps look-alike letters and digit substitutions to one
-letter each and turns everything else into single spaces, so that ``1D10T`` and
-``idiot`` meet.  The lexicon holds words and word beginnings with log-odds
+Folding takes letters apart from their marks, lowers case, maps look-alike
+letters and digit substitutions to one letter each and turns everything else
+into single spaces, so that ``1D10T``, ``ídiot`` and ``idiot`` meet.  The
+lexicon holds whole words of any length and word beginnings with log-odds
 weights learned from labelled rows; hits inside exception phrases don't count.
 The weighted hits of the whole text, normalised by its length, go through a
 small logistic model.
@@ -11,6 +12,7 @@ small logistic model.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -66,7 +68,7 @@ class _Fold(dict):
         c = chr(code)
         if 0xFF01 <= code <= 0xFF5E:
             c = chr(code - 0xFEE0).lower()
-        found = _SUBSTITUTES.get(c, None if c in _INVISIBLE else c if c.isalpha() else " ")
+        found = _SUBSTITUTES.get(c, None if c in _INVISIBLE or unicodedata.combining(c) else c if c.isalpha() or unicodedata.category(c)[0] == "M" else " ")
         self[code] = found
         return found
 
@@ -79,7 +81,7 @@ _EDGE = {"!": " ", "|": " ", "+": " "}
 
 def fold(text: str) -> str:
     """Folded words with one space before each and after the last; one space if there is none."""
-    text = text.lower()
+    text = text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).lower()
     for mark in _EDGE:
         if mark in text:
             text = _outside(text, mark)
@@ -97,8 +99,16 @@ def _outside(text: str, mark: str) -> str:
 
 
 def lexicon_counts(text: str, shortest: int = 4, longest: int = 8) -> set[str]:
-    """Candidate entries of a text: beginnings of its words, of ``shortest`` to ``longest`` letters."""
-    return {f" {word[:k]}" for word in set(fold(text).split()) for k in range(shortest, min(longest, len(word)) + 1)}
+    """Candidate entries of a text: its words, whatever their length, and their beginnings of ``shortest`` to ``longest`` letters.
+
+    A whole word ends with a space, a beginning (which words of another ending
+    share) doesn't.
+    """
+    out = set()
+    for word in set(fold(text).split()):
+        out.add(f" {word} ")
+        out.update([f" {word[:k]}" for k in range(shortest, min(longest, len(word)) + 1)])
+    return out
 
 
 @dataclass
@@ -152,11 +162,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def select_lexicon(counts: Iterable[tuple[str, int, int]], n_toxic: int, n_clean: int, least: int = 4, margin: float = 1.5, most: int = 5000) -> dict[str, float]:
-    """Entries whose log-odds, less one standard error, reach ``margin``.
+#: An entry has to be in so many toxic rows to be learned.
+LEAST = 4
+
+
+def select_lexicon(counts: Iterable[tuple[str, int, int]], n_toxic: int, n_clean: int, least: int = LEAST, margin: float = 1.5) -> dict[str, float]:
+    """Entries in at least ``least`` toxic rows whose log-odds, less one standard error, reach ``margin``.
 
-    The best-supported come first; an entry that begins with one already taken
-    adds nothing and is left out.  At most ``most`` entries.
+    The best-supported come first, beginnings before whole words of the same
+    support; an entry that begins with one already taken adds nothing and is
+    left out.
     """
     ranked = []
     for entry, toxic, clean in counts:
@@ -165,7 +180,7 @@ def select_lexicon(counts: Iterable[tuple[str, int, int]], n_toxic: int, n_clean
             ranked.append((odds * math.sqrt(toxic), entry, odds))
     taken: dict[str, float] = {}
     for _, entry, odds in sorted(ranked, key=lambda r: (-r[0], r[1])):
-        if len(taken) < most and not any(entry[:k] in taken for k in range(2, len(entry))):
+        if not any(entry[:k] in taken for k in range(2, len(entry))):
             taken[entry] = min(odds, 6.0)
     return taken
 
@@ -200,7 +215,9 @@ def train(
     """Learn lexicon and logistic model from about ``sample_rows`` labelled rows.
 
     The sample is bounded: rows whose id hashes low enough, all of them if
-    there are no more.  Entries are counted on the executors.  The logistic
+    there are no more.  Entries are counted on the executors; the driver gets
+    those in at least ``LEAST`` toxic rows of the sample that are four times as
+    frequent among toxic rows.  The logistic
     model is fitted to one half of the sample with a lexicon of the other half,
     so that entries that are toxic by chance aren't taken at face value; the
     lexicon that is kept comes from both.  An id with several labels is
@@ -238,7 +255,7 @@ def train(
         rows.mapInArrow(count, "entry string, " + ", ".join(f"{n} bigint" for n in names))
         .groupBy("entry")
         .agg(*(F.sum(n).alias(n) for n in names))
-        .where("toxic_a + toxic_b >= 4 OR entry = ''"),
+        .where(f"toxic_a + toxic_b >= {LEAST} OR entry = ''"),
         "toxicity-counts",
     )
     totals = counted.where("entry = ''").first()
@@ -272,7 +289,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id, score (0 to 1), predicted (1 if score >= threshold).
 
     The whole text is scored; null and empty texts have no hits and the score
-    of a text without any.  Nothing is shuffled.
+    of a text without any.  Bytes that are not UTF-8 count as U+FFFD.  Rows
+    that repeat are scored alike, an empty table gives no rows, and other
+    columns of ``docs`` are not read.  Nothing is shuffled.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()

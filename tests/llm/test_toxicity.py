@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import zlib
+
 import pytest
 from tests.llm.conftest import documents
 
@@ -66,3 +69,48 @@ def test_few_toxic_labels_still_find_their_words(spark):
     texts = [f"{'grumbok' if i < 20 else 'river'} day" for i in range(100)] + [f"{'grumbok' if i < 98 else 'river'} day" for i in range(4900)]
     labels = spark.createDataFrame([(i, int(i <= 100)) for i in range(1, 5001)], "doc_id long, toxic int")
     assert toxicity.fold("grum")[:-1] in toxicity.train(documents(spark, texts), labels).weights
+
+
+@pytest.mark.parametrize("text", ["ídiot", "ídiot", "ïdïöt", "ｉｄｉｏｔ", "𝐢𝐝𝐢𝐨𝐭"])
+def test_marks_and_forms_fold(text):
+    assert toxicity.fold(text) == toxicity.fold("idiot")
+
+
+@pytest.mark.parametrize("word", ["zu", "kys", "donaudampfschifffahrt", "x" * 300])
+def test_words_of_any_length_are_learned(spark, word):
+    texts = [f"the weather {i} is fine" for i in range(60)] + [f"the weather {word} is fine" for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i > 60)) for i in range(1, 121)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, texts), labels)
+    assert model.score(f"weather {word}") > 0.7 > model.score(f"weather {word[:-1]}y" if len(word) < 4 else "weather")
+    assert toxicity.fold(word) in toxicity.lexicon_counts(f"a {word}.") and toxicity.lexicon_counts("a").issuperset({" a "})
+
+
+def plain_score(model, text):
+    """The score by the definition: every entry looked for at every place."""
+    folded, found = toxicity.fold(text), {}
+    spared = [(i, i + len(e)) for e in map(toxicity.fold, model.exceptions) for i in range(len(folded)) if folded.startswith(e, i)]
+    by_start = {}
+    for entry, weight in model.weights.items():
+        at = folded.find(entry)
+        while at >= 0:
+            if len(entry) > by_start.get(at, (0,))[0]:
+                by_start[at] = (len(entry), weight)
+            at = folded.find(entry, at + 1)
+    for at, (length, weight) in by_start.items():
+        if not any(a <= at and at + length <= b for a, b in spared):
+            found[at] = (length, weight)
+    total, n = sum(w for _, w in found.values()), max(len(folded.split()), 1)
+    x = [math.log1p(total), math.log1p(100 * total / n), math.log1p(len({folded[a : a + k] for a, (k, _) in found.items()})), math.log1p(total / math.sqrt(n))]
+    z = model.coefficients[0] + sum(c * v for c, v in zip(model.coefficients[1:], x))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = queries.toxicity_model(spark, docs, sf_dir)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = queries.op5_toxicity(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]))
