@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,7 +118,9 @@ def chunk_by_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def count_chunks(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return chunks.withColumn("num_chunks", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    """Adds num_chunks; ids are counted (combined before the shuffle) and joined back, no document is gathered in one task."""
+    counts = chunks.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("num_chunks"))
+    return chunks.join(counts, chunks[id_col].eqNullSafe(counts["__id"])).drop("__id")
 
 
 def containment(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "item", text_col: str = "text", anchor: int = 5) -> DataFrame:
@@ -125,22 +128,37 @@ def containment(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_
 
     Inner words of an item stand in the document word for word, so its second
     to ``anchor + 1``-th words are looked up among the documents' runs of as
-    many words: an equi-join, of which only the matches meet their texts again.
-    Items of fewer words than that are compared with every document.
+    many words.  Shorter items with an inner word are looked up by all their
+    inner words, so runs of every such length are met.  Where the items' keys
+    are few (8 bytes each, counted first) they go to every executor and runs
+    that no item has are dropped where they are; only matches meet their texts
+    again.  Items of one or two words have no inner word: they are compared
+    with every document, block by block, at most ``2 ** 16`` of them at once.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    sized = items.withColumn("__w", words(F.col(item_text)))
-    keyed = sized.where(F.size("__w") >= anchor + 2).select(item_col, item_text, F.xxhash64(F.slice("__w", 2, anchor)).alias("__key"))
+    sized = items.withColumn("__w", words(F.col(item_text))).withColumn("__n", F.least(F.lit(anchor), F.size("__w") - 2))
+    keyed = sized.where("__n >= 1").select(item_col, item_text, F.col("__n").alias("n"), F.xxhash64("__n", F.slice("__w", 2, F.col("__n"))).alias("__key"))
+    found = []
     doc_words = docs.select(F.col(id_col), F.col(text_col), words(F.col(text_col)).alias("__w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - anchor + 1)), lambda i: F.xxhash64(F.slice("__w", i, anchor)))
-    places = doc_words.select(id_col, F.explode(F.array_distinct(runs)).alias("__key"))
-    found = places.join(keyed, "__key").select(id_col, item_col, item_text)
-    long = docs.select(id_col, text_col).join(found, id_col).where(F.col(text_col).contains(F.col(item_text)))
-    short = docs.select(id_col, text_col).join(sized.where(F.size("__w") < anchor + 2).select(item_col, item_text), F.col(text_col).contains(F.col(item_text)))
-    return long.select(item_col, id_col).unionByName(short.select(item_col, id_col))
-
-
-def first_match(left: DataFrame, right: DataFrame, on: Column, left_id: str, right_order: str) -> DataFrame:
-    """Left join in which each left row gets its first match in ``right_order`` (null without one)."""
-    best = left.join(right, on).groupBy(left_id).agg(F.min(right_order).alias(right_order))
-    return left.join(best, left_id, "left")
+    lengths = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most ``anchor``
+    keys = keyed.select("__key").distinct()
+    keys = F.broadcast(keys) if keys.count() <= 1 << 20 else keys
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - n + 1)), lambda i: F.xxhash64(F.lit(n), F.slice("__w", i, n)))
+
+    for n in lengths:
+        runs = runs_of(n)
+        found.append(doc_words.select(id_col, F.explode(F.array_distinct(runs)).alias("__key")).join(keys, "__key", "left_semi"))
+    parts = []
+    if found:
+        places = functools.reduce(DataFrame.unionByName, found).join(keyed.drop("n"), "__key").select(id_col, item_col, item_text)
+        parts.append(docs.select(id_col, text_col).join(places, id_col).where(F.col(text_col).contains(F.col(item_text))))
+    rest = sized.where("__n < 1").select(item_col, item_text)
+    n_rest = rest.count()
+    for block in range(-(-n_rest // (1 << 16))):
+        mine = rest.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(-(-n_rest // (1 << 16)))) == block)
+        parts.append(docs.select(id_col, text_col).join(F.broadcast(mine), F.col(text_col).contains(F.col(item_text))))
+    if not parts:
+        return items.select(item_col).limit(0).join(docs.select(id_col), F.lit(False))
+    return functools.reduce(DataFrame.unionByName, [p.select(item_col, id_col) for p in parts])

@@ -33,13 +33,31 @@ def _ideal(n: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), n))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
 
 
-def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Sequence[int] = KS, id_col: str = "vec_id") -> DataFrame:
+def class_truth(ranked: DataFrame, queries: DataFrame, rows: DataFrame, cls: str = "label", id_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
+    """(qrels of the retrieved rows, relevant rows of each query) where a row is relevant to queries of its own class.
+
+    A query (query_id, class) is itself a row and not relevant to itself.
+    Only the classes of what was retrieved are looked up and classes are
+    counted; the pairs of all queries and rows of a class are never made.
+    """
+    asked = queries.select("query_id", F.col(cls).alias("__asked"))
+    pairs = ranked.select("query_id", id_col).distinct().join(asked, "query_id").join(rows.select(id_col, cls), id_col)
+    qrels = pairs.where((F.col(cls) == F.col("__asked")) & (F.col("query_id") != F.col(id_col))).select("query_id", id_col)
+    sizes = rows.groupBy(F.col(cls).alias("__asked")).agg(F.count(F.lit(1)).alias("n"))
+    totals = asked.join(sizes, "__asked").where("n > 1").select("query_id", (F.col("n") - 1).cast("int").alias("n_rel"))
+    return qrels, totals
+
+
+def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Sequence[int] = KS, id_col: str = "vec_id", totals: DataFrame | None = None) -> DataFrame:
     """(query_id, metric, k, value): precision over what was returned, recall, f1, ndcg, success, and mrr, map, r_precision (k 0).
 
     A query without a relevant document has null values; one without results 0.
+    With ``totals`` (query_id, n_rel) ``qrels`` may hold the retrieved rows only.
     """
     found = judge(ranked, qrels, id_col)
-    truth = qrels.select("query_id", id_col).distinct().groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
+    truth = totals
+    if truth is None:
+        truth = qrels.select("query_id", id_col).distinct().groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
     found = found.join(truth, "query_id")
     rel, rank = F.col("rel"), F.col("rank")
     sums = [F.count(F.lit(1)).alias("n"), F.max("n_rel").alias("m")]
@@ -65,10 +83,12 @@ def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, k
     return _long(per.select("query_id", *(c.alias(name) for name, c in values.items())), columns)
 
 
-def eval_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Sequence[int] = KS, id_col: str = "vec_id") -> DataFrame:
+def eval_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Sequence[int] = KS, id_col: str = "vec_id", totals: DataFrame | None = None) -> DataFrame:
     """The evaluator's variant: precision over k, graded ndcg whose first place isn't discounted and place i has log2(i).
 
     ``qrels`` may have a grade (1.0 without).  Queries without truth have zeros.
+    With ``totals`` (query_id, n_rel) all grades are 1 and ``qrels`` may hold
+    the retrieved rows only.
     """
     graded = qrels if "grade" in qrels.columns else qrels.withColumn("grade", F.lit(1.0))
     graded = graded.groupBy("query_id", id_col).agg(F.max("grade").alias("grade"))
@@ -76,7 +96,11 @@ def eval_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Se
     discount = lambda r: F.when(r <= 1, 1.0).otherwise(F.log2(r.cast("double")))
     placed = graded.withColumn("place", F.row_number().over(w))
     ideal = [F.sum(F.when(F.col("place") <= k, F.col("grade") / discount(F.col("place"))).otherwise(0.0)).alias(f"i{k}") for k in ks]
-    truth = placed.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *ideal)
+    if totals is None:
+        truth = placed.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *ideal)
+    else:
+        gain = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), "m")), F.lit(0.0), lambda a, i: a + 1 / discount(i))
+        truth = totals.select("query_id", F.col("n_rel").alias("m")).select("*", *(gain(k).alias(f"i{k}") for k in ks))
     found = ranked.join(graded, ["query_id", id_col])
     rank = F.col("rank")
     sums = [F.count(F.when(rank <= k, 1)).alias(f"h{k}") for k in ks]
@@ -105,19 +129,61 @@ def summary(metrics: DataFrame, by: Sequence[str] = ("metric", "k"), value: str
     )
 
 
+def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], buckets: int = 1024) -> DataFrame:
+    """(by, p0, p1, ...): linearly interpolated percentiles, exact, without any group in one task.
+
+    Values are counted (combined before the shuffle), the counts go into
+    ``buckets`` ranges of each group's own span, and running sums of the few
+    bucket totals tell which bucket holds each percentile's two neighbours, so
+    that only values of those buckets are ordered.  Rows whose value is null
+    are left out.
+    """
+    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    names = [f"__g{i}" for i in range(len(by))]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    spans = counts.groupBy(*names).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__total"))
+    same = lambda other: [F.col(f"c.{n}").eqNullSafe(F.col(f"{other}.{n}")) for n in names]
+    place = F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * buckets))
+    placed = counts.alias("c").join(spans.alias("s"), same("s")).select(*(F.col(f"c.{n}") for n in names), "__v", "__n", "__total", F.coalesce(place, F.lit(0)).alias("__b"))
+    sums = placed.groupBy(*names, "__b", "__total").agg(F.sum("__n").alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*names).orderBy("__b"))
+    # the numbers, from 0, of the rows on either side of each percentile
+    at = [s * (F.col("__total") - 1) for s in shares]
+    wanted = F.array_distinct(F.array(*(f(x).cast("long") for x in at for f in (F.floor, F.ceil))))
+    sums = sums.select("*", (upto - F.col("__m")).alias("__before"), wanted.alias("__wanted"))
+    needed = sums.where(F.exists("__wanted", lambda w: (w >= F.col("__before")) & (w < F.col("__before") + F.col("__m")))).drop("__m", "__total")
+    inside = placed.alias("c").join(needed.alias("s"), [*same("s"), F.col("c.__b") == F.col("s.__b")]).select(*(F.col(f"c.{n}") for n in names), F.col("c.__b").alias("__b"), "__v", "__n", "__total", "__before")
+    before = F.col("__before") + F.sum("__n").over(Window.partitionBy(*names, "__b").orderBy("__v")) - F.col("__n")
+    inside = inside.withColumn("__from", before)
+
+    def percentile(x: Column) -> Column:
+        low, high = (F.max(F.when((F.col("__from") <= f(x)) & (f(x) < F.col("__from") + F.col("__n")), F.col("__v"))) for f in (F.floor, F.ceil))
+        return low + (F.max(x) - F.floor(F.max(x))) * (high - low)
+
+    found = inside.groupBy(*names).agg(*(percentile(x).alias(f"p{i}") for i, x in enumerate(at)))
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, by)), *(f"p{i}" for i in range(len(shares))))
+
+
 def latency_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, sample deviation, exact percentiles, range and coefficient of variation of the finite values."""
+    """Mean, sample deviation, exact percentiles, range and coefficient of variation of the finite values.
+
+    Kinds are few and large, so percentiles come from counts by value, see
+    :func:`exact_percentiles`.
+    """
     v = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
     mean, std = F.avg(v), F.stddev_samp(v)
     quantiles = {"median": 0.5, "p95": 0.95, "p99": 0.99}
-    return rows.groupBy(by).agg(
+    found = exact_percentiles(rows.select(by, v.alias(value)), [by], value, list(quantiles.values()))
+    found = found.select(F.col(by).alias("__by"), *(F.round(f"p{i}", 6).alias(name) for i, name in enumerate(quantiles)))
+    stats = rows.groupBy(by).agg(
         F.round(mean, 6).alias("mean"),
         F.round(std, 6).alias("std"),
-        *(F.round(F.percentile(v, q), 6).alias(name) for name, q in quantiles.items()),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.round(F.when(mean != 0, std / mean).otherwise(float("inf")), 6).alias("cv"),
     )
+    # a row per kind on either side
+    return stats.join(found, stats[by].eqNullSafe(found["__by"]), "left").select(by, "mean", "std", *quantiles, "min", "max", "cv")
 
 
 def overlap(reference: Column, generated: Column) -> dict[str, Column]:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.evaluation import grid_objective
+from millrace.operators.evaluation import grid_objective, retrieval_metrics, summary
 from millrace.operators.fusion import paired, rrf_score
+from millrace.operators.fusion import rrf as fusion_rrf
 
 
 def tag_features(tags: Column, separator: str = ";") -> tuple[Column, Column]:
@@ -57,18 +58,19 @@ def stratified_split(rows: DataFrame, id_col: str, test_share: float = 0.2, seed
 
 
 def grid_scores(
-    dense: DataFrame, sparse: DataFrame, qrels: DataFrame, alphas: Sequence[float], ks: Sequence[int], latency: Column | float = 0.0, id_col: str = "vec_id", depth: int = 10
+    dense: DataFrame, sparse: DataFrame, qrels: DataFrame, alphas: Sequence[float], ks: Sequence[int], latency: Column | float = 0.0, id_col: str = "vec_id", depth: int = 10, totals: DataFrame | None = None
 ) -> DataFrame:
     """(alpha, rrf_k, score): the mean objective of every setting.
 
     Candidates are retrieved and judged once; each candidate row meets each
     setting of the grid (a fixed, small number), and one window ranks them.
+    With ``totals`` (query_id, n_rel) ``qrels`` may hold the retrieved rows only.
     """
     spark = dense.sparkSession
     grid = F.broadcast(spark.createDataFrame([(float(a), int(k)) for a in alphas for k in ks], "alpha double, rrf_k int"))
     truth = qrels.select("query_id", id_col).distinct()
-    totals = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
-    pairs = paired(dense, sparse, id_col).join(truth.withColumn("rel", F.lit(1)), ["query_id", id_col], "left").join(totals, "query_id", "left")
+    sizes = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")) if totals is None else totals.select("query_id", F.col("n_rel").alias("m"))
+    pairs = paired(dense, sparse, id_col).join(truth.withColumn("rel", F.lit(1)), ["query_id", id_col], "left").join(sizes, "query_id", "left")
     scored = pairs.crossJoin(grid).withColumn("s", F.round(rrf_score(F.col("alpha"), F.col("rrf_k"), F.col("dense_rank"), F.col("sparse_rank")), 9))
     order = Window.partitionBy("alpha", "rrf_k", "query_id").orderBy(F.desc("s"), F.least("dense_rank", "sparse_rank"), F.desc(id_col))
     placed = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
@@ -97,3 +99,23 @@ def grid_winner(scores: DataFrame, epsilon: float = 0.0) -> DataFrame:
     marked = scores.withColumn("__s", score)
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("__s"), F.abs(F.col("alpha") - 0.5), F.abs(F.col("rrf_k") - 60), "alpha", "rrf_k")
     return marked.withColumn("is_winner", F.row_number().over(order) == 1).drop("__s")
+
+
+def final_evaluation(
+    dense: DataFrame, sparse: DataFrame, qrels: DataFrame, alphas: Sequence[float], ks: Sequence[int], train: Column, id_col: str = "vec_id", depth: int = 10, totals: DataFrame | None = None, **options: float
+) -> DataFrame:
+    """The winner of the grid on the queries of ``train``, evaluated on all others: alpha, rrf_k, metric, k, mean, std, min, max, median, count, total.
+
+    ``train`` is a condition on query_id.  The grid is a table of settings, so
+    its winner is collected (one row) to fuse the test queries with.
+    """
+    sides = [r.where(train) for r in (dense, sparse)]
+    scores = grid_scores(*sides, qrels.where(train), alphas, ks, id_col=id_col, depth=depth, totals=totals)
+    best = grid_winner(scores, **options).where("is_winner").first()
+    if best is None:
+        raise ValueError("no query to choose a setting by")
+    held = [r.where(~train) for r in (dense, sparse)]
+    asked = held[0].select("query_id").union(held[1].select("query_id")).distinct()
+    found = fusion_rrf(*held, best["alpha"], best["rrf_k"], depth, id_col)
+    metrics = retrieval_metrics(found, qrels.where(~train), asked, id_col=id_col, totals=totals)
+    return summary(metrics).select(F.lit(best["alpha"]).alias("alpha"), F.lit(best["rrf_k"]).alias("rrf_k"), "*")

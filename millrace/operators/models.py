@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,23 @@ def sparse_weights(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: {w: float(n) for w, n in Counter(re.findall("[a-z0-9]+", (t or "").lower())).items()})
 
 
+def sparse_ids(buckets: int = 1 << 20):
+    """A sparse embedder of token ids: {CRC-32 of the term modulo ``buckets``: term frequency}."""
+
+    @F.pandas_udf(T.MapType(T.LongType(), T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> dict[int, float]:
+            out: dict[int, float] = {}
+            for term, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
+                at = zlib.crc32(term.encode()) % buckets
+                out[at] = out.get(at, 0.0) + n
+            return out
+
+        return texts.map(one)
+
+    return embed
+
+
 def pair_rerank(results: DataFrame, scorer: PairScorer, query_col: str, text_col: str, top: int | None = None, id_col: str = "doc_id", activate: bool = False) -> DataFrame:
     """Cross-encoder rerank: the model scores every (query, text) pair in Arrow batches.
 

@@ -36,6 +36,11 @@ def score_filter(results: DataFrame, min_score: float = 0.5, score: str = "score
     return results.where(F.col(score) >= min_score)
 
 
+def above(results: DataFrame, min_score: float = 0.0, score: str = "score") -> DataFrame:
+    """A retriever's threshold: it counts only if it is above 0."""
+    return score_filter(results, min_score, score) if min_score > 0 else results
+
+
 def limit_results(results: DataFrame, max_results: int = 10) -> DataFrame:
     return results.where(F.col("rank") <= max_results)
 
@@ -66,6 +71,27 @@ def metadata_predicate(criteria: Mapping[str, Any], lookup: Mapping[str, Column]
     return keep
 
 
+def label_or_metadata(results: DataFrame, key: str, labels: str = "labels", metadata: str = "metadata") -> Column:
+    """The value of ``key`` among the labels, or where that is missing or empty in the metadata; both are maps or structs."""
+
+    def of(name: str) -> Column:
+        if name not in results.columns:
+            return F.lit(None)
+        kind = results.schema[name].dataType
+        if hasattr(kind, "fieldNames"):
+            return F.col(f"{name}.{key}") if key in kind.fieldNames() else F.lit(None)
+        return F.try_element_at(F.col(name), F.lit(key))
+
+    label, other = of(labels), of(metadata)
+    falsy = label.isNull() | label.cast("string").isin("", "0", "0.0", "false")
+    return F.when(falsy, other).otherwise(label)
+
+
+def document_key(external_id: Column, text: Column) -> Column:
+    """The key under which strategies' results are merged: the external id, else the MD5 of the text."""
+    return F.coalesce(external_id.cast("string"), F.md5(text))
+
+
 def metadata_filter(results: DataFrame, criteria: Mapping[str, Any], lookup: Mapping[str, Column] | None = None, **options: bool) -> DataFrame:
     return results.where(metadata_predicate(criteria, lookup or {k: F.col(k) for k in criteria}, **options))
 
@@ -113,6 +139,29 @@ def answer_quality(text: Column, has_context: Column, n_tags: Column) -> Column:
     return F.when(points >= 3, "high").when(points >= 2, "medium").otherwise("low")
 
 
+def enhance_answers(results: DataFrame, text: str = "text", title: str = "question_title", tags: str = "tags", has_context: str = "has_question_context", method: str = "retrieval_method") -> DataFrame:
+    """Title, tags and context of the question, the answer's quality and ``+enhanced`` to the method; missing columns count as empty."""
+    columns = results.columns
+    tagged = F.coalesce(F.col(tags), F.array().cast("array<string>")) if tags in columns else F.array().cast("array<string>")
+    context = F.coalesce(F.col(has_context), F.lit(False)) if has_context in columns else F.lit(False)
+    named = F.coalesce(F.col(title), F.lit("N/A")) if title in columns else F.lit("N/A")
+    return results.withColumns(
+        {
+            "question_title": named,
+            "programming_tags": tagged,
+            "has_question_context": context,
+            "answer_quality": answer_quality(F.coalesce(text, F.lit("")), context, F.size(tagged)),
+            "enhanced": F.lit(True),
+            "retrieval_method": F.concat(F.col(method) if method in columns else F.lit(""), F.lit("+enhanced")),
+        }
+    )
+
+
+def stamped(results: DataFrame, name: str = "processed_at") -> DataFrame:
+    """The time of the query as an ISO 8601 text in UTC; the same in all rows, another in every run."""
+    return results.withColumn(name, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def enrich_context(results: DataFrame, query_text: Column, post_type: Column, source: Column) -> DataFrame:
     """Position, query, kind and platform of each result (no time stamp, which would differ by run)."""
     return results.withColumns(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.vectors import sparse_parts
+from millrace.operators.search import dense_top_k
 
 
 def to_points(chunks: DataFrame, key: Column, payload: list[str], dense: str | None = None, sparse: str | None = None) -> DataFrame:
@@ -27,6 +29,45 @@ def to_points(chunks: DataFrame, key: Column, payload: list[str], dense: str | N
     return chunks.select(*columns)
 
 
+def keyed_points(docs: DataFrame, external_id: str = "external_id") -> DataFrame:
+    """Adds ``id``: the UUID of the external id, so that a document inserted again replaces itself, or a random one where there is none."""
+    known = F.nullif(F.col(external_id).cast("string"), F.lit(""))
+    return docs.withColumn("id", F.coalesce(tx.uuid_of(known), F.expr("uuid()")))
+
+
+def chunk_meta(chunks: DataFrame, config_hash: str, git_commit: str | None = None, text_col: str = "text") -> DataFrame:
+    """Chunks with their ids and the defaults of what they don't bring; every other column goes into ``labels``.
+
+    Ids come from source, external id and the hash of the text.
+    """
+    have = set(chunks.columns)
+    default = lambda name, value, kind="string": F.coalesce(F.col(name).cast(kind), F.lit(value)) if name in have else F.lit(value).cast(kind)
+    digest, source, external = tx.content_hash(F.col(text_col)), default("source", "unknown"), default("external_id", "unknown")
+    index = default("chunk_index", 0, "int")
+    document = tx.doc_id(source, external, digest)
+    own = {"source", "external_id", "dataset_version", "uri", "chunk_index", "num_chunks", "token_estimate", "split", "labels", text_col}
+    rest = F.create_map(*(x for c in chunks.columns if c not in own for x in (F.lit(c), F.col(c).cast("string")))) if have - own else F.create_map().cast("map<string,string>")
+    labels = F.map_concat(F.map_filter(F.coalesce("labels", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*(have - own))), rest) if "labels" in have else rest
+    return chunks.select(
+        document.alias("doc_id"),
+        tx.chunk_id(document, index).alias("chunk_id"),
+        digest.alias("doc_sha256"),
+        F.col(text_col).alias("text"),
+        source.alias("source"),
+        default("dataset_version", "unknown").alias("dataset_version"),
+        external.alias("external_id"),
+        default("uri", None).alias("uri"),
+        index.alias("chunk_index"),
+        default("num_chunks", 1, "int").alias("num_chunks"),
+        default("token_estimate", None, "int").alias("token_count"),
+        F.length(text_col).alias("char_count"),
+        default("split", "all").alias("split"),
+        labels.alias("labels"),
+        F.lit(git_commit).cast("string").alias("git_commit"),
+        F.lit(config_hash).alias("config_hash"),
+    )
+
+
 def upsert(old: DataFrame | None, new: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
     """Rows of ``old`` whose key is not in ``new``, and the last row of each key of ``new``.
 
@@ -50,7 +91,7 @@ class PointStore:
 
     def _versions(self, name: str) -> list[str]:
         fs, path = self._fs(f"{self.root}/{name}")
-        done = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        done = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
         return sorted(p.getName() for p in done if fs.exists(self._fs(f"{p.toString()}/_SUCCESS")[1]))
 
     def read(self, name: str) -> DataFrame | None:
@@ -68,6 +109,33 @@ class PointStore:
         fs, path = self._fs(f"{self.root}/{name}")
         fs.delete(path, True)
 
+    def spec(self, name: str) -> dict | None:
+        """What a collection was created for: dim, metric, sparse."""
+        fs, path = self._fs(f"{self.root}/{name}/spec.json")
+        if not fs.exists(path):
+            return None
+        return json.loads("".join(r["value"] for r in self.spark.read.text(path.toString()).collect()))
+
+    def ensure(self, name: str, points: DataFrame, dense: str = "dense", sparse: str = "sparse", dims: int = 384, metric: str = "cosine") -> dict:
+        """The collection's spec, created from the points if there is none; vectors of another length or metric are errors.
+
+        The dimension is that of the vectors, ``dims`` without any.
+        """
+        have, known = set(points.columns), self.spec(name)
+        sizes = points.where(F.col(dense).isNotNull()).agg(F.min(F.size(dense)).alias("lo"), F.max(F.size(dense)).alias("hi")).first() if dense in have else None
+        found = sizes["lo"] if sizes else None
+        if found is not None and found != sizes["hi"]:
+            raise ValueError(f"vectors of {found} to {sizes['hi']} dimensions")
+        wanted = {"dim": found or (known or {}).get("dim", dims), "metric": metric, "sparse": sparse in have or bool((known or {}).get("sparse"))}
+        if known and (known["dim"], known["metric"]) != (wanted["dim"], metric):
+            raise ValueError(f"collection {name} holds {known['metric']} vectors of {known['dim']} dimensions, not {metric} of {wanted['dim']}")
+        if known != wanted:
+            fs, path = self._fs(f"{self.root}/{name}/spec.json")
+            out = fs.create(path, True)
+            out.write(bytearray(json.dumps(wanted, sort_keys=True).encode()))
+            out.close()
+        return wanted
+
     def canary(self, name: str) -> str:
         return f"{name}_canary"
 
@@ -110,6 +178,48 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], na
     return keyed.join(known, "cache_key", "left")
 
 
+def grown_cache(cache: DataFrame | None, embedded: DataFrame) -> DataFrame:
+    """The cache (cache_key, embedding) with the new vectors of :func:`embed`; zero vectors of failed batches are not remembered."""
+    fresh = embedded.where(F.exists("embedding", lambda x: x != 0)).groupBy("cache_key").agg(F.first("embedding").alias("embedding"))
+    return fresh if cache is None else cache.select("cache_key", "embedding").unionByName(fresh.join(cache.select("cache_key"), "cache_key", "left_anti"))
+
+
+def embed_as(strategy: str, chunks: DataFrame, dense: Callable[[list[str]], list[list[float]]] | None = None, sparse: Callable[[Column], Column] | None = None, name: str = "unknown", text_col: str = "text", **options) -> DataFrame:
+    """Adds embedding, sparse or both, as the strategy (dense, sparse, hybrid) says; see :func:`embed` for options.
+
+    ``sparse`` gives a map of a text's terms; where it gives null the map is empty.
+    """
+    if strategy not in ("dense", "sparse", "hybrid"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if (strategy != "sparse" and dense is None) or (strategy != "dense" and sparse is None):
+        raise ValueError(f"strategy {strategy} lacks a model")
+    if strategy != "sparse":
+        chunks = embed(chunks, dense, name, text_col=text_col, **options)
+    if strategy != "dense":
+        chunks = chunks.withColumn("sparse", F.coalesce(sparse(F.col(text_col)), F.create_map().cast("map<string,double>")))
+    return chunks
+
+
+def upload_counts(points: DataFrame, document: str, uploaded: Column) -> DataFrame:
+    """total, successful, failed, documents and chunks per document of an upload."""
+    good = F.coalesce(uploaded, F.lit(False))
+    counts = points.groupBy(document).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"))
+    total, documents = F.coalesce(F.sum("n"), F.lit(0)), F.count(document)
+    return counts.agg(
+        total.alias("total"), F.coalesce(F.sum("good"), F.lit(0)).alias("successful"), (total - F.coalesce(F.sum("good"), F.lit(0))).alias("failed"), documents.alias("documents"), F.round(F.when(documents > 0, total / documents), 6).alias("avg_chunks")
+    )
+
+
+def vector_search_test(corpus: DataFrame, id_col: str = "id", vector_col: str = "dense", k: int = 3, dims: int = 384) -> DataFrame:
+    """(test_name, passed, n_results, vector_size): whether a search with a constant vector finds anything."""
+    first = corpus.where(F.size(vector_col) > 0).select(F.size(vector_col).alias("n")).first()
+    size = first["n"] if first else dims
+    spark = corpus.sparkSession
+    asked = spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.array_repeat(F.lit(0.1).cast("float"), size).alias(vector_col))
+    found = dense_top_k(corpus, asked, k, id_col=id_col, vector_col=vector_col).agg(F.count(F.lit(1)).alias("n_results"))
+    return found.select(F.lit("vector_search").alias("test_name"), (F.col("n_results") > 0).alias("passed"), "n_results", F.lit(size if first else None).cast("int").alias("vector_size"))
+
+
 def verify_upload(sample: DataFrame, stored: DataFrame, key: str = "id", needed: float = 0.9) -> DataFrame:
     """expected, found, missing, passed: how many of the sampled keys are stored."""
     have = stored.select(key).distinct().withColumn("__have", F.lit(1))

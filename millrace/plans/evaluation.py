@@ -11,30 +11,38 @@ from millrace.operators import evaluation as ev
 from millrace.operators import experiments as ex
 from millrace.operators import fusion
 from millrace.plans.retrieval import VECTORS, dense, read, rrf_sql, second, vector_queries
+from millrace.session import written
 from millrace.streaming.ingest import windowed_latency
 
 
-def label_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector is relevant to a query of the same label, but not to itself."""
-    rows = read(spark, sf_dir, "embeddings")
-    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(rows.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
+def truth_of(spark: SparkSession, sf_dir: str, *rankings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A vector is relevant to a query of the same label, but not to itself: (qrels of what was retrieved, totals)."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "label")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    ranked = reduce(DataFrame.unionByName, [r.select("query_id", "vec_id") for r in rankings])
+    return ev.class_truth(ranked, asked, rows)
 
 
 def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, s, qrels = dense(spark, sf_dir, 20), second(spark, sf_dir, 20), label_qrels(spark, sf_dir)
+    """The metrics of three methods; the two rankings are searched for and written once."""
+    d, s = written(dense(spark, sf_dir, 20), "dense"), written(second(spark, sf_dir, 20), "second")
+    qrels, totals = truth_of(spark, sf_dir, d, s)
     runs = {"dense": d.where("rank <= 10"), "second": s.where("rank <= 10"), "hybrid": fusion.rrf(d, s)}
     asked = vector_queries(spark, sf_dir)
-    frames = [ev.retrieval_metrics(r, qrels, asked).withColumn("method", F.lit(name)) for name, r in runs.items()]
-    return reduce(DataFrame.unionByName, frames)
+    frames = [ev.retrieval_metrics(r, qrels, asked, totals=totals).withColumn("method", F.lit(name)) for name, r in runs.items()]
+    return written(reduce(DataFrame.unionByName, frames), "metrics")
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.retrieval_metrics(dense(spark, sf_dir), label_qrels(spark, sf_dir), vector_queries(spark, sf_dir))
+    found = dense(spark, sf_dir)
+    qrels, totals = truth_of(spark, sf_dir, found)
+    return ev.retrieval_metrics(found, qrels, vector_queries(spark, sf_dir), totals=totals)
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.eval_metrics(dense(spark, sf_dir), label_qrels(spark, sf_dir), vector_queries(spark, sf_dir))
+    found = dense(spark, sf_dir)
+    qrels, totals = truth_of(spark, sf_dir, found)
+    return ev.eval_metrics(found, qrels, vector_queries(spark, sf_dir), totals=totals)
 
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +125,9 @@ ALPHAS, RRF_KS = ev.parse_grid("0.0:1.0:0.2"), [20, 40, 60, 80, 100]
 
 
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = ex.grid_scores(dense(spark, sf_dir, 20), second(spark, sf_dir, 20), label_qrels(spark, sf_dir), ALPHAS, RRF_KS, latency=750.0)
+    d, s = written(dense(spark, sf_dir, 20), "dense"), written(second(spark, sf_dir, 20), "second")
+    qrels, totals = truth_of(spark, sf_dir, d, s)
+    scores = ex.grid_scores(d, s, qrels, ALPHAS, RRF_KS, latency=750.0, totals=totals)
     return ex.grid_winner(scores)
 
 
