@@ -68,9 +68,9 @@ def split_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of the queries and of the short documents: in both, in one alone."""
+    """Terms of the queries and of the documents: in both, in one alone."""
     words = lambda df: df.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).where("term <> ''")
-    a, b = words(read(spark, sf_dir, "benchmark")), words(read(spark, sf_dir, "documents").where("length(text) < 300"))
+    a, b = words(read(spark, sf_dir, "benchmark")), words(read(spark, sf_dir, "documents"))
     parts = {"both": a.intersect(b), "first": a.subtract(b), "second": b.subtract(a)}
     frames = [f.groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name)) for name, f in parts.items()]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
@@ -200,7 +200,7 @@ QUERIES = {
     "split_filter": (split_filter, "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "set_operations": (
         set_operations,
-        r"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM documents WHERE length(text) < 300)
+        r"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM documents)
         SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
         UNION ALL SELECT 'second', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     ),
