@@ -84,16 +84,18 @@ def _definitions(lines: Sequence[str]) -> list[int]:
     return [i for i, line in enumerate(lines) if _DEFINITION.match(line.strip())]
 
 
-def _cut_lines(lines: Sequence[str], may_cut: Callable[[int, str], bool], keep: Callable[[list[str]], list[str]] = lambda run: []) -> list[str]:
-    """Runs of lines; ``may_cut(i, text so far)`` ends one after line i, ``keep`` says which lines the next repeats."""
-    out, run = [], []
+def _cut_lines(lines: Sequence[str], may_cut: Callable[[int, int], bool], keep: Callable[[list[str]], list[str]] = lambda run: []) -> list[str]:
+    """Runs of lines; ``may_cut(i, characters so far)`` ends one after line i, ``keep`` says which lines the next repeats."""
+    out, run, size = [], [], -1
     for i, line in enumerate(lines):
         run.append(line)
-        text = "\n".join(run)
-        if may_cut(i, text):
+        size += len(line) + 1
+        if may_cut(i, size):
+            text = "\n".join(run)
             if text.strip():
                 out.append(text)
             run = keep(run)
+            size = sum(map(len, run)) + len(run) - 1
     tail = "\n".join(run)
     return out + ([tail] if tail.strip() and tail not in out else [])
 
@@ -105,8 +107,8 @@ def logical_parts(code: str, size: int) -> list[str]:
     def block_ends(i: int, starts: tuple[str, ...]) -> bool:
         return lines[i].strip().startswith(starts) and not lines[i + 1].strip().startswith(starts)
 
-    def may_cut(i: int, text: str) -> bool:
-        if i + 1 >= len(lines) or len(text) < 0.8 * size:
+    def may_cut(i: int, so_far: int) -> bool:
+        if i + 1 >= len(lines) or so_far < 0.8 * size:
             return False
         blank = not lines[i].strip() and bool(lines[i + 1].strip())
         return block_ends(i, ("import ", "from ")) or block_ends(i, ("#",)) or blank
@@ -117,10 +119,10 @@ def logical_parts(code: str, size: int) -> list[str]:
 def function_parts(lines: Sequence[str], size: int) -> list[str]:
     """A long function cut inside its body once 80 % full; the next part repeats its last two lines."""
 
-    def may_cut(i: int, text: str) -> bool:
+    def may_cut(i: int, so_far: int) -> bool:
         line = lines[i].strip()
         blank = not line and i + 1 < len(lines) and bool(lines[i + 1].strip())
-        return i > 0 and len(text) >= 0.8 * size and (line.startswith(_BODY_BREAK) or line.startswith("#") and len(line) > 10 or blank)
+        return i > 0 and so_far >= 0.8 * size and (line.startswith(_BODY_BREAK) or line.startswith("#") and len(line) > 10 or blank)
 
     return _cut_lines(lines, may_cut, lambda run: run[-min(2, len(run) - 1) :] if len(run) > 1 else [])
 
@@ -131,7 +133,7 @@ def _code_block(code: str, size: int) -> list[str]:
     starts = set(_definitions(lines))
     if not starts:
         return logical_parts(code, size)
-    parts = _cut_lines(lines, lambda i, text: i + 1 in starts and len(text) >= 0.8 * size)
+    parts = _cut_lines(lines, lambda i, so_far: i + 1 in starts and so_far >= 0.8 * size)
     return parts[:-1] + (logical_parts(parts[-1], size) if len(parts[-1]) > size else parts[-1:])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import chunking
 from millrace.functions import text as tx
+from millrace.session import written
 
 
 @F.pandas_udf(T.StringType())
@@ -43,11 +44,10 @@ def validate(
     A text whose normalised form occurred before (in ``order``) is a duplicate,
     even if its first occurrence is invalid itself.  ``order`` is unique.  First
     occurrences are found by an aggregate that is combined before the shuffle,
-    and rows meet them by place, so a text with many copies is split.
+    and rows meet them by place, so a text with many copies is split.  The
+    checks run when this is called; their narrow result is written once.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__hash", tx.content_hash(t))
-    first = rows.groupBy("__hash").agg(F.min(order).alias("__order")).select("__order", F.lit(True).alias("__first"))
     n, estimate = F.length(t), tx.token_estimate(t)
     problems = tx.suspicious(t)
     errors = [
@@ -67,10 +67,12 @@ def validate(
         F.when(t.rlike(r"\s{10,}"), "white space"),
         F.when(tx.english_ratio(t) < 0.7, "little English"),
     ]
-    # judged before the join, so that no text is shuffled
-    judged = rows.select(id_col, F.col(order).alias("__order"), F.array_compact(F.array(*errors)).alias("e"), F.array_compact(F.array(*warnings)).alias("warnings"))
+    # judged and hashed in one scan and written, so that no text is read twice or shuffled
+    judged = docs.select(F.col(id_col).alias("__id"), F.col(order).alias("__order"), F.array_compact(F.array(*errors)).alias("e"), F.array_compact(F.array(*warnings)).alias("warnings"), tx.content_hash(t).alias("__hash"))
+    judged = written(judged, "judged")
+    first = judged.groupBy("__hash").agg(F.min("__order").alias("__order")).select("__order", F.lit(True).alias("__first"))
     again = F.when(F.col("__first").isNull(), F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))
-    return judged.join(first, "__order", "left").withColumn("errors", F.concat("e", again)).select(id_col, (F.size("errors") == 0).alias("valid"), "errors", "warnings")
+    return judged.join(first, "__order", "left").withColumn("errors", F.concat("e", again)).select(F.col("__id").alias(id_col), (F.size("errors") == 0).alias("valid"), "errors", "warnings")
 
 
 def identifiers(docs: DataFrame, source: Column, external_id: Column, text: Column, index: Column | None = None) -> DataFrame:

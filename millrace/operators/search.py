@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens
 from millrace.operators.ranking import top_k
+from millrace.session import written
+
+
+#: Scores held at once.
+_SCORES = 1 << 22
 
 
 class _Best:
@@ -79,9 +84,12 @@ def dense_top_k(
             names, q = shipped.value
             best = _Best(k)
             for batch in batches:
-                if batch.num_rows and len(names):
-                    ids = batch.column(0).to_numpy()
-                    scores = np.round(q @ matrix(batch.column(1)).T, 6) + 0.0
+                # so many rows at once that a block of scores takes some 32 MB
+                step = max(1, _SCORES // max(1, len(names)))
+                for at in range(0, batch.num_rows if len(names) else 0, step):
+                    rows = batch.slice(at, step)
+                    ids = rows.column(0).to_numpy()
+                    scores = np.round(q @ matrix(rows.column(1)).T, 6) + 0.0
                     scores[names[:, None] == ids[None, :]] = -np.inf
                     best.add(names, ids, scores)
             yield best.batch(id_col)
@@ -103,52 +111,57 @@ def sparse_scores(query_weights: DataFrame, postings: DataFrame, id_col: str) ->
 
 
 def _lexical_top_k(
-    docs: DataFrame, queries: DataFrame, k: int, id_col: str, digits: int, statistics: Callable[[list[str]], Callable[[np.ndarray, np.ndarray, int], np.ndarray]], block: int
+    docs: DataFrame, queries: DataFrame, k: int, id_col: str, digits: int, statistics: Callable[[list[str]], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]], block: int
 ) -> DataFrame:
     """The k best documents of every query under a sum of term weights.
 
-    Queries go out in blocks of at most ``block``; ``statistics`` gets a
-    block's terms and returns the weight of (term numbers, counts, length) in a
-    document.  A document meets a block's queries in one sparse-dense product,
-    and a task keeps its k best per query, so neither postings nor document
-    and query pairs are shuffled.
+    Queries go out in blocks of at most ``block``, as postings of their terms;
+    ``statistics`` gets a block's terms and returns the weights of (term
+    numbers, counts, lengths) in documents.  The terms of a batch of documents
+    meet the postings of the block, and a task keeps its k best per query, so
+    neither documents nor pairs of documents and queries are shuffled.
     """
     spark = docs.sparkSession
-    blocks = max(1, -(-queries.count() // block))
+    blocks = _blocks(queries, block)
     found = None
     for at in range(blocks):
         mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at)
         asked = [(r["query_id"], Counter(_terms(r["text"]))) for r in mine.select("query_id", "text").collect()]
         terms = sorted({t for _, c in asked for t in c})
         number = {t: i for i, t in enumerate(terms)}
-        weights = np.zeros((len(terms), len(asked)))
-        for j, (_, counts) in enumerate(asked):
-            for t, n in counts.items():
-                weights[number[t], j] = n
-        shipped = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), number, weights, statistics(terms)))
+        rows = sorted((number[t], j, n) for j, (_, counts) in enumerate(asked) for t, n in counts.items())
+        postings = np.array(rows, np.int64).reshape(-1, 3)
+        first = np.searchsorted(postings[:, 0], np.arange(len(terms) + 1))
+        shipped = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), number, first, postings[:, 1], postings[:, 2].astype(np.float64), statistics(terms)))
 
         def nearest(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            names, known, wanted, weigh = shipped.value
-            best = _Best(k)
-            for batch in batches:
-                ids, rows, scores = batch.column(0).to_pylist(), [], []
-                for i, text in zip(ids, batch.column(1).to_pylist()):
-                    words = _terms(text)
+            names, known, first, query, wanted, weigh = shipped.value
+            best, n = _Best(k), len(names)
+
+            def flush(ids: list[int], sizes: list[int], lengths: list[int], term: list[int], tf: list[int]) -> None:
+                owner, term = np.repeat(np.arange(len(ids)), sizes), np.array(term, np.int64)
+                weights = weigh(term, np.array(tf, np.float64), np.repeat(np.array(lengths, np.float64), sizes))
+                # every posting of every term that a document holds
+                many = first[term + 1] - first[term]
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[term], many)
+                sums = np.bincount(np.repeat(owner, many) * n + query[at], np.repeat(weights, many) * wanted[at], minlength=len(ids) * n)
+                scores = sums.reshape(len(ids), n).T
+                best.add(names, np.array(ids, np.int64), np.where(scores > 0, np.round(scores, digits), -np.inf))
+
+            held: tuple[list[int], ...] = ([], [], [], [], [])
+            for batch in batches if n else ():
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    words = _terms(text.as_py())
                     counts = Counter(map(known.get, words))
                     counts.pop(None, None)
                     if counts:
-                        term = np.fromiter(counts.keys(), np.int64, len(counts))
-                        tf = np.fromiter(counts.values(), np.float64, len(counts))
-                        # only queries that share a term are candidates
-                        shared = wanted[term]
-                        score = np.round(weigh(term, tf, len(words)) @ shared, digits)
-                        rows.append(i)
-                        scores.append(np.where(shared.any(axis=0), score, -np.inf))
-                    if len(rows) >= 1024:
-                        best.add(names, np.array(rows, np.int64), np.stack(scores, axis=1))
-                        rows, scores = [], []
-                if rows:
-                    best.add(names, np.array(rows, np.int64), np.stack(scores, axis=1))
+                        for kept, new in zip(held, ([i], [len(counts)], [len(words)], counts.keys(), counts.values())):
+                            kept.extend(new)
+                    if len(held[0]) >= 1024 or len(held[3]) * n > _SCORES:
+                        flush(*held)
+                        held = ([], [], [], [], [])
+            if held[0]:
+                flush(*held)
             yield best.batch(id_col)
 
         part = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(nearest, f"query_id bigint, `{id_col}` bigint, score double")
@@ -156,6 +169,10 @@ def _lexical_top_k(
     return top_k(found, k, [F.desc("score"), F.asc(id_col)])
 
 
+def _blocks(queries: DataFrame, block: int) -> int:
+    return max(1, -(-queries.count() // block))
+
+
 _TERM = re.compile("[a-z0-9]+")
 
 
@@ -168,7 +185,7 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     return _lexical_top_k(docs, queries, k, id_col, 9, lambda terms: _raw_counts, block)
 
 
-def _raw_counts(term: np.ndarray, tf: np.ndarray, length: int) -> np.ndarray:
+def _raw_counts(term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
     return tf
 
 
@@ -177,25 +194,30 @@ class _Bm25:
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if idf else np.ones(len(df))
         self.mean_length, self.k1, self.b = mean_length, k1, b
 
-    def __call__(self, term: np.ndarray, tf: np.ndarray, length: int) -> np.ndarray:
+    def __call__(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.idf[term] * (tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean_length)))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, idf: bool = True, id_col: str = "doc_id", block: int = 256) -> DataFrame:
     """BM25 of every query against all documents; score to 6 digits, ties by id.
 
-    Document frequencies are counted for the queries' terms only, by an
-    aggregate that is combined before its shuffle; lengths and counts come from
-    the document itself.
+    Document frequencies are counted once and for the queries' terms only, by
+    an aggregate that is combined before its shuffle; lengths and counts come
+    from the document itself.  Jobs run when this is called.
     """
     sized = docs.select(tokens(F.coalesce("text", F.lit(""))).alias("t"))
     totals = sized.where(F.size("t") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("m")).first()
 
+    asked = queries.select(F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term")).distinct()
+    frequencies = sized.select(F.explode(F.array_distinct("t")).alias("term")).join(asked, "term", "left_semi").groupBy("term").count()
+    if _blocks(queries, block) > 1:
+        frequencies = written(frequencies, "frequencies")
+
     def statistics(terms: list[str]) -> _Bm25:
-        spark = docs.sparkSession
-        wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # terms of one block
-        counts = sized.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term").groupBy("term").count().collect() if terms else []
-        df = {r["term"]: r["count"] for r in counts}
+        counts = frequencies
+        if _blocks(queries, block) > 1:
+            counts = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")), "term")  # terms of one block
+        df = {r["term"]: r["count"] for r in counts.collect()} if terms else {}
         return _Bm25(np.array([df.get(t, 0) for t in terms], np.float64), totals["n"], totals["m"] or 1.0, k1, b, idf)
 
     return _lexical_top_k(docs, queries, k, id_col, 6, statistics, block)
