@@ -75,7 +75,8 @@ def upsert(old: DataFrame | None, new: DataFrame, key: str = "id", order: Column
     aggregate of whole rows, not by a window over a key's rows.
     """
     rows = [F.col(c) for c in new.columns]
-    last = new.groupBy(key).agg(F.max_by(F.struct(*rows), order if order is not None else F.xxhash64(*rows)).alias("r")).select("r.*")
+    hashed = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in new.dtypes]
+    last = new.groupBy(key).agg(F.max_by(F.struct(*rows), order if order is not None else F.xxhash64(*hashed)).alias("r")).select("r.*")
     return last if old is None else old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
