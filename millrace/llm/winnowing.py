@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, drop_rows, materialize, numbered
 from millrace.llm.words import ALNUM_LOWER, Words, grams, pieces
 
 K, SPAN = 5, 10
@@ -142,26 +143,31 @@ def contamination(
     occurs.  Items that share an id are one item in ``items``, and an item
     without id marks words but is not listed.  An empty benchmark hits nothing.
 
-    The index of one block of items, at most about ``block_bytes`` of text by a
-    count taken first, goes to every executor; a larger benchmark is taken in
-    several blocks, each against all documents.  Documents are never shuffled,
-    so neither a hot source nor a passage that a third of them shares matters.
+    A benchmark of at most ``block_bytes`` of text (counted first) is one index
+    that goes to every executor; documents are never shuffled then, so neither
+    a hot source nor a passage that a third of them shares matters.  For a
+    larger one see :func:`_in_blocks`: the fingerprints of both sides are
+    joined, and only documents that share one meet the items.  Other columns of
+    ``docs`` are not read.  Jobs run when this is called.
     """
+    items, small = _items(benchmark, item_col, item_text_col, block_bytes)
     id_type = docs.schema[id_col].dataType.simpleString()
-    frame = docs.select(F.col(id_col), F.col(text_col).alias("__text")).withColumns(
-        {
-            "n_words": F.lit(0).cast("long"),
-            "spans": F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-            "items": F.expr("cast(array() as array<string>)"),
-        }
-    )
-    carried = f"`{id_col}` {id_type}, __text string, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
-    for index, final in _blocks(benchmark, item_col, item_text_col, k, span, block_bytes):
-        schema = carried.replace(" __text string,", "") if final else carried
-        frame = frame.mapInArrow(_marker(index, final), schema)
-        if not final:
-            frame = materialize(frame, "contamination-block")
-    return frame
+    if small:
+        index = _broadcast_index(items, k, span)
+        schema = f"`{id_col}` {id_type}, n_words bigint, {_FOUND} array<string>"
+        return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_marker(index), schema)
+    rows = numbered(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")))
+    words, found = _in_blocks(rows, items, k, span, block_bytes)
+    spans = found.select("__row", F.explode("spans").alias("s")).groupBy("__row").agg(F.collect_set("s").alias("spans"))
+    spans = spans.mapInArrow(_merge, "__row bigint, spans array<struct<start:int,end:int>>")
+    named = found.select("__row", F.explode("items").alias("sha")).join(items.where("id IS NOT NULL").select("sha", "id").distinct(), "sha")
+    named = named.groupBy("__row").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    out = rows.select("__row", "__id").join(words, "__row").join(spans, "__row", "left").join(named, "__row", "left")
+    no_spans = F.array().cast("array<struct<start:int,end:int>>")
+    return out.select(F.col("__id").alias(id_col), "n_words", F.coalesce("spans", no_spans).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+_FOUND = "spans array<struct<start:int,end:int>>, items"
 
 
 def drop_contaminated(
@@ -175,22 +181,165 @@ def drop_contaminated(
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no window of an item; see :func:`contamination`."""
-    for index, final in _blocks(benchmark, item_col, item_text_col, k, span, block_bytes):
-        docs = docs.mapInArrow(_filter(index, text_col), docs.schema)
-        if not final:
-            docs = materialize(docs, "decontamination-block")
-    return docs
+    items, small = _items(benchmark, item_col, item_text_col, block_bytes)
+    if small:
+        return docs.mapInArrow(_filter(_broadcast_index(items, k, span), text_col), docs.schema)
+    rows = numbered(docs)
+    words, found = _in_blocks(rows.select("__row", F.col(text_col).alias("__text")), items, k, span, block_bytes)
+    dropped = materialize(found.select("__row").distinct(), "contaminated")
+    discard(words, found)
+    return drop_rows(rows, dropped)
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, bool]:
+    """(id, text, sha) of the items, and whether all of them fit one index."""
+    text = F.coalesce(F.col(item_text_col), F.lit(""))
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+    total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)) + 16)).first()[0] or 0
+    return items, total <= block_bytes
+
+
+def _broadcast_index(items: DataFrame, k: int, span: int):
+    """The index of items of at most ``block_bytes``, for every executor."""
+    rows = items.select("id", "text").collect()
+    return items.sparkSession.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"].encode() for r in rows], k, span))
+
+
+def _item_prints(k: int, span: int):
+    """sha, text -> (m, fp): fingerprints (m = 0) of an item, or the hash of all its m words if they are fewer than a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in pieces(batch.column(0)):
+                words = Words.of(texts, ALNUM_LOWER)
+                hashes = words.hashes()
+                found = {(0, h) for h in winnow(hashes, words.last(), k, span - k + 1)[1].tolist()}
+                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                    if 0 < b - a < span:
+                        found.add((b - a, int(grams(hashes[a:b], b - a)[0])))
+                m, h = zip(*sorted(found)) if found else ((), ())
+                yield pa.RecordBatch.from_pydict({"m": pa.array(m, pa.int32()), "fp": pa.array(np.array(h, np.uint64).view(np.int64))})
+
+    return run
+
 
+def _doc_prints(k: int, span: int, lengths: list[int]):
+    """row, text -> row, n_words, and the distinct (m, fp) of the document: fingerprints, and all runs of the short items' lengths."""
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, k: int, span: int, block_bytes: int) -> Iterator[tuple]:
-    """(broadcast index, whether it is the last) of every block of items."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = part.collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"].encode() for r in rows], k, span)), block == blocks - 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in pieces(batch.column(1)):
+                words = Words.of(texts, ALNUM_LOWER)
+                hashes, last, first = words.hashes(), words.last(), words.first
+                where, prints = winnow(hashes, last, k, span - k + 1)
+                sides = [(0, where, prints)]
+                for m in lengths:
+                    g = grams(hashes, m)
+                    whole = np.flatnonzero(np.arange(len(g)) + m <= last[: len(g)])
+                    sides.append((m, whole, g[whole]))
+                ms, fps = [], []
+                for a, b in zip(first[:-1], first[1:]):
+                    mine = [(m, np.unique(p[np.searchsorted(w, a) : np.searchsorted(w, b)])) for m, w, p in sides]
+                    ms.append(np.concatenate([np.full(len(p), m, np.int32) for m, p in mine]))
+                    fps.append(np.concatenate([p for _, p in mine]).view(np.int64))
+                offsets = pa.array(np.cumsum([0, *map(len, ms)]).astype(np.int32))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "__row": batch.column(0).slice(at, len(texts)),
+                        "n_words": pa.array(np.diff(first).astype(np.int64)),
+                        "m": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ms))),
+                        "fp": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(fps))),
+                    }
+                )
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, items: DataFrame, k: int, span: int, block_bytes: int, group_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """((row, n_words) of rows (__row, __text), (row, spans, shas of items) by block of items).
+
+    Equal items are one.  They are dealt into blocks of about ``block_bytes``;
+    the distinct fingerprints of items and of documents are narrow tables and
+    are joined once, which tells the blocks that a document has to meet.  Only
+    such documents are then grouped with their blocks, in as many groups per
+    block as keep each at about ``group_bytes`` of documents, and hits are
+    found and extended there word by word.  The documents are read twice,
+    however large the benchmark is, and nothing goes to the driver but the
+    lengths of items shorter than a window.
+    """
+    distinct = items.groupBy("sha").agg(F.first("text").alias("text"), F.octet_length(F.first("text")).alias("size"))
+    distinct = materialize(distinct, "benchmark-items")
+    blocks = max(1, -(-(distinct.agg(F.sum("size")).first()[0] or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("sha"), F.lit(blocks)).cast("int")
+    keyed = distinct.select(block.alias("block"), "text").mapInArrow(_with_block(_item_prints(k, span)), "block int, m int, fp bigint")
+    keys = materialize(keyed.distinct(), "benchmark-prints")
+    lengths = sorted(r["m"] for r in keys.where("m > 0").select("m").distinct().collect())
+    prints = materialize(rows.select("__row", "__text").mapInArrow(_doc_prints(k, span, lengths), "__row bigint, n_words bigint, m array<int>, fp array<bigint>"), "document-prints")
+    words = materialize(prints.select("__row", "n_words"), "document-words")
+    narrow = prints.select("__row", F.explode(F.arrays_zip("m", "fp")).alias("p")).select("__row", "p.m", "p.fp")
+    met = materialize(narrow.join(keys, ["m", "fp"]).select("__row", "block").distinct(), "document-blocks")
+    discard(prints, keys)
+    texts = rows.select("__row", "__text").join(met, "__row")
+    groups = F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("__text")) / group_bytes)).cast("int")
+    groups = materialize(texts.groupBy("block").agg(groups.alias("groups")), "block-groups")
+    dealt = texts.join(groups, "block").select("block", F.pmod(F.xxhash64("__row"), F.col("groups")).cast("int").alias("grp"), "__row", "__text")
+    own = distinct.select(block.alias("block"), "sha", "text").join(groups, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "sha", "text")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        shas, ids, found = right["sha"].to_pylist(), left["__row"].combine_chunks(), [[], [], []]
+        index = Index(shas, [t.encode() for t in right["text"].to_pylist()], k, span)
+        for at, texts in pieces(left["__text"]):
+            for d, (spans, names) in _hits(index, Words.of(texts, ALNUM_LOWER)).items():
+                for out, value in zip(found, (ids[at + d].as_py(), spans, sorted(names))):
+                    out.append(value)
+        return pa.table({"__row": pa.array(found[0], pa.int64()), "spans": pa.array(found[1], _SPANS), "items": pa.array(found[2], pa.list_(pa.string()))})
+
+    found = dealt.groupBy("block", "grp").cogroup(own.groupBy("block", "grp")).applyInArrow(meet, f"__row bigint, {_FOUND} array<string>")
+    found = materialize(found, "contamination")
+    discard(distinct, met, groups)
+    return words, found
+
+
+def _with_block(prints):
+    """The same of rows whose first column is their block, which is put before what each run of equal blocks gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0).unique().to_pylist():
+                mine = batch.filter(pa.compute.equal(batch.column(0), value))
+                for out in prints(iter([mine.select([1])])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, value, np.int32)), *out.columns], names=["block", *out.schema.names])
+
+    return run
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _hits(index: Index, words: Words) -> dict[int, tuple[list[dict[str, int]], set]]:
+    """{text: (merged spans within it, ids of items)} of the texts that are hit."""
+    hit = index.hits(words)
+    marked, owners = np.zeros(len(words.starts), bool), defaultdict(set)
+    texts = np.searchsorted(words.first, [a for a, _, _ in hit], "right") - 1 if hit else ()
+    for (a, b, item), d in zip(hit, texts):
+        marked[a:b] = True
+        owners[int(d)].add(index.ids[item])
+    return {d: (_spans(marked[words.first[d] : words.first[d + 1]]), names) for d, names in owners.items()}
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching spans of a row become one."""
+    for batch in batches:
+        out = []
+        for spans in batch.column(1).to_pylist():
+            merged: list[dict[str, int]] = []
+            for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+                if merged and s["start"] <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                else:
+                    merged.append(dict(s))
+            out.append(merged)
+        yield pa.RecordBatch.from_pydict({"__row": batch.column(0), "spans": pa.array(out, _SPANS)})
 
 
 def _filter(index, text_col: str):
@@ -207,37 +356,21 @@ def _filter(index, text_col: str):
     return keep
 
 
-def _marker(index, final: bool):
+def _marker(index):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Index = index.value
         for batch in batches:
-            columns = {n: batch.column(n) for n in batch.schema.names}
-            n_words, spans, items = [], [], []
-            before = zip(columns["spans"].to_pylist(), columns["items"].to_pylist())
-            for _, texts in pieces(columns["__text"]):
+            for at, texts in pieces(batch.column(1)):
                 words = Words.of(texts, ALNUM_LOWER)
-                marked = np.zeros(len(words.starts), bool)
-                owners: dict[int, set[str]] = defaultdict(set)
-                hit = found.hits(words)
-                docs = np.searchsorted(words.first, [a for a, _, _ in hit], "right") - 1 if hit else ()
-                for (a, b, item), d in zip(hit, docs):
-                    marked[a:b] = True
-                    owners[int(d)].add(found.ids[item])
-                for d in range(len(texts)):
-                    lo, hi = int(words.first[d]), int(words.first[d + 1])
-                    old_spans, old_items = next(before)
-                    for s in old_spans:
-                        marked[lo + s["start"] : lo + s["end"]] = True
-                    n_words.append(hi - lo)
-                    spans.append(_spans(marked[lo:hi]) if d in owners or old_spans else [])
-                    items.append(sorted({*old_items, *(owners.get(d, set()) - {None})}))
-            columns |= {
-                "n_words": pa.array(n_words, pa.int64()),
-                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                "items": pa.array(items, pa.list_(pa.string())),
-            }
-            if final:
-                del columns["__text"]
-            yield pa.RecordBatch.from_pydict(columns)
+                hit = _hits(found, words)
+                each = [hit.get(d, ([], set())) for d in range(len(texts))]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        batch.schema.names[0]: batch.column(0).slice(at, len(texts)),
+                        "n_words": pa.array(np.diff(words.first).astype(np.int64)),
+                        "spans": pa.array([spans for spans, _ in each], _SPANS),
+                        "items": pa.array([sorted(names - {None}) for _, names in each], pa.list_(pa.string())),
+                    }
+                )
 
     return mark

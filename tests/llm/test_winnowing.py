@@ -7,7 +7,7 @@ import pytest
 from tests.llm.conftest import documents
 
 from millrace.llm import queries
-from millrace.llm.winnowing import Index, K, contamination, minima, winnow
+from millrace.llm.winnowing import Index, K, contamination, drop_contaminated, minima, winnow
 from millrace.llm.words import ALNUM_LOWER, Words
 from tests import oracle
 
@@ -89,3 +89,22 @@ def test_odd_rows(odd, empty, spark):
 
 def test_query_matches_sql(spark, sf_dir):
     oracle.assert_same(queries.op6_winnowing(spark, sf_dir), oracle.tables(sf_dir), queries.OP6_SQL)
+
+
+def test_a_benchmark_of_many_blocks_gives_the_same(spark, sf_dir):
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    again = bench.unionByName(bench.selectExpr("item_id + 1000 AS item_id", "text")).unionByName(bench.selectExpr("item_id + 2000 AS item_id", "substring_index(text, ' ', 4) AS text"))
+    rows = lambda df: sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in df.collect())
+    one = rows(contamination(docs, again))
+    assert any(r[3] for r in one) and rows(contamination(docs, again, block_bytes=2000)) == one
+    clean = sorted(r.doc_id for r in drop_contaminated(docs, again).collect())
+    many = drop_contaminated(docs, again, block_bytes=2000)
+    assert sorted(r.doc_id for r in many.collect()) == clean == [r[0] for r in one if not r[2]] and many.columns == docs.columns
+
+
+def test_odd_rows_against_many_blocks(odd, empty, spark):
+    texts = ["one two three", None, "one two three", "word3 word4 " * 40, "x" * 200]
+    got = contamination(odd, items(spark, texts), block_bytes=50).collect()
+    assert len(got) == 10 and {r.doc_id: r["items"] for r in got if r.spans} == {6: ["1", "3"]}
+    assert contamination(empty, items(spark, texts), block_bytes=50).count() == 0
+    assert drop_contaminated(odd, items(spark, texts), block_bytes=50).count() == 8
