@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize
 
 
 def _text(text_col: str) -> Column:
@@ -32,7 +32,9 @@ def duplicate_groups(
     The keys that survive the second step go to every executor while there are
     at most ``broadcast_keys`` of them (8 bytes each, counted first), and only
     rows that carry one are hashed in full.  Beyond that a row's hash is taken
-    in the scan and narrow rows are joined by key, so that no text is shuffled.
+    in the scan and narrow rows are joined by key, so that no text is shuffled:
+    a choice of plan, by size, between two ways to the same rows.  Other columns
+    of ``docs`` are not read, whatever their names.
 
     Hot lengths and hot texts: counts are combined before each shuffle, and the
     semi-joins have nothing above them that keeps a partition whole, so that
@@ -47,6 +49,7 @@ def duplicate_groups(
     # prefix_key holds the length, so this groups by (length, prefix)
     shared_prefixes = signatures.join(shared_lengths, "n_bytes", "left_semi").groupBy("prefix_key").count().where("count > 1").select("prefix_key")
     shared_prefixes = materialize(shared_prefixes, "dedup-prefixes")
+    discard(signatures)
 
     sha = F.sha2(text, 256).alias("text_sha256")
     if shared_prefixes.count() <= broadcast_keys:

@@ -23,6 +23,8 @@ DIMENSIONS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 UNDETERMINED = "und"
 _CHUNK = 1 << 20
+#: Texts whose features are held at once (16 KB each).
+_ROWS = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,7 +146,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0)
-            for at, texts in pieces(batch.column(1), 4 << 20):
+            for at, texts in pieces(batch.column(1), 4 << 20, _ROWS):
                 x = features(texts).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"lang": langs.slice(at, len(texts)), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -160,7 +162,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     no letter, or no language was learned; with one learned language every
     other text is of that one.  ``ambiguous`` marks a margin between the first
     and the second language below ``ambiguous_below``.  Ties go to the
-    language first in alphabetical order.  Nothing is shuffled.
+    language first in alphabetical order.  Rows that repeat are judged alike,
+    an empty table gives no rows, other columns of ``docs`` are not read, and
+    bytes that are not UTF-8 are no letters.  Nothing is shuffled.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -169,7 +173,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         known: Model = shipped.value
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in pieces(batch.column(1)):
+            for at, texts in pieces(batch.column(1), most=_ROWS):
                 best, score, margin = known.decode(features(texts)) if known.languages else (np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts)))
                 none = np.array([not known.languages or not _has_letter(t) for t in texts], bool)
                 yield pa.RecordBatch.from_pydict(

@@ -90,7 +90,7 @@ def host_reputation(outcomes: DataFrame, weakest: float = 2.0, strongest: float
     outcome are left out.  Counts are combined before every shuffle, so a host
     with a third of all rows costs one row per task.
     """
-    # written once: every level's counts, strength and posterior come from it
+    # each level written once: its strength, its posterior and the level above come from it
     hosts = materialize(
         outcomes.where(F.col("good").isNotNull())
         .groupBy("host")
@@ -98,8 +98,8 @@ def host_reputation(outcomes: DataFrame, weakest: float = 2.0, strongest: float
         .select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "k"),
         "host-outcomes",
     )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domain-outcomes")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffix-outcomes")
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
     everything = total.select((F.col("k") + 1.0).alias("a"), (F.col("n") - F.col("k") + 1.0).alias("b"))
 

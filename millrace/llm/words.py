@@ -101,8 +101,8 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def pieces(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of consecutive texts of about ``size`` bytes, with the first one's index.
+def pieces(column: pa.Array, size: int = 1 << 20, most: int = 1 << 30) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of consecutive texts of about ``size`` bytes and at most ``most`` texts, with the first one's index.
 
     A null text is empty.  A text is never cut: a run ends with the one that
     reaches ``size``.
@@ -114,7 +114,7 @@ def pieces(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[by
     at = 0
     while at < len(column):
         # up to the text that reaches the size, converted run by run to hold little at once
-        stop = min(len(column), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1)
+        stop = min(len(column), at + most, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1)
         yield at, [t or b"" for t in column.slice(at, stop - at).to_pylist()]
         at = stop
 
