@@ -3,10 +3,13 @@
 The reference is the corpus itself, indexed in blocks: each block of hashes
 holds, for sampled runs of words (anchors), where they occur first.  Every
 document is parsed greedily against all blocks: consecutive anchors that point
-along one diagonal of the same earlier text make a factor.  A factor of at least
-``window`` words is a duplicate span.  A window that no factor holds but that
-crosses a factor's boundary (or is itself the first copy) is checked by its own
-hash.  Together this finds exactly the windows whose words also start earlier.
+along one diagonal of the same earlier text make a factor.  Windows of words
+that no factor holds but that cross a factor's boundary (or hold an anchor
+alone) are looked up by their own hash, and those along one diagonal are joined
+to factors as well.  Every factor is then compared with the blocks of words of
+the text that it points to, word by word, and extended as far as they agree; a
+factor of at least ``window`` words is a duplicate span.  So hashes only propose
+what words decide: nothing is removed that was not compared.
 
 Anchors are the minima of ``WINNOW`` consecutive hashes of ``K`` words with
 ``K + WINNOW - 1 = window``: every window holds an anchor, the same in every
@@ -30,6 +33,8 @@ from millrace.llm.winnowing import minima, winnow
 from millrace.llm.words import SPACED, Words, grams, pieces
 
 WINDOW, K = 20, 11
+#: Words of a reference block.
+BLOCK = 64
 
 
 def _arrays(values: list[np.ndarray], kind) -> pa.Array:
@@ -111,35 +116,30 @@ def _exploded(table: DataFrame) -> DataFrame:
     return table.select("key", F.explode(F.arrays_zip("h", "at")).alias("a")).select("key", "a.h", "a.at")
 
 
-def factors(key: int, at: np.ndarray, key0: np.ndarray, at0: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """Spans [start, end) of the greedy parse: runs of anchors on one diagonal of one earlier place.
+def factors(key: int, at: np.ndarray, key0: np.ndarray, at0: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, text, shift) of the greedy parse: runs of anchors on one diagonal of one earlier place.
 
-    ``at`` are the places of the document's repeated anchors in order, with
-    their first occurrence; an anchor that is its own first occurrence ends a
-    factor and begins none.
+    Word i of a factor is word i - shift of the text.  ``at`` are the places of
+    the document's repeated anchors in order, with their first occurrence; an
+    anchor that is its own first occurrence ends a factor and begins none.
     """
-    out: list[tuple[int, int]] = []
-    start = end = None
-    last = (None, None)
+    out: list[tuple[int, int, int, int]] = []
     for p, r, q in zip(at.tolist(), key0.tolist(), at0.tolist()):
         if r == key and q == p:
-            line = (None, None)
+            line = None
         else:
             line = (r, p - q)
-        if start is not None and line == last and p <= end:
-            end = p + k
-            continue
-        if start is not None:
-            out.append((start, end))
-        start, end = (p, p + k) if line[0] is not None else (None, None)
-        last = line
-    if start is not None:
-        out.append((start, end))
-    return out
+        if out and line == out[-1][2:] and p <= out[-1][1]:
+            out[-1] = (out[-1][0], p + k, *line)
+        elif line:
+            out.append((p, p + k, *line))
+        else:
+            out.append((p, p, key, 0))  # nothing, but no factor goes on across it
+    return [f for f in out if f[1] > f[0]]
 
 
 def _parse(window: int, k: int):
-    """key, text, pointers -> key, text, duplicate spans, windows to be checked (hash, marked position)."""
+    """key, text, pointers -> key, text, factors of a window or more, windows to be checked (hash, marked position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +152,7 @@ def _parse(window: int, k: int):
                 hashes = words.hashes()
                 g, low = minima(hashes, k, window - k + 1)
                 whole = grams(hashes, window)
-                starts, ends, places, prints = [], [], [], []
+                long, places, prints = [], [], []
                 for d in range(len(texts)):
                     lo, n = int(words.first[d]), int(words.first[d + 1] - words.first[d])
                     found = np.stack([f[cuts[first + d] : cuts[first + d + 1]] for f in fields], axis=1)
@@ -163,20 +163,18 @@ def _parse(window: int, k: int):
                     m = max(0, n - window + 1)
                     open_ = np.isin(low[lo : lo + m], g[lo + found[:, 0]])
                     # ... and that no factor holds
-                    for a, b in spans:
+                    for a, b, _, _ in spans:
                         open_[a : b - window + 1] = False
                     at = np.flatnonzero(open_)
                     h = whole[lo + at]
-                    starts.append(np.array([a for a, _ in spans], np.int64))
-                    ends.append(np.array([b for _, b in spans], np.int64))
+                    long.append(np.array(spans, np.int64).reshape(-1, 4))
                     places.append(_first_marked(at, h))
                     prints.append(h.view(np.int64))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "key": batch.column(0).slice(first, len(texts)),
                         "text": batch.column(1).slice(first, len(texts)),
-                        "starts": _arrays(starts, np.int32),
-                        "ends": _arrays(ends, np.int32),
+                        **{name: _arrays([f[:, i] for f in long], np.int64) for i, name in enumerate(("starts", "ends", "refs", "shifts"))},
                         "h": _arrays(prints, np.int64),
                         "at": _arrays(places, np.int32),
                     }
@@ -185,19 +183,86 @@ def _parse(window: int, k: int):
     return run
 
 
+def _requests(window: int):
+    """key, factors, repeated windows -> (key, start, end, ref, shift, block): the blocks of words that each factor is to be compared with.
+
+    Windows and factors along one diagonal that overlap are one factor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, int, int, int]] = []
+            for key, starts, ends, refs, shifts, windows in zip(*(c.to_pylist() for c in batch.columns)):
+                found = list(zip(refs, shifts, starts, ends))
+                found += [(w["key0"], w["at"] - w["at0"], w["at"], w["at"] + window) for w in windows or ()]
+                merged: list[list[int]] = []
+                for ref, shift, a, b in sorted(found):
+                    if merged and merged[-1][:2] == [ref, shift] and a <= merged[-1][3]:
+                        merged[-1][3] = max(merged[-1][3], b)
+                    else:
+                        merged.append([ref, shift, a, b])
+                for ref, shift, a, b in merged:
+                    out += [(key, a, b, ref, shift, n) for n in range((a - shift) // BLOCK, (b - shift - 1) // BLOCK + 1)]
+            columns = zip(*out) if out else [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["key", "start", "end", "ref", "shift", "block"])
+
+    return run
+
+
+def _reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text, wanted blocks -> (ref, block, words): the words of each block, joined by spaces."""
+    for batch in batches:
+        wanted = batch.column(2)
+        for at, texts in pieces(batch.column(1)):
+            refs, blocks, found = [], [], []
+            for i, text in enumerate(texts):
+                words = text.split()
+                numbers = wanted[at + i].as_py()
+                refs += [batch.column(0)[at + i].as_py()] * len(numbers)
+                blocks += numbers
+                found += [b" ".join(words[BLOCK * n : BLOCK * (n + 1)]) for n in numbers]
+            yield pa.RecordBatch.from_pydict({"ref": pa.array(refs, pa.int64()), "block": pa.array(blocks, pa.int32()), "words": pa.array(found, pa.binary())})
+
+
+def agreeing(words: list[bytes], start: int, end: int, shift: int, blocks: dict[int, list[bytes]], window: int) -> list[tuple[int, int]]:
+    """Spans of at least ``window`` words in which a factor agrees with its reference, grown to both sides as far as the blocks go."""
+    lo, hi = min(blocks) * BLOCK, (max(blocks) + 1) * BLOCK
+    reference = [w for n in range(min(blocks), max(blocks) + 1) for w in blocks[n]]
+    hi = min(hi, lo + len(reference))
+    first, last = max(0, lo + shift), min(len(words), hi + shift)
+    if words[start:end] == reference[start - shift - lo : end - shift - lo]:
+        while start > first and words[start - 1] == reference[start - 1 - shift - lo]:
+            start -= 1
+        while end < last and words[end] == reference[end - shift - lo]:
+            end += 1
+        return [(start, end)] if end - start >= window else []
+    out, at = [], first
+    for i in range(first, last + 1):
+        if i == last or words[i] != reference[i - shift - lo]:
+            if i - at >= window:
+                out.append((at, i))
+            at = i + 1
+    return out
+
+
 def _cut(window: int):
-    """key, text, spans, repeated windows -> key, n_removed, sha256 of the kept words, spans removed."""
+    """key, text, factors with blocks of reference words -> key, n_removed, sha256 of the kept words, spans removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, begins, finishes = [], [], [], []
             for at, texts in pieces(batch.column(1)):
-                part = batch.slice(at, len(texts))
-                for text, starts, ends, windows in zip(texts, *(part.column(i).to_pylist() for i in (2, 3, 4))):
+                for text, rows in zip(texts, batch.column(2).slice(at, len(texts))):
                     words = text.split()
+                    proposed: dict[tuple[int, int, int, int], dict[int, list[bytes]]] = {}
+                    for r in rows.as_py():
+                        proposed.setdefault((r["start"], r["end"], r["ref"], r["shift"]), {})[r["block"]] = r["words"].split()
                     change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, np.array([*starts, *(windows or ())], np.int64), 1)
-                    np.add.at(change, np.array([*ends, *(w + window for w in windows or ())], np.int64), -1)
+                    for (start, end, _, shift), blocks in proposed.items():
+                        for a, b in agreeing(words, start, end, shift, blocks, window):
+                            change[a] += 1
+                            change[b] -= 1
                     gone = np.cumsum(change)[: len(words)] > 0
                     removed.append(int(gone.sum()))
                     shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g])).hexdigest())
@@ -227,10 +292,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and text are one document and have the same result; a repeated id with
     different texts is ordered by a hash of the text, null ids come first.
 
-    Words are compared by 64-bit hashes of k or ``window`` of them.  Texts are
-    shuffled once, by key; everything else that is shuffled is narrow, counts
-    are combined first, and both sides of the joins by hash are plain exchanges,
-    so that a passage that a third of the documents share is split over tasks.
+    Places are proposed by 64-bit hashes of k or ``window`` words and decided by
+    the words themselves; two runs of words with one hash could only hide a
+    repeat, never remove what is none.  Texts that hold a repeated anchor are
+    shuffled by key, of references only the blocks that factors point to; all
+    else that is shuffled is narrow, counts are combined first, and both sides
+    of the joins by hash or block are plain exchanges, so that a passage that a
+    third of the documents share is split over tasks.  Other columns of
+    ``docs`` are not read.  Jobs run when this is called.
     """
     if not k >= window - k + 1 >= 1:
         raise ValueError("anchors of k words leave no gap only if k >= window - k + 1 >= 1")
@@ -246,7 +315,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parsed = materialize(
         texts.join(pointers.hint("shuffle_merge"), "key")
         .select("key", "text", "pointers")
-        .mapInArrow(_parse(window, k), "key bigint, text string, starts array<int>, ends array<int>, h array<bigint>, at array<int>"),
+        .mapInArrow(_parse(window, k), "key bigint, text string, starts array<bigint>, ends array<bigint>, refs array<bigint>, shifts array<bigint>, h array<bigint>, at array<int>"),
         "rlz-parsed",
     )
     discard(pointers)
@@ -254,15 +323,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = materialize(_index(windows), "rlz-windows")
     place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
     again = windows.join(firsts, "h").select("key", place.alias("at"), "key0", "at0").where("key <> key0 OR at <> at0")
-    again = materialize(again.groupBy("key").agg(F.collect_list("at").alias("windows")), "rlz-repeats")
-    changed = (
-        parsed.select("key", "text", "starts", "ends")
-        .join(again, "key", "left")
-        .where("size(starts) > 0 OR windows IS NOT NULL")
-        .mapInArrow(_cut(window), "key bigint, n_removed bigint, kept_sha256 string, starts array<int>, ends array<int>")
-    )
+    again = materialize(again.groupBy("key").agg(F.collect_list(F.struct("at", "key0", "at0")).alias("windows")), "rlz-repeats")
+    proposed = parsed.select("key", "starts", "ends", "refs", "shifts").join(again, "key", "left").where("size(starts) > 0 OR windows IS NOT NULL")
+    requests = materialize(proposed.mapInArrow(_requests(window), "key bigint, start int, end int, ref bigint, shift bigint, block int"), "rlz-requests")
+    discard(firsts, again)
+    # texts that are pointed to hold repeated anchors, so they were parsed too
+    wanted = requests.select("ref", "block").distinct().groupBy(F.col("ref").alias("key")).agg(F.collect_list("block").alias("blocks"))
+    blocks = parsed.select("key", "text").join(wanted, "key").select("key", "text", "blocks")
+    blocks = materialize(blocks.mapInArrow(_reference, "ref bigint, block int, words binary"), "rlz-blocks")
+    found = requests.join(blocks, ["ref", "block"]).groupBy("key").agg(F.collect_list(F.struct("start", "end", "ref", "shift", "block", "words")).alias("factors"))
+    found = materialize(found, "rlz-factors")
+    discard(requests, blocks)
+    changed = parsed.select("key", "text").join(found, "key").select("key", "text", "factors")
+    changed = changed.mapInArrow(_cut(window), "key bigint, n_removed bigint, kept_sha256 string, starts array<int>, ends array<int>")
     changed = materialize(changed, "rlz-changed")
-    discard(parsed, firsts, again)
+    discard(parsed, found)
     no_spans = F.array().cast("array<struct<start:int,end:int>>")
     out = counts.join(changed, "key", "left").select(
         "key",

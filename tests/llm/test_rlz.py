@@ -3,10 +3,13 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import documents
 
 from millrace.llm import queries
+import millrace.llm.rlz as rlz
 from millrace.llm.rlz import substring_dedup
 from tests import oracle
 
@@ -82,3 +85,46 @@ def test_repeated_ids_and_text_ids(spark):
 
 def test_query_matches_sql(spark, sf_dir):
     oracle.assert_same(queries.op9_rlz(spark, sf_dir), oracle.tables(sf_dir), queries.OP9_SQL)
+
+
+def test_factors_follow_one_diagonal():
+    at, key0, at0 = np.array([[0, 7, 0], [5, 7, 5], [12, 7, 12], [20, 3, 1], [40, 3, 21], [45, 9, 45], [50, 3, 31], [52, 9, 52]]).T
+    assert rlz.factors(9, at, key0, at0, 11) == [(0, 23, 7, 0), (20, 31, 3, 19), (40, 51, 3, 19), (50, 61, 3, 19)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_agreement_is_of_words(seed):
+    """What the hashes propose is kept only where the words agree, and grown as far as they do."""
+    rng = random.Random(seed)
+    reference = [rng.choice([b"a", b"b", b"c"]) if rng.random() < 0.2 else b"w%d" % i for i in range(300)]
+    a, n, shift = rng.randint(0, 150), rng.randint(20, 120), rng.randint(-20, 20)
+    words = [b"x%d" % i for i in range(320)]
+    start = a + shift if a + shift >= 0 else 0
+    for i in range(start, start + n):
+        words[i] = reference[i - shift] if 0 <= i - shift < 300 else words[i]
+    if rng.random() < 0.6:
+        words[start + rng.randrange(n)] = b"changed"
+    low, high = max(0, start - shift), min(300, start + n - shift)
+    blocks = {b: reference[64 * b : 64 * (b + 1)] for b in range(low // 64, (high - 1) // 64 + 1)}
+    got = rlz.agreeing(words, low + shift, high + shift, shift, blocks, 20)
+    inside = [0 <= i - shift < 300 and words[i] == reference[i - shift] and (i - shift) // 64 in blocks for i in range(320)]
+    runs, at = [], 0
+    for i in range(321):
+        if i == 320 or not inside[i]:
+            if i - at >= 20:
+                runs.append((at, i))
+            at = i + 1
+    whole = all(inside[low + shift : high + shift])
+    assert got == [r for r in runs if not whole or r[0] <= low + shift < r[1]]
+
+
+def test_a_false_proposal_removes_nothing():
+    words = b" ".join(b"w%d" % i for i in range(40))
+    other = b" ".join(b"v%d" % i for i in range(64))
+    factor = {"start": 5, "end": 30, "ref": 1, "shift": 0, "block": 0, "words": other}
+    true = factor | {"start": 0, "end": 20, "words": b" ".join([*words.split()[:25], *other.split()[25:]])}
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref", pa.int64()), ("shift", pa.int64()), ("block", pa.int32()), ("words", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([2, 3]), pa.array([words.decode()] * 2), pa.array([[factor], [true]], kind)], names=["key", "text", "factors"])
+    out = next(rlz._cut(20)(iter([batch])))
+    assert out.column("n_removed").to_pylist() == [0, 25] and out.column("ends").to_pylist() == [[], [25]]
+    assert out.column("kept_sha256")[0].as_py() == hashlib.sha256(words).hexdigest()
