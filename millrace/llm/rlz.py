@@ -183,26 +183,51 @@ def _parse(window: int, k: int):
     return run
 
 
-def _requests(window: int):
-    """key, factors, repeated windows -> (key, start, end, ref, shift, block): the blocks of words that each factor is to be compared with.
+def covering(found: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Of proposed factors (start, end, text, shift) as few as cover the same words: greedily the one that reaches farthest.
 
-    Windows and factors along one diagonal that overlap are one factor.
+    Those along one diagonal that overlap are joined to one first.
     """
+    if not len(found):
+        return []
+    start, end, ref, shift = found[np.lexsort((found[:, 0], found[:, 3], found[:, 2]))].T
+    line = np.cumsum(np.concatenate([[0], (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1])]))
+    # the farthest end so far on the same diagonal
+    far = np.maximum.accumulate(end + line * (1 << 40)) - line * (1 << 40)
+    first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (start[1:] > far[:-1])]))
+    last = np.concatenate([first[1:], [len(start)]]) - 1
+    joined = sorted(zip(start[first].tolist(), far[last].tolist(), ref[first].tolist(), shift[first].tolist()))
+    out: list[tuple[int, int, int, int]] = []
+    best, upto = joined[0], -1
+    for factor in joined:
+        # ``best`` reaches farthest of those that begin within what is covered
+        if factor[0] > upto and best[1] > upto:
+            out.append(best)
+            upto = best[1]
+        if factor[0] > upto or factor[1] > best[1]:
+            best = factor
+    if best[1] > upto:
+        out.append(best)
+    return out
+
+
+def _requests(window: int):
+    """key, factors, repeated windows -> (key, start, end, ref, shift, block): the blocks of words that each factor is to be compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, int, int, int, int]] = []
-            for key, starts, ends, refs, shifts, windows in zip(*(c.to_pylist() for c in batch.columns)):
-                found = list(zip(refs, shifts, starts, ends))
-                found += [(w["key0"], w["at"] - w["at0"], w["at"], w["at"] + window) for w in windows or ()]
-                merged: list[list[int]] = []
-                for ref, shift, a, b in sorted(found):
-                    if merged and merged[-1][:2] == [ref, shift] and a <= merged[-1][3]:
-                        merged[-1][3] = max(merged[-1][3], b)
-                    else:
-                        merged.append([ref, shift, a, b])
-                for ref, shift, a, b in merged:
-                    out += [(key, a, b, ref, shift, n) for n in range((a - shift) // BLOCK, (b - shift - 1) // BLOCK + 1)]
+            flat = [batch.column(i).values.to_numpy().astype(np.int64) for i in range(1, 5)]
+            cuts = batch.column(1).offsets.to_numpy()
+            windows, held = batch.column(5), batch.column(5).offsets.to_numpy()
+            at, ref, place = (windows.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            given = windows.is_valid().to_numpy(zero_copy_only=False)
+            for d, key in enumerate(batch.column(0).to_pylist()):
+                long = np.stack([f[cuts[d] : cuts[d + 1]] for f in flat], axis=1)
+                one = slice(held[d], held[d + 1]) if given[d] else slice(0, 0)
+                short = np.stack([at[one], at[one] + window, ref[one], at[one] - place[one]], axis=1)
+                for a, b, r, shift in covering(np.concatenate([long, short])):
+                    out += [(key, a, b, r, shift, n) for n in range((a - shift) // BLOCK, (b - shift - 1) // BLOCK + 1)]
             columns = zip(*out) if out else [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["key", "start", "end", "ref", "shift", "block"])

@@ -128,3 +128,15 @@ def test_a_false_proposal_removes_nothing():
     out = next(rlz._cut(20)(iter([batch])))
     assert out.column("n_removed").to_pylist() == [0, 25] and out.column("ends").to_pylist() == [[], [25]]
     assert out.column("kept_sha256")[0].as_py() == hashlib.sha256(words).hexdigest()
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_covering_keeps_every_word(seed):
+    rng = random.Random(seed)
+    found = [(a, a + rng.choice([20, 20, 20, rng.randint(20, 60)]), rng.randint(0, 2), rng.randint(0, 3)) for a in (rng.randrange(300) for _ in range(rng.randint(1, 60)))]
+    words = lambda factors: {i for a, b, _, _ in factors for i in range(a, b)}
+    got = rlz.covering(np.array(found, np.int64))
+    assert words(got) == words(found) and len(got) <= len(found)
+    for a, b, ref, shift in got:  # each is made of proposals of its own diagonal
+        assert words([(a, b, ref, shift)]) <= words([f for f in found if f[2:] == (ref, shift)])
+    assert len(got) <= 2 * (max(words(found)) // 20 + 1) and rlz.covering(np.zeros((0, 4), np.int64)) == []
