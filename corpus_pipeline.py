@@ -2,6 +2,11 @@
 
 Toxic documents go, of equal texts one row stays, of near duplicates one
 row stays, contaminated documents go, and what is left is encoded.
+
+Stages decide by row, not by id: null and repeated ids, repeated rows and null
+texts (which count as empty) are rows like any other, an empty table stays
+empty, and columns beyond those of documents are carried along, whatever their
+names (the first four stages) or left out (the last).
 """
 
 from __future__ import annotations
@@ -9,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop_rows, materialize, numbered, table
+from millrace.llm.common import discard, drop_rows, materialize, numbered, table
 from millrace.session import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7; learned from the labels of ``sf_dir``."""
+    """Documents that score below 0.7; learned from the labels of ``sf_dir``.  A text that repeats is judged alike each time."""
     from millrace.llm.queries import toxicity_model
     from millrace.llm.toxicity import drop_toxic
 
@@ -22,7 +27,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, of the largest id; rows without id come last."""
+    """Of equal texts one row, of the largest id; rows without id come last.
+
+    Null and empty texts are equal.  Of rows of one id and text one stays.
+    """
     from millrace.llm.exact_dedup import exact_dedup as judge
 
     rows = numbered(docs)
@@ -31,7 +39,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates one row, of the smallest id; rows without id come last."""
+    """Of each component of near duplicates one row, of the smallest id; rows without id come last.
+
+    Texts without words are one component.
+    """
     from millrace.llm.simhash import near_duplicates
 
     ship(spark)
@@ -42,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; null and empty texts have none."""
     from millrace.llm.winnowing import drop_contaminated
 
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -70,7 +81,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            discard(before)  # the next stage's table is written, so nothing reads this one any more
+        before = docs
     return docs
