@@ -27,7 +27,7 @@ from millrace.llm.words import valid
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts of a generation of the cache; a part takes about 300 bytes.
-_CACHED = 500_000
+_CACHED = 400_000
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 #: Scores at or below this mark pieces that merges never make; they cost as much as a fallback.
 _NEVER = -1e8
