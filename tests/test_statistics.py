@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import unicodedata
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import chunking
 from millrace.operators import evaluation, experiments, reports
+from millrace.operators.documents import clean_documents
 from millrace.plans import registry
 from millrace.sources import config, qa
 
@@ -72,25 +74,31 @@ def documents(spark, sf_dir):
 
 
 def test_nfkc_against_plain_python(spark, sf_dir):
-    texts = documents(spark, sf_dir)
-    rows = registry.QUERIES["clean_nfkc"](spark, sf_dir).collect()
-    assert len(rows) == len(texts)
-    again = spark.createDataFrame([(i, unicodedata.normalize("NFKC", t or "")) for i, t in texts.items()], "doc_id long, text string")
-    from millrace.operators.documents import clean_documents
+    """The rows are those of texts that plain Python normalised before."""
+    texts = {i: unicodedata.normalize("NFKC", t or "") for i, t in documents(spark, sf_dir).items()}
+    plain = clean_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), unicode=False)
+    expected = {r.doc_id: (hashlib.md5(r.text.encode()).hexdigest(), r.char_count) for r in plain.collect()}
+    assert {r.doc_id: (r.text_md5, r.char_count) for r in registry.QUERIES["clean_nfkc"](spark, sf_dir).collect()} == expected
 
-    plain = clean_documents(again, unicode=False)
-    assert {r.doc_id: r.char_count for r in rows if "char_count" in r} == {r.doc_id: r.char_count for r in plain.collect()} or all("char_count" not in r for r in rows)
 
+CHUNKERS = {"recursive_chunks": "recursive", "code_chunks": "code_aware", "table_chunks": "table_aware"}
 
-@pytest.mark.parametrize("name", ["recursive_chunks", "code_chunks", "table_chunks", "auto_chunks"])
-def test_chunks_hold_the_text(spark, sf_dir, name):
-    """Every word of a document is in its chunks, in order of their numbers; the numbers have no gap."""
+
+@pytest.mark.parametrize("name", [*CHUNKERS, "auto_chunks"])
+def test_chunks_against_plain_python(spark, sf_dir, name):
+    """The rows are what the chunker gives for each text alone, numbered from 0, and hold every word of it."""
     texts, found = documents(spark, sf_dir), {}
     for r in registry.QUERIES[name](spark, sf_dir).collect():
-        found.setdefault(r.doc_id, []).append(r)
-    assert set(found) <= set(texts)
+        found.setdefault(r.doc_id, {})[r.chunk_index] = r
+    how = {r.doc_id: r.strategy for r in registry.QUERIES["content_strategy"](spark, sf_dir).collect()}
+    assert set(found) == {i for i, t in texts.items() if chunking.STRATEGIES[CHUNKERS.get(name) or how[i]](t)}
     for i, rows in found.items():
-        assert sorted(r.chunk_index for r in rows) == list(range(len(rows)))
+        chunks = chunking.STRATEGIES[CHUNKERS.get(name) or how[i]](texts[i])
+        assert sorted(rows) == list(range(len(chunks)))
+        assert {w for c in chunks for w in c.split()} >= set(texts[i].split())
+        for n, chunk in enumerate(chunks):
+            told = rows[n].asDict()
+            assert told.get("chunk_text", chunk) == chunk and told.get("chunk_md5", hashlib.md5(chunk.encode()).hexdigest()) == hashlib.md5(chunk.encode()).hexdigest() and told.get("n_chars", len(chunk)) == len(chunk)
 
 
 def plain_score(rows, alpha, k, depth=10):
