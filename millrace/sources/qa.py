@@ -337,8 +337,3 @@ class QaAdapter:
 
 register_adapter("stackoverflow", QaAdapter)
 register_adapter("sosum", QaAdapter)
-
-
-def with_position(df: DataFrame, order: str) -> DataFrame:
-    """Positions from 1 in the order of a key, for tables small enough to be numbered by one window."""
-    return df.withColumn("_pos", F.row_number().over(Window.orderBy(order)))

@@ -71,3 +71,20 @@ def test_windows_of_a_stream(spark, tmp_path, sf_dir):
     query = windowed_latency(stream, window="1 day").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").count() == windowed_latency(events, window="1 day").count()
+
+
+def test_a_cluster_must_name_the_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from millrace import session
+
+    settings = {}
+    conf = SimpleNamespace(get=settings.get, set=settings.__setitem__)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        session.shared_folder(cluster)
+    settings["spark.checkpoint.dir"] = "hdfs://there/"
+    assert session.shared_folder(cluster) == "hdfs://there"
+    settings.clear()
+    alone = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))
+    assert session.shared_folder(alone) == session.shared_folder(alone) == settings["spark.checkpoint.dir"]
