@@ -401,7 +401,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
     """One row per page: id, the ``carry`` columns, text, n_chars (code points).
 
     Works page by page where the pages lie; nothing is shuffled, and a page is
-    never cut.
+    never cut.  A null page has an empty text, rows that repeat are each
+    returned, an empty table gives no rows, and columns that are neither the id,
+    the page nor carried are not read, whatever their names.
     """
     names = (id_col, *carry)
 
