@@ -202,6 +202,94 @@ judged AS (SELECT page_id, p.host, path, CASE {_RULES_SQL} END AS fits, coalesce
 SELECT page_id, host, path, split_part(fits, ':', 1) AS rule, coalesce(split_part(fits, ':', 2), CASE WHEN reputation >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, reputation FROM judged
 """
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.merkle import folded, hexed, leaf, manifest
+
+    docs = table(spark, sf_dir, "documents")
+    # as a decimal, so that the largest number of all has a next one
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(_remainder(7) == 0, leaf(*values[:3], more, values[4]))
+    proofs = manifest(docs.select("doc_id", "lang", leaf(*values).alias("leaf"), tampered.alias("tampered")), "lang", "doc_id", "leaf", ("tampered",))
+    found = folded(proofs.withColumn("held", F.coalesce("tampered", "leaf")), "held")
+    return found.select(
+        "doc_id",
+        *[hexed(c).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(hexed("siblings"), 256).alias("proof_sha256"),
+        hexed("folded_root").alias("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE CAST(strlen(CAST({value} AS varchar)) AS varchar) || ':' || CAST({value} AS varchar) END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: crc32 of a text of ASCII characters, bit by bit
+_CRC32_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS varchar), ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf_sql("n_chars")} AS leaf,
+    CASE WHEN {_CRC32_SQL} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM d),
+t AS (SELECT grp, 0 AS level, i, n, leaf AS h FROM l
+      UNION ALL SELECT grp, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY grp, level, i // 2, n),
+s AS (SELECT grp, level AS height, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, subroot AS h FROM s
+      UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+nodes AS (SELECT grp, level, i, h FROM t WHERE n > 1 UNION ALL SELECT '#', level, i, h FROM u WHERE n > 1),
+tops AS (SELECT grp, height, i AS place, subroot, (SELECT h FROM u WHERE n = 1) AS root, height + (SELECT max(level) FROM u) AS top FROM s),
+f AS (SELECT doc_id, leaf, l.grp, 0 AS level, CASE WHEN height = 0 THEN place ELSE l.i END AS spot, height, place, top, subroot, root, coalesce(tampered, leaf) AS held, '' AS proof
+      FROM l JOIN tops USING (grp)
+      UNION ALL
+      SELECT doc_id, leaf, f.grp, f.level + 1, CASE WHEN f.level + 1 = height THEN place ELSE spot // 2 END, height, place, top, subroot, root,
+             CASE WHEN h IS NULL THEN sha256(held) WHEN spot % 2 = 1 THEN sha256(h || held) ELSE sha256(held || h) END, proof || coalesce(h, '')
+      FROM f LEFT JOIN nodes ON nodes.grp = CASE WHEN f.level < height THEN f.grp ELSE '#' END
+           AND nodes.level = CASE WHEN f.level < height THEN f.level ELSE f.level - height END AND nodes.i = xor(spot, 1)
+      WHERE f.level < top)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, held AS folded_root, held = root AS verified FROM f WHERE level = top
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.whitening import COMPONENTS, whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings"), components=COMPONENTS)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "c")
+    return rows.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error"
+    )
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffix_dedup import suffix_dedup
+
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+     b AS (SELECT k, len(x) // 2 AS n, x FROM d),
+     p AS (SELECT k, unnest(range(1, n - 398)) AS p, x FROM b WHERE n >= 400),
+     h AS (SELECT k, p, md5(substr(x, 2 * p - 1, 800)) AS h FROM p),
+     again AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+     runs AS (SELECT k, p, p + 400 AS q, CASE WHEN p <= lag(p) OVER (PARTITION BY k ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM again),
+     spans AS (SELECT k, min(p) AS p, max(q) AS q, r FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY p) AS r FROM runs) GROUP BY k, r),
+     lost AS (SELECT k, sum(q - p) AS n_removed, count(*) AS n_spans FROM spans GROUP BY k),
+     edges AS (SELECT k, x, coalesce(lag(q) OVER w, 1) AS a, p AS b FROM spans JOIN d USING (k) WINDOW w AS (PARTITION BY k ORDER BY p)
+               UNION ALL SELECT k, x, max(q), max(len(x)) // 2 + 1 FROM spans JOIN d USING (k) GROUP BY k, x),
+     kept AS (SELECT k, string_agg(substr(x, 2 * a - 1, 2 * (b - a)), '' ORDER BY a) AS x FROM edges GROUP BY k)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d JOIN b USING (k) LEFT JOIN lost USING (k) LEFT JOIN kept USING (k)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -213,6 +301,9 @@ QUERIES: dict[str, Query] = {
     "op8_html_extract": op8_html_extract,
     "op9_rlz": op9_rlz,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -220,4 +311,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
     "op9_rlz": OP9_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_merkle": OP11_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
