@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import discard, materialize
-from millrace.llm.ranking import rank_table
+from millrace.llm.ranking import rank_table, ranked
 from millrace.llm.rlz import _arrays
 from millrace.llm.words import mix, pieces
 
@@ -144,45 +144,70 @@ def _scan(length: int, k: int):
     return run
 
 
-def _lists(batch: pa.RecordBatch, i: int, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(offsets, fields as flat arrays) of a column of arrays of structs without nulls in the arrays."""
-    column = batch.column(i)
-    cuts = column.offsets.to_numpy()
-    return cuts, {n: column.values.field(n).to_numpy(zero_copy_only=False) for n in names}
+def _lists(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(offsets, values as flat arrays) of columns of arrays that have the same lengths."""
+    columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+    return columns[names[0]].offsets.to_numpy(), {n: c.values.to_numpy(zero_copy_only=False) for n, c in columns.items()}
 
 
-def _pairs(span: int):
-    """key, samples (no, s, gap, need, rank, done) -> pairs of ranks for those that aren't done: of ``span`` samples and the following ones."""
+def _by_key(rows: DataFrame, order: str, make, schema: str) -> DataFrame:
+    """``make`` of the rows of whole texts at a time, as arrays by column, in the order of key and ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        arrays = lambda t: {n: t.column(n).to_numpy() for n in t.column_names}
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts, f = _lists(batch, 1, ["no", "s", "gap", "need", "rank", "done"])
-            f = {n: v[int(cuts[0]) : int(cuts[-1])] for n, v in f.items()}
-            # a number that ascends over all texts of the batch; gaps between texts are larger than any offset
-            name = np.repeat(np.arange(len(keys), dtype=np.int64), np.diff(cuts)) * (1 << 33) + f["no"]
-            order = np.argsort(name)
-            name, f = name[order], {n: v[order] for n, v in f.items()}
-            owner = name >> 33
-            # both halves have ranks of ``span`` samples; they overlap where that is just enough
-            last = f["need"] <= 2 * span
-            other = name + np.where(last, np.maximum(f["need"] - span, 0), span)
-            j = np.minimum(np.searchsorted(name, other), max(0, len(name) - 1))
-            go = ~f["done"].astype(bool) & (name[j] == other) if len(name) else np.zeros(0, bool)
-            i, j = np.flatnonzero(go), j[go]
-            columns = {
-                "key": keys[owner[i]],
-                **{n: f[n][i] for n in ("no", "s", "gap", "need")},
-                "a": f["rank"][i],
-                "b": f["rank"][j],
-                "dist": (f["s"][j] - f["s"][i]).astype(np.int32),
-                # how many samples the string has, so that a rank is of one length
-                "size": np.where(last, f["need"], 2 * span)[i].astype(np.int32),
-                "done": last[i],
-            }
-            yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in columns.items()})
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            keys = table.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))  # what follows may go on in the next batch
+            if whole:
+                yield make(arrays(table.slice(0, whole)))
+            held = table.slice(whole)
+        if held is not None:
+            yield make(arrays(held))
 
-    return run
+    return rows.repartition("key").sortWithinPartitions("key", order).mapInArrow(run, schema)
+
+
+def _texts(key: np.ndarray) -> np.ndarray:
+    """Where each text's rows begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+
+def _apart(key: np.ndarray) -> np.ndarray:
+    """For each row a number by which its text lies beyond the one before: further than any place in a text."""
+    return np.repeat(np.arange(len(_texts(key)) - 1, dtype=np.int64) << 33, np.diff(_texts(key)))
+
+
+def _pairs(span: int):
+    """Samples (key, no, s, gap, need, rank, done) -> pairs of ranks for those that aren't done: of ``span`` samples and the following ones."""
+
+    def make(f: dict[str, np.ndarray]) -> pa.RecordBatch:
+        cuts = _texts(f["key"])
+        name = _apart(f["key"]) + f["no"]
+        done = f["done"].astype(bool)
+        # samples near a text's end serve the others only
+        live = np.add.reduceat(~done & (f["need"] < _NEVER), cuts[:-1]) > 0
+        # both halves have ranks of ``span`` samples; they overlap where that is just enough
+        last = f["need"] <= 2 * span
+        other = name + np.where(last, np.maximum(f["need"] - span, 0), span)
+        j = np.minimum(np.searchsorted(name, other), len(name) - 1)
+        i = np.flatnonzero(~done & (name[j] == other) & np.repeat(live, np.diff(cuts)))
+        j = j[i]
+        columns = {n: f[n][i] for n in ("key", "no", "s", "gap", "need")} | {
+            "a": f["rank"][i],
+            "b": f["rank"][j],
+            "dist": (f["s"][j] - f["s"][i]).astype(np.int32),
+            # how many samples the string has, so that a rank is of one length
+            "size": np.where(last, f["need"], 2 * span)[i].astype(np.int32),
+            "done": last[i],
+        }
+        return pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in columns.items()})
+
+    return make
 
 
 _PAIR = "key bigint, no int, s int, gap smallint, need smallint, a bigint, b bigint, dist int, size int, done boolean"
@@ -207,46 +232,73 @@ def _outside(starts: np.ndarray, ends: np.ndarray, cover_starts: np.ndarray, cov
 
 
 def _asked(length: int, k: int):
-    """key, samples (s, gap, rank) and strings (s, gap, own) -> (key, open, rank, s, gap): samples around strings of no class, and around the member that stands for a class, with its strings."""
+    """Samples (key, s, gap, rank) and strings (key, s, gap, own) -> (key, open, rank, at, s, gap): samples around strings of no class, and around the member that stands for a class, with its strings."""
     w = length - k + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts, f = _lists(batch, 1, ["s", "gap", "rank", "own", "sample"])
-            out: list[tuple[np.ndarray, ...]] = []
-            for key, a, b in zip(batch.column(0).to_numpy(), cuts[:-1], cuts[1:]):
-                one = {n: v[a:b] for n, v in f.items()}
-                sample, own = one["sample"].astype(bool), one["own"].astype(bool)
-                s, rank, back = one["s"][sample].astype(np.int64), one["rank"][sample], np.minimum(one["gap"][sample], 0)
-                order = np.argsort(s)
-                s, rank, back = s[order], rank[order], back[order]
-                at, gap = one["s"][~sample].astype(np.int64), one["gap"][~sample].astype(np.int64)
-                open_ = _outside(np.maximum(s - w + 1, 0), s + back + 1, *_merged(at, at + gap))
-                n = int(open_.sum())
-                out.append((np.full(n, key), np.ones(n, bool), rank[open_], np.zeros(n, np.int32), np.zeros(n, np.int16)))
-                at, gap = at[own[~sample]], gap[own[~sample]]
-                lo = np.searchsorted(s, at)
-                many = np.searchsorted(s, at + gap + w - 1) - lo
-                n = int(many.sum())
-                around = np.arange(n) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-                out.append((np.full(n, key), np.zeros(n, bool), rank[around], np.repeat(at, many).astype(np.int32), np.repeat(gap, many).astype(np.int16)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "open", "rank", "s", "gap"])
-
-    return run
+    def make(f: dict[str, np.ndarray]) -> pa.RecordBatch:
+        cuts, out = _texts(f["key"]), []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            one = {n: v[a:b] for n, v in f.items()}
+            key, sample, own = one["key"][0], one["sample"].astype(bool), one["own"].astype(bool)
+            s, rank, back = one["s"][sample].astype(np.int64), one["rank"][sample], np.minimum(one["gap"][sample], 0)
+            at, gap = one["s"][~sample].astype(np.int64), one["gap"][~sample].astype(np.int64)
+            open_ = _outside(np.maximum(s - w + 1, 0), s + back + 1, *_merged(at, at + gap))
+            n = int(open_.sum())
+            out.append((np.full(n, key), np.ones(n, bool), rank[open_], s[open_], np.zeros(n, np.int64), np.zeros(n, np.int64)))
+            at, gap = at[own[~sample]], gap[own[~sample]]
+            lo = np.searchsorted(s, at)
+            many = np.searchsorted(s, at + gap + w - 1) - lo
+            n = int(many.sum())
+            around = np.arange(n) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+            out.append((np.full(n, key), np.zeros(n, bool), rank[around], s[around], np.repeat(at, many), np.repeat(gap, many)))
+        kinds = (np.int64, bool, np.int64, np.int32, np.int32, np.int16)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(zip(*out), kinds)], names=["key", "open", "rank", "at", "s", "gap"])
+
+    return make
+
+
+def _listed(names: list[str], kinds: list):
+    """Rows of a text -> one row with an array for each column."""
+
+    def make(f: dict[str, np.ndarray]) -> pa.RecordBatch:
+        cuts = _texts(f["key"])
+        lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(f[n].astype(kind))) for n, kind in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays([pa.array(f["key"][cuts[:-1]]), *lists], names=["key", *names])
+
+    return make
+
+
+def _united(f: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Spans (key, s, e) by key and s -> (key, s, e): arrays of spans that cover the same, apart from each other."""
+    cuts, apart = _texts(f["key"]), _apart(f["key"])
+    starts, ends = _merged(f["s"] + apart, f["e"] + apart)
+    offsets = np.searchsorted(starts, np.append(apart[cuts[:-1]], np.int64(len(cuts) - 1) << 33))
+    lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((v & ((1 << 33) - 1)).astype(np.int32))) for v in (starts, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(f["key"][cuts[:-1]]), *lists], names=["key", "s", "e"])
+
+
+def _marked(spans: tuple[np.ndarray, np.ndarray], a: int, b: int) -> np.ndarray:
+    """Which positions of [a, b) the spans (in order, apart) hold."""
+    steps = np.zeros(b - a + 1, np.int8)
+    starts, ends = (np.clip(v - a, 0, b - a) for v in spans)
+    some = ends > starts
+    np.add.at(steps, starts[some], 1)
+    np.add.at(steps, ends[some], -1)
+    return np.cumsum(steps[:-1]) > 0
 
 
 def _strings(length: int, k: int):
-    """key, text, (s, gap, kind) -> (key, at, two digests) of the strings of ``length`` bytes that are to be ranked themselves.
+    """key, text, arrays s, gap, kind -> (key, at, two digests) of the strings of ``length`` bytes that are to be ranked themselves.
 
     Kind 0 is a repeated sample, 1 a position all of whose strings up to the
-    next sample are repeats, 2 one whose strings are asked for.
+    next sample are repeats, 2 one whose strings are asked for if they hold a
+    sample of kind 3.
     """
     w = length - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts, f = _lists(batch, 2, ["s", "gap", "kind"])
+            cuts, f = _lists(batch, ["s", "gap", "kind"])
             for at, texts in pieces(batch.column(1), most=256):
                 for d, t in enumerate(texts, at):
                     one = {n: v[cuts[d] : cuts[d + 1]] for n, v in f.items()}
@@ -256,25 +308,17 @@ def _strings(length: int, k: int):
                     known = _merged(s[kind == 1], s[kind == 1] + gap[kind == 1])
                     asked = _merged(s[kind == 2], np.minimum(s[kind == 2] + gap[kind == 2], n - length + 1))
                     text = np.frombuffer(t, np.uint8)
-                    samples_at = np.sort(s[kind == 0])
+                    repeated, shared = np.sort(s[kind == 0]), np.sort(s[kind == 3])
                     for a in range(0, n - length + 1, _SLICE):
                         b = min(a + _SLICE, n - length + 1)
-                        wanted = np.zeros(b - a, bool)
-                        for spans, value in ((near, True), (known, False), (asked, True)):
-                            for x, y in zip(*(np.clip(v - a, 0, b - a).tolist() for v in spans)):
-                                wanted[x:y] = value
-                        if not wanted.any():
+                        marks = [_marked(spans, a, b) for spans in (near, known, asked)]
+                        if not (marks[0] & ~marks[1] | marks[2]).any():
                             continue
                         data = text[a : b + length - 1]
                         h, low = minima_of(data, length, k)
-                        # only strings whose least sample, the one that every copy has, is repeated
-                        lo, hi = np.searchsorted(samples_at, [a, a + len(h)])
-                        repeated = np.unique(h[samples_at[lo:hi] - a])
-                        if not len(repeated):
-                            continue
-                        p = np.flatnonzero(wanted)
-                        i = np.minimum(np.searchsorted(repeated, low[p]), len(repeated) - 1)
-                        p = p[repeated[i] == low[p]]
+                        # only strings whose least sample, the one that every copy has, is repeated, or shared with a string of no class
+                        some = [np.isin(low, h[v[(v >= a) & (v < a + len(h))] - a]) for v in (repeated, shared)]
+                        p = np.flatnonzero(marks[0] & ~marks[1] & some[0] | marks[2] & some[1])
                         for c in range(0, len(p), 1 << 16):
                             q = p[c : c + (1 << 16)]
                             first, second = (r(data, length, q).view(np.int64) for r in _ROLLING)
@@ -284,11 +328,11 @@ def _strings(length: int, k: int):
 
 
 def _cut(length: int):
-    """key, text, spans to remove -> key, n_removed, kept_sha256, starts and ends of the maximal ones."""
+    """key, text, arrays s and e of spans to remove -> key, n_removed, kept_sha256, starts and ends of the maximal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts, f = _lists(batch, 2, ["s", "e"])
+            cuts, f = _lists(batch, ["s", "e"])
             removed, shas, begins, finishes = [], [], [], []
             for at, texts in pieces(batch.column(1)):
                 for d, t in enumerate(texts, at):
@@ -307,19 +351,6 @@ def _cut(length: int):
     return run
 
 
-def _runs_of(length: int):
-    """key, positions in any order -> (key, spans covered by strings of ``length`` bytes at these positions)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            cuts, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            spans = [_merged(v, v + length) for v in (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _arrays([s for s, _ in spans], np.int32), _arrays([e for _, e in spans], np.int32)], names=["key", "s", "e"])
-
-    return run
-
-
 def ranks(scanned: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(samples that occur more than once (key, s, gap, rank), strings past the threshold that do (key, s, gap, own), the tables under both).
 
@@ -328,20 +359,31 @@ def ranks(scanned: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     rows = scanned.select("key", F.posexplode(F.arrays_zip("s", "gap", "need", "h1", "h2")).alias("no", "x")).select("key", "no", "x.*")
     told = rank_table(rows, ["h1", "h2"], ["key", "no"], "suffix-samples", drop_alone=True)
     own = (F.col("first") == F.col("place")).alias("own")
-    tables, span, base = [told], 1, 0
     state = told.select("key", "no", "s", "gap", "need", F.col("first").alias("rank"), (F.col("need") <= 1).alias("done"), own)
-    found = state.where("done")
-    while not state.where("NOT done").isEmpty():
+    tables, found, span, base, held = [told], [state.where("done")], 1, 0, None
+    live = f"NOT done AND need < {_NEVER}"
+    while not state.where(live).isEmpty():
         # strings past the threshold keep their last rank, which is of a longer string than is asked for
-        grouped = state.where("NOT done").unionByName(found).groupBy("key").agg(F.collect_list(F.struct("no", "s", "gap", "need", "rank", "done")).alias("samples"))
-        pairs = materialize(grouped.mapInArrow(_pairs(span), _PAIR), "suffix-pairs")
+        rest = state.where("done").drop("own") if held is None else state.where("done").drop("own").unionByName(held)
+        kept = materialize(rest.join(state.where(live).select("key").distinct(), "key", "left_semi"), "suffix-held")
+        pairs = materialize(_by_key(state.where("NOT done").drop("own").unionByName(kept), "no", _pairs(span), _PAIR), "suffix-pairs")
+        if held is not None:
+            discard(held)
+        held = kept
         tables.append(rank_table(pairs, ["a", "b", "dist", "size"], ["key", "no"], "suffix-ranks", drop_alone=True))
         discard(pairs)
         # ranks of a round are beyond all of the rounds before, so that none means two strings
         base, span = base + (1 << 48), 2 * span
         state = tables[-1].select("key", "no", "s", "gap", "need", (F.col("first") + F.lit(base)).alias("rank"), "done", own)
-        found = found.unionByName(state.where("done"))
-    return told.select("key", "s", "gap", F.col("first").alias("rank")), found.select("key", "s", "gap", "own"), tables
+        found.append(state.where("done"))
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    # one table, so that the plans to come stay small
+    whole = materialize(whole.select("key", "s", "gap", "own"), "suffix-whole")
+    first = told.select("key", "s", "gap", F.col("first").alias("rank"))
+    discard(*tables[1:], *([held] if held is not None else []))
+    return first, whole, [told, whole]
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
@@ -385,26 +427,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # samples around strings that are in no class, and the members of classes that share one with them
     nothing = F.lit(0).cast("bigint").alias("rank"), F.lit(False).alias("own")
     around = first.select("key", "s", "gap", "rank", nothing[1], F.lit(True).alias("sample")).unionByName(whole.select("key", "s", "gap", nothing[0], "own", F.lit(False).alias("sample")))
-    grouped = around.groupBy("key").agg(F.collect_list(F.struct("s", "gap", "rank", "own", "sample")).alias("samples"))
-    asked = materialize(grouped.mapInArrow(_asked(length, k), "key bigint, open boolean, rank bigint, s int, gap smallint"), "suffix-asked")
+    asked = materialize(_by_key(around, "s", _asked(length, k), "key bigint, open boolean, rank bigint, at int, s int, gap smallint"), "suffix-asked")
     open_ = materialize(asked.where("open").groupBy("rank").agg(F.count(F.lit(1)).alias("n")), "suffix-open")
-    members = materialize(asked.where("NOT open").join(open_, "rank").select("key", "s", "gap").distinct(), "suffix-members")
-    kind = lambda rows, n: rows.select("key", "s", "gap", F.lit(n).alias("kind"))
-    spans = kind(first, 0).unionByName(kind(whole, 1)).unionByName(kind(members, 2)).groupBy("key").agg(F.collect_list(F.struct("s", "gap", "kind")).alias("spans"))
+    members = materialize(asked.where("NOT open").join(open_, "rank").select("key", "at", "s", "gap"), "suffix-members")
+    kind = lambda rows, n: rows.select("key", "s", "gap", F.lit(n).cast("smallint").alias("kind"))
+    shared = members.select("key", F.col("at").alias("s"), F.lit(0).cast("smallint").alias("gap"))
+    spans = kind(first, 0).unionByName(kind(whole, 1)).unionByName(kind(members, 2)).unionByName(kind(shared, 3))
     some = asked.where("open").select("key").unionByName(members.select("key")).distinct()
-    spans = materialize(spans.join(some, "key", "left_semi"), "suffix-spans")
-    strings = texts.join(spans.hint("shuffle_merge"), "key").select("key", "text", "spans")
+    spans = _by_key(spans.join(some, "key", "left_semi"), "s", _listed(["s", "gap", "kind"], [np.int32, np.int16, np.int16]), "key bigint, s array<int>, gap array<smallint>, kind array<smallint>")
+    spans = materialize(spans, "suffix-spans")
+    strings = texts.join(spans.hint("shuffle_merge"), "key").select("key", "text", "s", "gap", "kind")
     strings = materialize(strings.mapInArrow(_strings(length, k), "key bigint, at int, h1 bigint, h2 bigint"), "suffix-strings")
     discard(asked, open_, members, spans)
-    again = rank_table(strings, ["h1", "h2"], ["key", "at"], "suffix-repeats", drop_alone=True)
+    again, sorted_ = ranked(strings, ["h1", "h2"], ["key", "at"], "suffix-repeats", drop_alone=True)
     discard(strings)
-    single = again.groupBy("key").agg(F.collect_list("at").alias("at")).mapInArrow(_runs_of(length), "key bigint, s array<int>, e array<int>")
-    single = single.select("key", F.explode(F.arrays_zip("s", "e")).alias("x")).select("key", "x.s", "x.e")
     # a string past the threshold holds all strings that begin before the next sample
-    spans = whole.select("key", "s", (F.col("s") + F.col("gap") + F.lit(length - 1)).alias("e")).unionByName(single)
-    spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix-spans")
-    discard(again, *tables)
-    changed = texts.join(spans.hint("shuffle_merge"), "key").select("key", "text", "spans")
+    spans = whole.select("key", "s", (F.col("s") + F.col("gap") + F.lit(length - 1)).alias("e")).unionByName(again.select("key", F.col("at").alias("s"), (F.col("at") + F.lit(length)).alias("e")))
+    spans = materialize(_by_key(spans, "s", _united, "key bigint, s array<int>, e array<int>"), "suffix-spans")
+    discard(sorted_, *tables)
+    changed = texts.join(spans.hint("shuffle_merge"), "key").select("key", "text", "s", "e")
     changed = materialize(changed.mapInArrow(_cut(length), "key bigint, n_removed bigint, kept_sha256 string, starts array<int>, ends array<int>"), "suffix-changed")
     discard(spans)
     none = F.array().cast("array<struct<start:int,end:int>>")
