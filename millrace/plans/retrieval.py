@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import fusion, ranking, search
+from millrace.operators.lexical_index import DOT, LexicalIndex
+from millrace.operators.vector_index import VectorIndex
 from millrace.session import ship
 
 
@@ -82,6 +84,27 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_top_k(read(spark, sf_dir, "documents"), text_queries(spark, sf_dir))
 
 
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``bm25_topk`` by the stored index."""
+    return LexicalIndex(spark).add(read(spark, sf_dir, "documents")).search(text_queries(spark, sf_dir))
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``sparse_dot_topk`` by the stored index."""
+    return LexicalIndex(spark).add(read(spark, sf_dir, "documents")).search(text_queries(spark, sf_dir), weighting=DOT)
+
+
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows in three fifths of the cells: the vectors have hardly any clusters, so fewer cells find less than 0.9 of them."""
+    index = VectorIndex.build(read(spark, sf_dir, "embeddings"))
+    return index.search(vector_queries(spark, sf_dir), probes=max(1, -(-len(index.centroids) * 3 // 5)))
+
+
+def ivf_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``dense_topk`` by the clustered index, all cells that may hold a match."""
+    return VectorIndex.build(read(spark, sf_dir, "embeddings")).search(vector_queries(spark, sf_dir), probes=None)
+
+
 def bm25_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = sparse_dot_topk(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return fusion.bm25_rerank(cand, text_queries(spark, sf_dir)).select("query_id", "doc_id", "score", "original_score", "rank")
@@ -254,3 +277,10 @@ QUERIES = {
         SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY k)) AS context_md5 FROM r JOIN documents USING (doc_id) GROUP BY query_id""",
     ),
 }
+# the indexes give what the searches without them give
+QUERIES |= {
+    "bm25_index": (bm25_index, QUERIES["bm25_topk"][1]),
+    "sparse_index": (sparse_index, QUERIES["sparse_dot_topk"][1]),
+    "ivf_exact": (ivf_exact, QUERIES["dense_topk"][1]),
+    "ivf_topk": (ivf_topk, None),
+}
