@@ -15,6 +15,7 @@ from millrace.plans.evaluation import QUERIES as EVALUATED
 from millrace.plans.retrieval import TOKENS, dense, read, second, text_queries
 from millrace.session import new_folder, written
 from millrace.sources import qa
+from millrace.sources.config import load_adapter
 
 
 def _literal(lines: Column) -> Column:
@@ -23,8 +24,8 @@ def _literal(lines: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The two tables as CSV files, read again."""
+def folder_of(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the two tables as CSV files."""
     item, lines = F.col("item_id"), F.split("text", "\n")
     asked = read(spark, sf_dir, "benchmark").select(
         item.alias("Question Id"),
@@ -37,12 +38,16 @@ def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     given = read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("Answer Id"), _literal(lines).alias("Answer Body"), F.when(F.size(lines) > 1, _literal(F.slice(lines, 1, 3))).alias("Summary")
     )
-    folder, out = new_folder(spark, "posts"), []
+    folder = new_folder(spark, "posts")
     for name, frame in (("question.csv", asked), ("answer.csv", given)):
         frame.write.csv(f"{folder}/{name}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    for path in qa.post_files(spark, folder):
-        out.append(qa.read_csv(spark, path))
-    return out[0], out[1]
+    return folder
+
+
+def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the two files."""
+    asked, given = qa.post_files(spark, folder_of(spark, sf_dir))
+    return qa.read_csv(spark, asked), qa.read_csv(spark, given)
 
 
 def qa_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +60,18 @@ def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read by the adapter, from the files' folder."""
     asked, given = files(spark, sf_dir)
     docs = qa.answer_documents(qa.questions(asked), qa.answers(given))
     return docs.select("external_id", F.md5("text").alias("text_md5"), "question_title", "has_summary", F.array_join("tags", "|").alias("tags"), "question_type")
 
 
+def adapter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of ``qa_documents`` by the adapter's contract, from the files' folder."""
+    adapter = load_adapter("stackoverflow", folder=folder_of(spark, sf_dir))
+    docs = adapter.to_documents(adapter.read_rows(spark), "test")
+    return docs.select("external_id", F.md5("text").alias("text_md5"), "question_title", "has_summary", F.array_join("tags", "|").alias("tags"), "question_type", "source", "dataset_version", "split")
+
+
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.query_set(*files(spark, sf_dir)).select("query_id", "query_type", F.md5("query").alias("query_md5"), F.array_join("expected", "|").alias("expected"))
 
@@ -364,3 +375,4 @@ QUERIES = {
         CAST(CASE WHEN bad THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS int) AS attempts, false AS has_context FROM j""",
     ),
 }
+QUERIES["adapter_documents"] = (adapter_documents, f"SELECT *, 'stackoverflow_sosum' AS source, '1.0.0' AS dataset_version, 'test' AS split FROM ({QUERIES['qa_documents'][1]})")

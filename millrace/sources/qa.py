@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources import split_csv
 from millrace.sources.config import register_adapter
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A quoted multi-line CSV with header; malformed rows are null, not errors.
+    """A quoted multi-line CSV with header, a file by as many tasks as it has ranges; malformed rows are null, not errors.
 
-    ``_row`` orders the rows as they are in the files, files by name: a file
-    with quoted line breaks is read by one task, front to back.
+    ``_row`` orders the rows as they are in the files, files by name.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    return raw.withColumn("_row", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")))
+    return split_csv.read(spark, path)
 
 
 def post_files(spark: SparkSession, folder: str) -> tuple[str, str]:
