@@ -169,7 +169,9 @@ def _by_key(rows: DataFrame, order: str, make, schema: str) -> DataFrame:
         if held is not None:
             yield make(arrays(held))
 
-    return rows.repartition("key").sortWithinPartitions("key", order).mapInArrow(run, schema)
+    # dealt out by a hash that no join below has used: an exchange that looks like one of a join is left out, and
+    # the partitions of a union of joins are then coalesced apart from each other, which tears texts asunder
+    return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key", order).mapInArrow(run, schema)
 
 
 def _texts(key: np.ndarray) -> np.ndarray:

@@ -57,7 +57,15 @@ def test_any_overlap_of_texts(spark, length, k):
 def test_copies_by_the_hundred(spark):
     text = letters(900, 1)
     texts = [text[: 900 - i % 7] + letters(30, i) for i in range(300)] + [text] * 150
-    assert got(spark, texts) == plain(texts, 400)
+    wanted = plain(texts, 400)
+    assert got(spark, texts) == wanted
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        assert got(spark, texts) == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def test_samples_do_not_depend_on_slices(monkeypatch):
