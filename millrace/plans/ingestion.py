@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.llm_json import extract_json, verdict
-from millrace.operators import agent, documents, store
+from millrace.operators import agent, documents, merge_store, store
 from millrace.plans.retrieval import read
+from millrace.session import new_folder
 
 
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +108,17 @@ def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), order=F.col("doc_id"))
 
 
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three upserts into one collection: all documents, those in English revised, those labelled toxic revised again."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
+    english = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source", (F.col("n_chars") + 1).alias("n_chars"))
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("toxic").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    held = merge_store.MergeStore(spark, new_folder(spark, "merge-store"), buckets=8)
+    for revision, rows in enumerate((docs, english, toxic), 1):
+        held.write("documents", rows.withColumn("revision", F.lit(revision)))
+    return held.read("documents").select("id", "source", "n_chars", "revision")
+
+
 def verify_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return store.verify_upload(docs, docs.where("length(text) >= 200"), "doc_id")
@@ -245,6 +257,12 @@ QUERIES = {
         """WITH n AS (SELECT md5(text) AS id, max(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
         SELECT md5(text) AS id, doc_id FROM documents WHERE doc_id % 2 = 1 AND md5(text) NOT IN (SELECT id FROM n) UNION ALL SELECT id, doc_id FROM n""",
     ),
+    "store_merge": (
+        store_merge,
+        """WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
+        SELECT doc_id AS id, 'toxic' AS source, 0 AS n_chars, 3 AS revision FROM t UNION ALL
+        SELECT doc_id, source, CASE WHEN lang = 'en' THEN n_chars + 1 ELSE n_chars END, CASE WHEN lang = 'en' THEN 2 ELSE 1 END FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t)""",
+    ),
     "verify_upload": (
         verify_upload,
         "SELECT count(*) AS expected, count(*) FILTER (length(text) >= 200) AS found, count(*) FILTER (length(text) < 200) AS missing, count(*) FILTER (length(text) >= 200) >= 0.9 * count(*) AS passed FROM documents",
