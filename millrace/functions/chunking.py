@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Sequence
 Chunker = Callable[[str], list[str]]
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+# What a definition, a fenced block, a table row and a rule row look like, and where a body may be cut.
 _DEFINITION = re.compile(r"(?:async )?(?:def|class|function|public|private|protected) ")
 _FENCE = re.compile(r"```(\w*)\n(.*?)\n```", re.S)
 _TABLE_ROW = re.compile(r"\|.*\|")

@@ -158,13 +158,16 @@ def interpretation(reply: Column) -> Column:
 SCORES = ("faithfulness", "relevance", "helpfulness")
 
 
-def judge(rows: DataFrame, model: Callable[[str, str, str | None, int], str], retries: int = 3, scores: Sequence[str] = SCORES, least: int = 1, most: int = 5) -> DataFrame:
+def judge(rows: DataFrame, model: Callable[[str, str, str | None, int], str], retries: int = 3, scores: Sequence[str] = SCORES, least: int = 1, most: int = 5, batch: int | None = None) -> DataFrame:
     """question, the scores, justification, answer, has_context, attempts of rows (question, answer, context).
 
     ``model`` (question, answer, context, attempt) replies with JSON.  A reply
     that isn't, that lacks a score or has one out of range is asked for again;
     after ``retries`` failures the scores are 0 and the justification tells the
-    last failure.
+    last failure.  With ``batch``, the model gets lists of up to so many
+    questions, answers and contexts and replies with a list; only rows without
+    a good reply are asked for again, together.  A call that fails, or replies
+    with another number, is a failure of all its rows.
     """
 
     def read(reply: str) -> dict:
@@ -174,17 +177,33 @@ def judge(rows: DataFrame, model: Callable[[str, str, str | None, int], str], re
                 raise ValueError(f"{name} is {found.get(name)!r}, not {least} to {most}")
         return found
 
+    def ask(asked: list[tuple], rows: list[int], attempt: int) -> list[tuple[int, str | Exception]]:
+        try:
+            if batch is None:
+                return [(i, model(asked[i][0] or "", asked[i][1] or "", asked[i][2], attempt)) for i in rows]
+            replies = model([asked[i][0] or "" for i in rows], [asked[i][1] or "" for i in rows], [asked[i][2] for i in rows], attempt)
+            if len(replies) != len(rows):
+                raise ValueError(f"{len(replies)} replies to {len(rows)} rows")
+            return list(zip(rows, replies))
+        except Exception as failed:
+            return [(i, failed) for i in rows]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for question, answer, context in zip(pdf["question"], pdf["answer"], pdf["context"]):
-                for attempt in range(1, retries + 1):
-                    try:
-                        found, wrong = read(model(question or "", answer or "", context, attempt)), ""
-                        break
-                    except Exception as failed:  # a model may fail in any way; the last failure is told
-                        found, wrong = {}, f"failed {retries} times: {str(failed)[:100]}"
-                out.append([question, *(int(found.get(s, 0)) for s in scores), str(found.get("justification", wrong)), answer, bool(context), attempt])
+            asked = list(zip(pdf["question"], pdf["answer"], pdf["context"]))
+            told: list[tuple[dict, str, int]] = [({}, "", 0)] * len(asked)
+            open_ = list(range(len(asked)))
+            for attempt in range(1, retries + 1):
+                for replies in (ask(asked, open_[i : i + (batch or 1)], attempt) for i in range(0, len(open_), batch or 1)):
+                    for i, reply in replies:
+                        try:
+                            if isinstance(reply, Exception):
+                                raise reply
+                            told[i] = (read(reply), "", attempt)
+                        except Exception as failed:  # a model may fail in any way; the last failure is told
+                            told[i] = ({}, f"failed {retries} times: {str(failed)[:100]}", attempt)
+                open_ = [i for i in open_ if told[i][1]]
+            out = [[q, *(int(found.get(s, 0)) for s in scores), str(found.get("justification", wrong)), a, bool(c), attempt] for (q, a, c), (found, wrong, attempt) in zip(asked, told)]
             yield pd.DataFrame(out, columns=["question", *scores, "justification", "answer", "has_context", "attempts"])
 
     return rows.select("question", "answer", "context").mapInPandas(run, "question string, " + ", ".join(f"{s} int" for s in scores) + ", justification string, answer string, has_context boolean, attempts int")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import student
+from millrace.session import written
 
 KS = (1, 5, 10)
 
@@ -116,17 +117,26 @@ def eval_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Se
 
 
 def summary(metrics: DataFrame, by: Sequence[str] = ("metric", "k"), value: str = "value") -> DataFrame:
-    """Mean, population deviation, least, greatest, median and count of the known values, total of all rows."""
+    """Mean, population deviation, least, greatest, median and count of the known values, total of all rows.
+
+    The median is exact and comes from counts by value (:func:`exact_percentiles`),
+    so that no group's values meet in one task.  The rows are written once when
+    this is called.
+    """
     v = F.when(~F.isnan(value), F.col(value))
-    return metrics.groupBy(*by).agg(
-        F.round(F.avg(v), 6).alias("mean"),
-        F.round(F.stddev_pop(v), 6).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.round(F.percentile(v, 0.5), 6).alias("median"),
-        F.count(v).alias("count"),
+    rows = written(metrics.select(*by, v.alias("__value")), "summary")
+    stats = rows.groupBy(*by).agg(
+        F.round(F.avg("__value"), 6).alias("mean"),
+        F.round(F.stddev_pop("__value"), 6).alias("std"),
+        F.min("__value").alias("min"),
+        F.max("__value").alias("max"),
+        F.count("__value").alias("count"),
         F.count(F.lit(1)).alias("total"),
     )
+    names = [f"__by{i}" for i in range(len(by))]
+    medians = exact_percentiles(rows, by, "__value", [0.5]).toDF(*names, "median")
+    same = [stats[c].eqNullSafe(medians[n]) for c, n in zip(by, names)]
+    return stats.join(medians, same, "left").select(*(stats[c] for c in by), "mean", "std", "min", "max", F.round("median", 6).alias("median"), "count", "total")
 
 
 def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], buckets: int = 1024) -> DataFrame:

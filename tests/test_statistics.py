@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import chunking
-from millrace.operators import evaluation, experiments, reports
+from millrace.operators import agent, evaluation, experiments, reports
 from millrace.operators.documents import clean_documents
 from millrace.plans import registry
 from millrace.sources import config, qa
@@ -190,3 +190,28 @@ def test_query_set_up_to_a_number(spark, folder):
     got = [r.query_id for r in qa.query_set(*raw, most=100).collect()]
     asked = [q for q in got if not q.startswith("eval_a2a_")]
     assert len(asked) == 60 and {q.rsplit("_", 1)[1] for q in asked} == {str(i) for i in range(20)} and len(got) == 60 + 30
+
+
+def test_judge_asks_in_batches(spark):
+    """Ten rows in batches of four; every third fails once, one for good; and a call that replies too little fails as a whole."""
+    rows = spark.createDataFrame([(f"q{i}", "a", None) for i in range(10)], "question string, answer string, context string").coalesce(1)
+    good = '{"faithfulness": 3, "relevance": 4, "helpfulness": 5, "justification": "fine"}'
+
+    def model(questions, answers, contexts, attempt):
+        assert len(questions) <= 4 and len(questions) == len(answers) == len(contexts)
+        return ["no json" if q == "q7" or (int(q[1:]) % 3 == 0 and attempt == 1) else good for q in questions]
+
+    got = {r.question: r for r in agent.judge(rows, model, batch=4).collect()}
+    assert {q for q, r in got.items() if r.attempts == 2} == {"q0", "q3", "q6", "q9"} and got["q1"].attempts == 1 and got["q1"].justification == "fine"
+    assert got["q7"].attempts == 3 and got["q7"].faithfulness == 0 and got["q7"].justification.startswith("failed 3 times")
+    short = agent.judge(rows, lambda q, a, c, n: [good], batch=4).collect()
+    assert len(short) == 10 and all(r.faithfulness == 0 and "1 replies" in r.justification for r in short)
+
+
+def test_medians_of_a_hot_group(spark):
+    from millrace.operators.evaluation import summary
+
+    rows = [("m", 1, float(i % 7)) for i in range(700)] + [("n", None, 2.0), ("n", None, float("nan")), ("o", 1, None)]
+    got = {r.metric: r for r in summary(spark.createDataFrame(rows, "metric string, k int, value double")).collect()}
+    assert (got["m"].median, got["m"].total, got["m"]["count"]) == (3.0, 700, 700)
+    assert (got["n"].median, got["n"].total, got["n"]["count"]) == (2.0, 2, 1) and got["o"].median is None and got["o"].total == 1
