@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import discard, materialize
 
 
-def _runs(keys: Sequence[str], drop_alone: bool):
+def _runs(keys: Sequence[str], drop_alone: bool, forget: bool):
     """Sorted rows of one partition with their place in it, that of the first row of the same keys, and whether there is just one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,6 +37,11 @@ def _runs(keys: Sequence[str], drop_alone: bool):
             if drop_alone:
                 # the first and the last row of a partition may have an equal one in the next
                 keep &= ~alone | (places == 0) | (last & (np.arange(n) == n - 1))
+            if forget:  # the ends of a partition are compared with the next one's, no other row's keys are read again
+                ends = pa.array((places == 0) | (last & (np.arange(n) == n - 1)))
+                for k in keys:
+                    i = rows.schema.get_field_index(k)
+                    rows = rows.set_column(i, rows.schema.field(i), pc.if_else(ends, rows.column(k), pa.scalar(0, rows.schema.field(i).type)))
             out = rows.append_column("__part", pa.array(np.full(n, part, np.int32))).append_column("__at", pa.array(places))
             out = out.append_column("__begin", pa.array(begins)).append_column("__alone", pa.array(alone)).filter(pa.array(keep))
             return out.combine_chunks().to_batches(), int(begins[-1])
@@ -56,13 +61,15 @@ def _runs(keys: Sequence[str], drop_alone: bool):
     return run
 
 
-def ranked(df: DataFrame, keys: Sequence[str], ties: Sequence[str], label: str, drop_alone: bool = False) -> tuple[DataFrame, DataFrame]:
+def ranked(df: DataFrame, keys: Sequence[str], ties: Sequence[str], label: str, drop_alone: bool = False, forget: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with ``place``, ``first`` and ``alone``, the table under them).
 
     ``place`` is a row's number from 0 in the order of ``keys`` and ``ties``,
     ``first`` that of the first row with its keys, so that rows of equal keys
     have one ``first``; ``alone`` says that no other row has the keys.  With
-    ``drop_alone`` such rows are left out (and still counted).
+    ``drop_alone`` such rows are left out (and still counted).  With ``forget``
+    the result is without the keys, which must be whole numbers; digests take
+    most of such a table.
 
     Rows are dealt out by ranges of keys and ties together, so rows that share
     their keys fall into as many partitions as they need; a row for each
@@ -75,7 +82,7 @@ def ranked(df: DataFrame, keys: Sequence[str], ties: Sequence[str], label: str,
     spark = df.sparkSession
     added = [T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType()), T.StructField("__begin", T.LongType()), T.StructField("__alone", T.BooleanType())]
     ordered = df.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
-    rows = materialize(ordered.mapInArrow(_runs(keys, drop_alone), T.StructType([*df.schema.fields, *added])), label)
+    rows = materialize(ordered.mapInArrow(_runs(keys, drop_alone, forget), T.StructType([*df.schema.fields, *added])), label)
     key = F.struct(*keys)
     ends = rows.groupBy("__part").agg(
         (F.max("__at") + 1).alias("n"), F.min_by(key, "__at").alias("low"), F.max_by(key, "__at").alias("high"), F.max("__begin").alias("last")
@@ -94,7 +101,7 @@ def ranked(df: DataFrame, keys: Sequence[str], ties: Sequence[str], label: str,
     told = rows.join(F.broadcast(sizes), "__part")  # a row for each partition
     carried = (F.col("__begin") == 0) & F.col("carry").isNotNull()
     told = told.select(
-        *[rows[f.name] for f in df.schema.fields],
+        *[rows[f.name] for f in df.schema.fields if not (forget and f.name in keys)],
         (F.col("offset") + F.col("__at")).alias("place"),
         F.when(carried, F.col("carry")).otherwise(F.col("offset") + F.col("__begin")).alias("first"),
         (F.col("__alone") & ~carried & ~((F.col("__begin") == F.col("last")) & F.col("more"))).alias("alone"),
@@ -102,9 +109,9 @@ def ranked(df: DataFrame, keys: Sequence[str], ties: Sequence[str], label: str,
     return (told.where("NOT alone") if drop_alone else told), rows
 
 
-def rank_table(df: DataFrame, keys: Sequence[str], ties: Sequence[str], label: str, drop_alone: bool = False) -> DataFrame:
+def rank_table(df: DataFrame, keys: Sequence[str], ties: Sequence[str], label: str, drop_alone: bool = False, forget: bool = False) -> DataFrame:
     """:func:`ranked`, written; the table under it goes."""
-    told, rows = ranked(df, keys, ties, f"{label}-sorted", drop_alone)
+    told, rows = ranked(df, keys, ties, f"{label}-sorted", drop_alone, forget)
     out = materialize(told, label)
     discard(rows)
     return out

@@ -359,7 +359,7 @@ def ranks(scanned: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     ``own`` marks one member of each class of strings.
     """
     rows = scanned.select("key", F.posexplode(F.arrays_zip("s", "gap", "need", "h1", "h2")).alias("no", "x")).select("key", "no", "x.*")
-    told = rank_table(rows, ["h1", "h2"], ["key", "no"], "suffix-samples", drop_alone=True)
+    told = rank_table(rows, ["h1", "h2"], ["key", "no"], "suffix-samples", drop_alone=True, forget=True)
     own = (F.col("first") == F.col("place")).alias("own")
     state = told.select("key", "no", "s", "gap", "need", F.col("first").alias("rank"), (F.col("need") <= 1).alias("done"), own)
     tables, found, span, base, held = [told], [state.where("done")], 1, 0, None
@@ -372,7 +372,7 @@ def ranks(scanned: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         if held is not None:
             discard(held)
         held = kept
-        tables.append(rank_table(pairs, ["a", "b", "dist", "size"], ["key", "no"], "suffix-ranks", drop_alone=True))
+        tables.append(rank_table(pairs, ["a", "b", "dist", "size"], ["key", "no"], "suffix-ranks", drop_alone=True, forget=True))
         discard(pairs)
         # ranks of a round are beyond all of the rounds before, so that none means two strings
         base, span = base + (1 << 48), 2 * span
@@ -399,6 +399,17 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     return rows.select("key", "text"), rows.select("id", "key")
 
 
+def _of(texts: DataFrame, wanted: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """Texts with the columns of ``wanted`` (key, ...), a written table with a row for some of them.
+
+    Up to ``broadcast_keys`` keys (8 bytes each, counted first) go to every
+    executor, so that the other texts aren't shuffled.
+    """
+    if wanted.count() <= broadcast_keys:
+        texts = texts.join(F.broadcast(wanted.select("key")), "key", "left_semi")
+    return texts.join(wanted.hint("shuffle_merge"), "key")
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, kept_sha256, spans.
 
@@ -438,16 +449,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = asked.where("open").select("key").unionByName(members.select("key")).distinct()
     spans = _by_key(spans.join(some, "key", "left_semi"), "s", _listed(["s", "gap", "kind"], [np.int32, np.int16, np.int16]), "key bigint, s array<int>, gap array<smallint>, kind array<smallint>")
     spans = materialize(spans, "suffix-spans")
-    strings = texts.join(spans.hint("shuffle_merge"), "key").select("key", "text", "s", "gap", "kind")
+    strings = _of(texts, spans).select("key", "text", "s", "gap", "kind")
     strings = materialize(strings.mapInArrow(_strings(length, k), "key bigint, at int, h1 bigint, h2 bigint"), "suffix-strings")
     discard(asked, open_, members, spans)
-    again, sorted_ = ranked(strings, ["h1", "h2"], ["key", "at"], "suffix-repeats", drop_alone=True)
+    again, sorted_ = ranked(strings, ["h1", "h2"], ["key", "at"], "suffix-repeats", drop_alone=True, forget=True)
     discard(strings)
     # a string past the threshold holds all strings that begin before the next sample
     spans = whole.select("key", "s", (F.col("s") + F.col("gap") + F.lit(length - 1)).alias("e")).unionByName(again.select("key", F.col("at").alias("s"), (F.col("at") + F.lit(length)).alias("e")))
     spans = materialize(_by_key(spans, "s", _united, "key bigint, s array<int>, e array<int>"), "suffix-spans")
     discard(sorted_, *tables)
-    changed = texts.join(spans.hint("shuffle_merge"), "key").select("key", "text", "s", "e")
+    changed = _of(texts, spans).select("key", "text", "s", "e")
     changed = materialize(changed.mapInArrow(_cut(length), "key bigint, n_removed bigint, kept_sha256 string, starts array<int>, ends array<int>"), "suffix-changed")
     discard(spans)
     none = F.array().cast("array<struct<start:int,end:int>>")
