@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -143,7 +145,12 @@ class Model:
                 spared.append((start, last + 1))
             elif start not in best or best[start][0] < last + 1:
                 best[start] = (last + 1, weight)
-        return [(a, b, w) for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in spared)]
+        if not spared:
+            return [(a, b, w) for a, (b, w) in best.items()]
+        # of the spared spans that begin at a place or before it the farthest end tells whether one holds the hit
+        spared.sort()
+        begins, farthest = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        return [(a, b, w) for a, (b, w) in best.items() if not (i := bisect_right(begins, a)) or farthest[i - 1] < b]
 
     def features(self, text: str) -> list[float]:
         folded = fold(text)
@@ -222,7 +229,8 @@ def train(
     so that entries that are toxic by chance aren't taken at face value; the
     lexicon that is kept comes from both.  An id with several labels is
     toxic if one says so; null labels are left out.  Without labels of both
-    kinds the untrained model is returned.
+    kinds the untrained model is returned.  Other columns of ``docs`` are not
+    read, whatever their names.  A weight is at most 6, log-odds of 400 to 1.
     """
     labels = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
     scale = 1 << 30
@@ -232,7 +240,8 @@ def train(
     chosen = labels.where(place < int(scale * min(1.0, sample_rows / max(total, 1)))).select(
         F.col(id_col).alias("__id"), (F.col("toxic") > 0).alias("toxic"), (F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2)) == 0).alias("learns")
     )
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("toxic", "learns", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__of"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))  # other columns may have any name
+    rows = texts.join(F.broadcast(chosen), F.col("__of") == F.col("__id")).select("toxic", "learns", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import documents
 
 from millrace.llm import queries, toxicity
@@ -114,3 +117,36 @@ def test_query_against_brute_force(spark, sf_dir):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
         assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]))
+
+
+def test_many_exception_phrases_take_linear_time():
+    model = toxicity.Model({toxicity.fold("can"): 1.0, toxicity.fold("clown"): 2.0}, [0.0] * 5, ("trash can", "class clown of the class"))
+    text = "trash can " * 200_000 + "clown can class clown of the class "
+    began = time.process_time()
+    assert sorted(w for _, _, w in model.hits(toxicity.fold(text))) == [1.0, 2.0]
+    assert time.process_time() - began < 20
+
+
+def test_exceptions_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        phrases = tuple(" ".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(3))
+        model = toxicity.Model({" a ": 1.0, " b c ": 2.0, " c": 3.0}, [0.0] * 5, phrases)
+        folded = toxicity.fold(" ".join(rng.choices(["a", "b", "c", "ca"], k=30)))
+        best = {}
+        for entry in model.weights:
+            for at in range(len(folded)):
+                if folded.startswith(entry, at) and at + len(entry) > best.get(at, (0,))[0]:
+                    best[at] = (at + len(entry), model.weights[entry])
+        spared = [(at, at + len(e)) for e in map(toxicity.fold, phrases) if e not in model.weights for at in range(len(folded)) if folded.startswith(e, at)]
+        if any(toxicity.fold(p) in model.weights for p in phrases):
+            continue  # an entry that is an exception itself
+        assert sorted(model.hits(folded)) == sorted((a, b, w) for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in spared))
+
+
+def test_columns_of_any_name_in_training(spark):
+    docs, labels = labelled(spark)
+    clashing = docs
+    for name in ("toxic", "learns", "__id", "__of", "half"):
+        clashing = clashing.withColumn(name, F.lit("x"))
+    assert toxicity.train(clashing, labels) == toxicity.train(docs, labels)
