@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, drop_rows, materialize, numbered, table
+from millrace.llm.common import discard, drop_rows, materialize, numbered, table, unused
 from millrace.session import ship
 
 
@@ -33,9 +33,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from millrace.llm.exact_dedup import exact_dedup as judge
 
-    rows = numbered(docs)
-    judged = judge(rows.select(F.struct(F.col("doc_id").alias("id"), "__row").alias("row"), "text"), "row").where("NOT kept")
-    return drop_rows(rows, materialize(judged.select("row.__row"), "exact-dropped"))
+    number = unused(docs, "__row")
+    rows = numbered(docs, number)
+    row = F.struct(F.col("doc_id").alias("id"), F.col(number).alias("number"))
+    judged = judge(rows.select(row.alias("row"), "text"), "row").where("NOT kept")
+    return drop_rows(rows, materialize(judged.select("row.number"), "exact-dropped"), number)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import near_duplicates
 
     ship(spark)
-    rows = numbered(docs)
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), "__row")
-    judged = near_duplicates(rows.select(row.alias("row"), "text"), "row").where("row.__row <> component_id.__row")
-    return drop_rows(rows, materialize(judged.select("row.__row"), "near-dropped"))
+    number = unused(docs, "__row")
+    rows = numbered(docs, number)
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(number).alias("number"))
+    judged = near_duplicates(rows.select(row.alias("row"), "text"), "row").where("row.number <> component_id.number")
+    return drop_rows(rows, materialize(judged.select("row.number"), "near-dropped"), number)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,19 +58,27 @@ def discard(*tables: DataFrame) -> None:
         df._written_to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._written_to, True)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written once with a unique number of each row in ``__row``; ids may be null or repeat."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` is called that, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def numbered(docs: DataFrame, row: str = "__row") -> DataFrame:
+    """``docs`` written once with a unique number of each row in ``row``, see :func:`unused`; ids may be null or repeat."""
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, row: str = "__row", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of :func:`numbered` ``docs`` whose number is not in ``dropped`` (materialised, one column), without it.
 
     Up to ``broadcast_rows`` numbers (8 bytes each, counted first) go to every
     executor and the texts stay where they are; beyond that both sides are
     shuffled by number.
     """
-    rows = dropped.select(F.col("__row").alias("__dropped"))
+    rows = dropped.toDF("__dropped")
     if rows.count() <= broadcast_rows:
         rows = F.broadcast(rows)
-    return docs.join(rows, docs["__row"] == rows["__dropped"], "left_anti").drop("__row")
+    return docs.join(rows, docs[row] == rows["__dropped"], "left_anti").drop(row)

@@ -4,7 +4,8 @@ Of the k-gram hashes of each text the minimum of every ``window`` consecutive
 ones is kept as a fingerprint.  Two texts that share ``k + window - 1`` words
 in a row share a fingerprint at the same place of the shared span, so joining
 the fingerprints of benchmark and documents finds every such span; each hit is
-then extended word by word in both directions and counts if it is long enough.
+then extended to the windows of words around it, and those that are a window of
+an item, word by word, count.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, drop_rows, materialize, numbered
+from millrace.llm.common import discard, drop_rows, materialize, numbered, unused
 from millrace.llm.words import ALNUM_LOWER, Words, grams, pieces
 
 K, SPAN = 5, 10
@@ -54,69 +55,88 @@ def winnow(hashes: np.ndarray, last: np.ndarray, k: int, window: int) -> tuple[n
 
 
 class Index:
-    """Fingerprints of one block of benchmark items."""
+    """Fingerprints of one block of benchmark items, and their windows by hash."""
 
     def __init__(self, ids: list[str | None], texts: list[bytes], k: int = K, span: int = SPAN) -> None:
         self.k, self.span, self.ids = k, span, ids
         words = Words.of(texts, ALNUM_LOWER)
         hashes, last = words.hashes(), words.last()
         self.items = [[words.word(i) for i in range(a, b)] for a, b in zip(words.first[:-1], words.first[1:])]
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
-        for at, h in zip(*winnow(hashes, last, k, span - k + 1)):
-            self.seeds[int(h)].append((int(owner[at]), int(at - words.first[owner[at]])))
+        self.prints = np.unique(winnow(hashes, last, k, span - k + 1)[1])
+        g = grams(hashes, span)
+        whole = np.flatnonzero(np.arange(len(g)) + span <= last[: len(g)])
+        owner = np.searchsorted(words.first, whole, "right") - 1
+        order = np.lexsort((whole, owner, g[whole]))
+        g, whole, owner = g[whole][order], whole[order], owner[order]
+        # of a window that an item repeats one place is kept
+        once = np.ones(len(g), bool)
+        once[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+        g, self.owner, self.place = g[once], owner[once], (whole - words.first[owner])[once]
+        self.windows, begins = np.unique(g, return_index=True)
+        self.begins = np.append(begins, len(g))
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for n, item in enumerate(self.items):
             if 0 < len(item) < span:
                 a = int(words.first[n])
                 self.short[len(item)][int(grams(hashes[a : a + len(item)], len(item))[0])].append(n)
         self.short = {m: dict(found) for m, found in self.short.items()}
-        self.table = self._table(self.seeds)
-        self.short_tables = {m: self._table(found) for m, found in self.short.items()}
+        self.table = self._table(self.prints)
+        self.short_tables = {m: self._table(np.fromiter(found, np.uint64, len(found))) for m, found in self.short.items()}
 
     @staticmethod
-    def _table(hashes) -> np.ndarray:
+    def _table(hashes: np.ndarray) -> np.ndarray:
         table = np.zeros(int(_MASK) + 1, bool)
-        table[(np.fromiter(hashes, np.uint64, len(hashes)) & _MASK).astype(np.int64)] = True
+        table[(hashes & _MASK).astype(np.int64)] = True
         return table
 
     def hits(self, words: Words) -> list[tuple[int, int, int]]:
-        """(start, end, item): runs of words of the documents that hold windows of an item."""
-        out = []
+        """(start, end, item): windows of the documents that are windows of an item.
+
+        Every place of a window is listed with one of its items, and its first
+        place in a text with all of them.  A shared fingerprint is extended to
+        the windows around it, which are looked up by their hash and compared
+        word by word: once with each item for each distinct window of a text,
+        however often text or item repeat it.
+        """
+        out: list[tuple[int, int, int]] = []
         if not len(words.starts):
             return out
         hashes, last = words.hashes(), words.last()
-        first = np.repeat(words.first[:-1], np.diff(words.first))
         where, prints = winnow(hashes, last, self.k, self.span - self.k + 1)
-        likely = self.table[(prints & _MASK).astype(np.int64)]
-        done: dict[tuple[int, int], int] = {}  # (item, diagonal): end of the last run there
-        for at, h in zip(where[likely].tolist(), prints[likely].tolist()):
-            for item, pos in self.seeds.get(h, ()):
-                if done.get((item, at - pos), -1) > at:
-                    continue
-                a, b = self._extend(words, at, pos, self.items[item], int(first[at]), int(last[at]))
-                if b - a >= self.span:
-                    out.append((a, b, item))
-                    done[item, at - pos] = b
+        likely = np.flatnonzero(self.table[(prints & _MASK).astype(np.int64)])
+        shared = where[likely[_among(prints[likely], self.prints)[0]]]
+        around = np.unique(shared[:, None] - np.arange(self.span - self.k + 1))
+        around = around[around >= 0]
+        around = around[around + self.span <= last[around]]
+        equal, at = _among(grams(hashes, self.span)[around], self.windows)
+        self._compare(words, self.span, around[equal], at, out, lambda w: zip(self.owner[self.begins[w] : self.begins[w + 1]].tolist(), self.place[self.begins[w] : self.begins[w + 1]].tolist()))
         for m, found in self.short.items():
             g = grams(hashes, m)
             likely = np.flatnonzero(self.short_tables[m][(g & _MASK).astype(np.int64)] & (np.arange(len(g)) + m <= last[: len(g)]))
-            for at in likely.tolist():
-                for item in found.get(int(g[at]), ()):
-                    if all(words.word(at + j) == w for j, w in enumerate(self.items[item])):
-                        out.append((at, at + m, item))
+            self._compare(words, m, likely, g[likely], out, lambda h: ((item, 0) for item in found.get(h, ())))  # noqa: B023
         return out
 
-    @staticmethod
-    def _extend(words: Words, at: int, pos: int, item: list[bytes], lo: int, hi: int) -> tuple[int, int]:
-        """The longest run of equal words around (at, pos), within the document's lo:hi."""
-        a, p = at, pos
-        while a > lo and p > 0 and words.word(a - 1) == item[p - 1]:
-            a, p = a - 1, p - 1
-        b, p = at, pos
-        while b < hi and p < len(item) and words.word(b) == item[p]:
-            b, p = b + 1, p + 1
-        return a, b
+    def _compare(self, words: Words, m: int, starts: np.ndarray, keys: np.ndarray, out: list, entries) -> None:
+        """Appends the runs of m words at ``starts`` that equal one of the (item, place) that ``entries`` gives for their key."""
+        seen: dict[tuple[int, bytes], int | None] = {}
+        texts = np.searchsorted(words.first, starts, "right") - 1
+        for start, key, text in zip(starts.tolist(), keys.tolist(), texts.tolist()):
+            run = [words.word(i) for i in range(start, start + m)]
+            if (place := (text, b" ".join(run))) not in seen:
+                found = [item for item, p in entries(key) if self.items[item][p : p + m] == run]
+                seen[place] = found[0] if found else None
+                out += [(start, start + m, item) for item in found]
+            elif seen[place] is not None:
+                out.append((start, start + m, seen[place]))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes of the values that are among the sorted ``known``, their places there)."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    equal = np.flatnonzero(known[at] == values)
+    return equal, at[equal]
 
 
 def _spans(marked: np.ndarray) -> list[dict[str, int]]:
@@ -184,11 +204,12 @@ def drop_contaminated(
     items, small = _items(benchmark, item_col, item_text_col, block_bytes)
     if small:
         return docs.mapInArrow(_filter(_broadcast_index(items, k, span), text_col), docs.schema)
-    rows = numbered(docs)
-    words, found = _in_blocks(rows.select("__row", F.col(text_col).alias("__text")), items, k, span, block_bytes)
+    row = unused(docs, "__row")
+    rows = numbered(docs, row)
+    words, found = _in_blocks(rows.select(F.col(row).alias("__row"), F.col(text_col).alias("__text")), items, k, span, block_bytes)
     dropped = materialize(found.select("__row").distinct(), "contaminated")
     discard(words, found)
-    return drop_rows(rows, dropped)
+    return drop_rows(rows, dropped, row)
 
 
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, bool]:

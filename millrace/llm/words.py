@@ -81,8 +81,26 @@ class Words:
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         return cls(data, starts, ends, np.searchsorted(starts, offsets))
 
-    def hashes(self) -> np.ndarray:
-        return mix(span_sums(self.data, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64) * _MULTIPLIER)
+    def hashes(self, size: int = 1 << 20) -> np.ndarray:
+        """Hash of each word, taken over about ``size`` bytes at a time: a hash doesn't depend on where its word lies."""
+        out, at, n = np.zeros(len(self.starts), np.uint64), 0, len(self.starts)
+        while at < n:
+            begin = int(self.starts[at])
+            stop = max(at + 1, int(np.searchsorted(self.ends, begin + size, "right")))
+            if self.ends[at] - begin > size:
+                out[at] = self._long(begin, int(self.ends[at]), size)
+            else:
+                out[at:stop] = span_sums(self.data[begin : self.ends[stop - 1]], self.starts[at:stop] - begin, self.ends[at:stop] - begin)
+            at = stop
+        return mix(out + (self.ends - self.starts).astype(np.uint64) * _MULTIPLIER)
+
+    def _long(self, begin: int, end: int, size: int) -> int:
+        """The polynomial hash of one word longer than ``size`` from those of its parts."""
+        total = 0
+        for at in range(begin, end, size):
+            part = self.data[at : min(end, at + size)]
+            total += int(span_sums(part, np.array([0]), np.array([len(part)]))[0]) * pow(int(_MULTIPLIER), at - begin, 2**64)
+        return total % 2**64
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from millrace.llm import queries
 from millrace.llm.sentencepiece_nbest import Pieces
 from millrace.llm.simhash import fingerprint
-from millrace.llm.winnowing import contamination
+from millrace.llm.winnowing import contamination, drop_contaminated
 
 
 def test_every_stage_decides_on_what_the_one_before_kept(spark, sf_dir):
@@ -72,3 +74,18 @@ def test_rows_without_id_and_repeated_ids(spark, sf_dir):
     assert kept("near_dedup", [*near, (7, copy, "en"), (5, base, "en")]) == sorted([(5, base), *[(i, t) for i, t, _ in near[2:]]], key=str)
     hit = [(None, f"so: {item}", "en"), (None, "clean", "en"), (3, item, "en"), (3, "clean too", "en")]
     assert kept("decontamination", hit) == [(3, "clean too"), (None, "clean")]
+
+
+def test_columns_of_any_name_are_carried(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "one text", "en"), (2, "one text", "en"), (3, "another text that stays", "de")], "doc_id long, text string, lang string")
+    names = ["toxic", "learns", "__id", "__row", "__ROW2", "__dropped", "row", "fp", "key", "number", "_id", "__of"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"v {name}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "test")
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert len(rows) == (2 if "dedup" in name else 3) and all(r[n] == f"v {n}" for r in rows for n in names), name
+    benchmark = spark.createDataFrame([(1, "another text")], "item_id long, text string")
+    kept = drop_contaminated(docs, benchmark, block_bytes=1)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]

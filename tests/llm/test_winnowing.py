@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pytest
@@ -108,3 +112,49 @@ def test_odd_rows_against_many_blocks(odd, empty, spark):
     assert len(got) == 10 and {r.doc_id: r["items"] for r in got if r.spans} == {6: ["1", "3"]}
     assert contamination(empty, items(spark, texts), block_bytes=50).count() == 0
     assert drop_contaminated(odd, items(spark, texts), block_bytes=50).count() == 8
+
+
+def test_one_word_repeated_takes_linear_time():
+    index = Index(["1", "2"], [b"a " * 100_000, b"b a a a a a a a a a a"])
+    began = time.process_time()
+    words = Words.of([b"a " * 100_000, b"a " * 9, b"c " + b"a " * 10], ALNUM_LOWER)
+    hit, found = np.zeros(len(words.starts), bool), set()
+    for a, b, item in index.hits(words):
+        hit[a:b] = True
+        found.add((a >= 100_000, item))
+    assert time.process_time() - began < 20
+    assert hit.tolist() == [True] * 100_000 + [False] * 10 + [True] * 10 and found == {(False, 0), (False, 1), (True, 0), (True, 1)}
+
+
+def test_hits_against_all_windows():
+    rng = random.Random(3)
+    for _ in range(200):
+        make = lambda n: rng.choices("abc" if rng.random() < 0.5 else "ab", k=n)
+        texts, bench = [make(rng.randint(0, 60)) for _ in range(3)], [make(rng.randint(0, 40)) for _ in range(4)]
+        index = Index([str(i) for i in range(4)], [" ".join(i).encode() for i in bench], k=3, span=6)
+        words = Words.of([" ".join(t).encode() for t in texts], ALNUM_LOWER)
+        got_hit, got_items = np.zeros(len(words.starts), bool), set()
+        for a, b, item in index.hits(words):
+            got_hit[a:b] = True
+            got_items.add((int(np.searchsorted(words.first, a, "right")) - 1, item))
+        hit, owners = [], set()
+        for d, text in enumerate(texts):
+            mine = [False] * len(text)
+            for n, item in enumerate(bench):
+                m = min(6, len(item))
+                windows = {tuple(item[i : i + m]) for i in range(len(item) - m + 1)} if m else set()
+                for i in range(len(text) - m + 1):
+                    if tuple(text[i : i + m]) in windows:
+                        mine[i : i + m] = [True] * m
+                        owners.add((d, n))
+            hit += mine
+        assert got_hit.tolist() == hit and got_items == owners
+
+
+def test_hashes_of_long_texts_are_taken_in_slices():
+    raw = " ".join("x" * n + str(n) for n in [1, 5, 300, 2, 0, 41, 900, 3]).encode()
+    words = Words.of([raw, b"", b"y " * 400 + b"z" * 77], ALNUM_LOWER)
+    assert all((words.hashes(size) == words.hashes()).all() for size in (1, 7, 64, 299, 1000))
+    code = "import resource; from millrace.llm.words import *; w = Words.of([b'word ' * (64 << 18) + b'x' * (8 << 20)], ALNUM_LOWER); w.hashes(); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    peak = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.getcwd()}).stdout.split()[-1])
+    assert peak < 2_000_000  # KB; all bytes at once took 40 for each, 3.7 GB
