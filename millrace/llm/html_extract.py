@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 # The HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg object audio video canvas select datalist annotation annotation-xml".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+# Elements whose text isn't shown, if they end before the next one of their kind begins.
+UNSEEN = frozenset("template svg audio video canvas select datalist annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -45,19 +47,21 @@ BARRIER = frozenset("ul ol dl table menu body article section div".split())
 FURNITURE = frozenset("nav footer aside form button dialog menu search head".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies "
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies "
     "disclaimer discussion disqus footer gdpr login masthead modal nav navbar navigation newsletter overlay pager "
     "pagination popup promo promoted promotion recommendations recommended replies respond sharing sidebar signup "
     "responses sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 # Words that also name subjects; they count if the whole name consists of them and of layout.
-WEAK_WORDS = frozenset("alert copyright hidden legal menu notice notification related reply search share skip social".split())
+WEAK_WORDS = frozenset("alert banner copyright hidden legal menu notice notification related reply search share skip social".split())
 LAYOUT_WORDS = frozenset("bar block bottom box button buttons container content inner item items left link links list main outer panel right row section side site top wrap wrapper".split())
 # First and last words of a class that only says that there is such a thing elsewhere (has-sidebar, comments-open).
 SAYS_FIRST, SAYS_LAST = frozenset("has with without no".split()), frozenset("open closed enabled disabled on off".split())
 MAIN_ROLES = frozenset(("main", "article"))
 # Classes of what readers wrote; only these, as a whole class, mark an article.
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+# Names that also head a part of a text, such as a paper's discussion.
+SUBJECTS = frozenset("discussion recommendations responses".split())
 #: What keeps its text whatever its class or id says.
 UNMARKABLE = HEADINGS | frozenset("html body main p li dd dt td th tr table tbody thead tfoot caption blockquote pre figure figcaption".split())
 #: An element that holds this share of the content found so far is entered.
@@ -65,7 +69,8 @@ ENTERED = 0.9
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_READ = frozenset("class id role hidden aria-hidden style".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：…]")
@@ -95,6 +100,9 @@ class Page:
     container: list[bool] = field(default_factory=lambda: [True])
     main: list[bool] = field(default_factory=lambda: [False])
     named: dict[int, bool] = field(default_factory=dict)  # furniture by its class or id: whether for comments
+    subject: set[int] = field(default_factory=set)  # those of them whose name is one of SUBJECTS
+    headed: set[int] = field(default_factory=set)  # elements with a heading of their own
+    answered: set[int] = field(default_factory=set)  # elements that hold a form or article, or what is named for comments
     body: int = 0
 
     def held(self, own: dict[int, float]) -> list[float]:
@@ -133,8 +141,8 @@ def _is_furniture(tag: str, attributes: list[tuple[str, str]], in_main: bool) ->
 
 
 def _is_named_furniture(tag: str, attributes: list[tuple[str, str]], is_main: bool) -> bool:
-    """By words of its class or id, which :func:`_overruled` may set aside."""
-    if tag in UNMARKABLE:
+    """By words of its class or id, which :func:`_overruled` may set aside; inline elements keep their text."""
+    if tag not in BLOCK or tag in UNMARKABLE:
         return False
     names = [n for name, value in attributes if name in ("class", "id") for n in value.split()]
     return any(n.lower() in COMMENTS for n in names) if is_main else any(map(_names_furniture, names))
@@ -188,11 +196,13 @@ def parse(page: str) -> Page:
     nodes, parent = out.nodes, out.parent
     paths: dict[tuple[int, str], int] = {}
     # of each element: its path, and whether it is in furniture, a header, a link, a heading, an article or main element
-    path_of, furniture, header, linked, heading, in_main = [0], [False], [False], [False], [False], [False]
+    path_of, furniture, header, linked, heading, in_main, coded = [0], [False], [False], [False], [False], [False], [False]
     stack: list[tuple[str, int]] = []
     places: dict[str, list[int]] = defaultdict(list)  # tag -> its places on the stack
     ends: dict[str, re.Pattern[str]] = {}
+    nexts: dict[str, re.Pattern[str]] = {}
     tags = _Tags(page)
+    unended: dict[str, int] = {}  # from here on no element of the tag begins or ends
     block = at = 0
 
     def add(text: str) -> None:
@@ -226,8 +236,22 @@ def parse(page: str) -> Page:
             if tag not in ends:
                 ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
             rest = ends[tag].search(page, at)
+            if tag == "xmp":
+                block += 1
+                add(html.escape(page[at : rest.start() if rest else len(page)]))
+                block += 1
             at = rest.end() if rest else len(page)
             continue
+        if tag in UNSEEN and not attrs.endswith("/"):
+            if tag not in nexts:
+                nexts[tag] = re.compile(rf"<(/?){re.escape(tag)}(?![\w-])[^>]*>", re.I)
+            if at < unended.get(tag, len(page) + 1):
+                after = nexts[tag].search(page, at)
+                if after is None:
+                    unended[tag] = at
+                elif after[1]:
+                    at = after.end()
+            continue
         if tag in BLOCK:
             close("p", BARRIER | {"li", "td", "th", "blockquote"})
         if tag in CLOSES:
@@ -235,12 +259,20 @@ def parse(page: str) -> Page:
         if tag in VOID or attrs.endswith("/"):
             continue
         above, e = stack[-1][1] if stack else 0, len(parent)
-        attributes = [(n.lower(), a or b or c) for n, a, b, c in _ATTRIBUTE.findall(attrs)] if "=" in attrs or "hidden" in attrs else []
+        attributes = [(n.lower(), a or b or c) for n, a, b, c in _ATTRIBUTE.findall(attrs) if n.lower() in _READ] if attrs else []
         out.body = out.body or (e if tag == "body" else 0)
         is_main = tag in ("article", "main") or any(n == "role" and v.lower() in MAIN_ROLES for n, v in attributes)
         own = _is_furniture(tag, attributes, in_main[above])
-        if not own and _is_named_furniture(tag, attributes, is_main):
-            out.named[e] = any(w.lower() in COMMENTS for n, v in attributes if n in ("class", "id") for w in _WORD.findall(v))
+        coded.append(coded[above] or tag in ("pre", "code"))
+        if not own and not coded[e] and _is_named_furniture(tag, attributes, is_main):
+            words = [w.lower() for n, v in attributes if n in ("class", "id") for w in _WORD.findall(v)]
+            out.named[e] = any(w in COMMENTS for w in words)
+            if tag in ("section", "div") and SUBJECTS.issuperset(words):
+                out.subject.add(e)
+        if tag in HEADINGS:
+            out.headed.add(above)
+        if tag in ("form", "article") or (out.named.get(e) and e not in out.subject):
+            out.answered.add(e)
         classes = ".".join(v for n, v in attributes if n == "class") if tag in CONTAINERS else ""
         path_of.append(paths.setdefault((path_of[above], f"{tag}.{classes}"), len(paths) + 1))
         parent.append(above)
@@ -313,7 +345,9 @@ def _overruled(page: Page) -> set[int]:
     Those that hold more than half of the content of the article or main
     element around them, and those around the largest of these.  Outside of
     such elements, and for readers' comments, half of the page's content counts
-    only if no article or main element has content beside named furniture.
+    only if no article or main element has content beside named furniture.  A
+    discussion (see ``SUBJECTS``) with a heading and content of its own, and
+    without forms, articles and comments, is a part of the text around it.
     """
     own = _content(page)
     held, inside = page.held(own), page.below(page.named)
@@ -323,6 +357,8 @@ def _overruled(page: Page) -> set[int]:
     for e in range(1, len(held)):
         around[e] = page.parent[e] if page.main[page.parent[e]] else around[page.parent[e]]
     out = {e for e, comments in page.named.items() if 2 * held[e] > held[around[e]] and not (free and (comments or not around[e]))}
+    answered = page.held(dict.fromkeys(page.answered, 1.0)) if page.subject else []
+    out |= {e for e in page.subject if e in page.headed and held[e] and not answered[e] and (around[e] or not free)}
     longest = max((e for e, main in enumerate(page.main) if main and held[e] and e not in page.named), key=lambda e: (held[e], -e), default=0)
     while longest := page.parent[longest]:
         if longest in page.named:
@@ -384,17 +420,17 @@ def main_text(page: str | None) -> str:
     blocks = sorted((b, " ".join("".join(n.text for n in out[b]).split())) for b in out)
     blocks = [(b, text) for b, text in blocks if text]
     if regions <= {0, parsed.body}:
-        blocks = _without_menus(blocks, out)
+        blocks = _without_menu(blocks, out)
     return "\n\n".join(text for _, text in blocks)
 
 
-def _without_menus(blocks: list[tuple[int, str]], nodes: dict[int, list[Node]]) -> list[tuple[int, str]]:
-    """Blocks of the whole page without runs of several blocks that are links only, before or after all other text."""
+def _without_menu(blocks: list[tuple[int, str]], nodes: dict[int, list[Node]]) -> list[tuple[int, str]]:
+    """Blocks of the whole page without a run of several blocks that are links only before all other text; a list of links at its end stays."""
     menu = [all(n.linked or n.text.isspace() for n in nodes[b]) for b, _ in blocks]
     if all(menu):
         return blocks
-    first, last = menu.index(False), len(menu) - menu[::-1].index(False)
-    return blocks[first if first > 1 else 0 : last if len(menu) - last > 1 else len(menu)]
+    first = menu.index(False)
+    return blocks[first if first > 1 else 0 :]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -170,3 +170,57 @@ def test_a_megabyte_of_broken_markup(name):
     began = time.process_time()
     main_text(HOSTILE[name])
     assert time.process_time() - began < 10
+
+
+KEPT = {
+    "words in a title": ('<p title="the hidden door">Behind it.</p>', ["Behind it."]),
+    "words in a title of a link": ('<p>See <a title="hidden lake" href="/l">the lake</a> there.</p>', ["See the lake there."]),
+    "names that end like others": ('<div data-hidden="false"><p>Not hidden.</p></div><div data-role="form"><p>No form.</p></div><div data-id="promo"><p>No promo.</p></div>', ["Not hidden.", "No form.", "No promo."]),
+    "a value that looks like a name": ("<div title='a hidden=x'><p>Shown.</p></div><div title=hidden><p>Shown too.</p></div>", ["Shown.", "Shown too."]),
+    "comments of code": ('<pre>x = 1 <span class="hljs-comment"># one</span>\ny = 2 <span class="token comment"># two</span></pre><p>and <code><b class="comment">b</b></code></p>', ["x = 1 # one y = 2 # two", "and b"]),
+    "blocks in code": ('<pre><div class="comment">// a line</div></pre>', ["// a line"]),
+    "a discussion": ('<section id="discussion"><h2>Discussion</h2><p>We discuss, at length, what was found. It holds.</p></section>', ["Discussion", "We discuss, at length, what was found. It holds."]),
+    "a subject": ('<div class="banner-history"><p>Banners, of old.</p></div>', ["Banners, of old."]),
+    "an unclosed video": ("<video src=x><p>After it.</p><video src=y></video><p>Then.</p><audio src=z><p>Last.</p>", ["After it.", "Then.", "Last."]),
+    "fallbacks that aren't shown": ("<p>One <video src=x>no video</video>two <canvas>no canvas</canvas>three <svg><title>t</title><text>x</text></svg>four <select><option>a</option></select>five.</p>", ["One two three four five."]),
+    "an object": ("<object data=x><p>Instead of it.</p></object>", ["Instead of it."]),
+    "an example": ("<p>So:</p><xmp><b>bold &amp; so</b></xmp><p>That.</p>", ["So:", "<b>bold &amp; so</b>", "That."]),
+    "spans and links": ("<p>It <span class='ad'>was</span> <a class='promo' href='/p'>so</a>.</p>", ["It was so."]),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+@pytest.mark.parametrize("open_,close", [("<article>", "</article>"), ("<div>", "</div>")])
+def test_nothing_of_the_article_is_lost(name, open_, close):
+    inner, expected = KEPT[name]
+    page = f"<body>{FURNITURE[0]}{FURNITURE[3]}{open_}<p>{FIRST}</p>{inner}<p>{SECOND}</p>{close}{FURNITURE[11]}{FURNITURE[2]}</body>"
+    assert main_text(page).split("\n\n") == [FIRST, *expected, PLAIN]
+
+
+@pytest.mark.parametrize(
+    "marked",
+    [
+        '<section id="discussion"><h2>Discussion</h2><p>Join in, all of you.</p><article class="comment"><p>I disagree, strongly.</p></article></section>',
+        '<section id="discussion"><h2>Discussion</h2><form><p>Say something, please.</p></form><p>Be kind, please.</p></section>',
+        '<div class="comments"><h2>Comments</h2><p>I disagree, strongly. Very much so.</p></div>',
+        '<div hidden><p>Unseen, as it is.</p></div>',
+        '<DIV HIDDEN><p>Unseen, as it is.</p></DIV>',
+        '<div class="top-banner"><p>Great things, now.</p></div>',
+        "<div role=dialog><p>Accept, please.</p></div>",
+    ],
+)
+def test_what_is_marked_still_goes(marked):
+    assert main_text(f"<body><article><p>{FIRST}</p>{marked}<p>{SECOND}</p></article></body>") == f"{FIRST}\n\n{PLAIN}"
+
+
+def test_a_closing_list_of_links_stays():
+    links = "<ul><li><a href='/a'>A source</a></li><li><a href='/b'>Another source</a></li><li><a href='/c'>A third</a></li></ul>"
+    assert main_text(f"<p>{FIRST}</p><p>{SECOND}</p>{links}").split("\n\n") == [FIRST, PLAIN, "A source", "Another source", "A third"]
+
+
+@pytest.mark.parametrize("tag", ["video", "svg", "template", "select"])
+def test_unclosed_elements_without_text_take_linear_time(tag):
+    began = time.process_time()
+    assert main_text(f"<{tag}><p>x</p>" * 30_000).count("x") == 30_000
+    main_text(f"<{tag} " * 200_000 + f"<{tag}>" * 50_000 + "<p x='" * 50_000)
+    assert time.process_time() - began < 10
