@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.llm_json import extract_json, verdict
-from millrace.operators import agent, documents, merge_store, store
+from millrace.operators import agent, documents, embedding_cache, merge_store, models, store
+from millrace.operators.substring_index import SubstringIndex
 from millrace.plans.retrieval import read
 from millrace.session import new_folder
 
@@ -91,6 +92,28 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.containment(read(spark, sf_dir, "documents"), items)
 
 
+def substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each benchmark item, its first word (in any case) and its first two characters: how many documents hold them, through one index."""
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    index = SubstringIndex(spark).add(docs)
+    out = []
+    for kind, needle in (("item", F.col("text")), ("word", F.split_part(F.trim("text"), F.lit(" "), F.lit(1))), ("start", F.left("text", F.lit(2)))):
+        asked = items.select("item_id", needle.alias("item"))
+        found = index.search(docs, asked, ignore_case=kind == "word")
+        out.append(found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("doc_ids")).withColumn("kind", F.lit(kind)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def embedding_cache_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's key and the sum of its cached vector, its number of words; filled in two runs and a third that finds nothing missing."""
+    docs = read(spark, sf_dir, "documents")
+    cache = embedding_cache.EmbeddingCache(spark, new_folder(spark, "embedding-cache"), "hashed")
+    added = [cache.fill(rows, models.hashed_embedder, rounds=2) for rows in (docs.where("lang = 'en'"), docs, docs)]
+    counts = (F.lit(n).cast("long").alias(name) for n, name in zip(added, ("n_first", "n_second", "n_third")))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b).cast("long")
+    return cache.lookup(docs).select("doc_id", "cache_key", total.alias("n_words"), *counts)
+
+
 def first_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = qrels(spark, sf_dir).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -241,6 +264,18 @@ QUERIES = {
     ),
     "num_chunks": (num_chunks, f"WITH RECURSIVE {_SENTENCE_CHUNKS} SELECT doc_id, count(*) AS num_chunks FROM sc GROUP BY doc_id"),
     "qrels": (qrels, "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
+    "substring_index": (
+        substring_index,
+        """SELECT kind, item_id, count(*) AS n_docs, CAST(sum(doc_id) AS bigint) AS doc_ids FROM documents d JOIN (
+          SELECT 'item' AS kind, item_id, text AS item FROM benchmark UNION ALL SELECT 'word', item_id, lower(split_part(trim(text), ' ', 1)) FROM benchmark UNION ALL SELECT 'start', item_id, left(text, 2) FROM benchmark
+        ) b ON contains(CASE WHEN kind = 'word' THEN lower(d.text) ELSE d.text END, item) GROUP BY kind, item_id""",
+    ),
+    "embedding_cache": (
+        embedding_cache_fill,
+        r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang = 'en', false) AS en FROM documents)
+        SELECT doc_id, left(sha256(text || ':dense:hashed'), 16) AS cache_key, CAST(len(regexp_extract_all(text, '[^\s\p{Z}\x0b\x1c-\x1f\x{85}]+')) AS bigint) AS n_words,
+        (SELECT count(DISTINCT text) FROM d WHERE en) AS n_first, (SELECT count(DISTINCT text) FROM d) - (SELECT count(DISTINCT text) FROM d WHERE en) AS n_second, CAST(0 AS bigint) AS n_third FROM d""",
+    ),
     "first_match_join": (
         first_match_join,
         """SELECT doc_id, coalesce(item_id, -1) AS item_id, coalesce(item_id, quality, -1) AS fallback FROM documents
