@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import top_k
-from millrace.session import new_folder, written
+from millrace.session import new_folder, shuffles_dropped, written
 
 GRAM = 3
 #: Documents and grams of a block at most (a document is never cut).
@@ -109,8 +109,12 @@ class SubstringIndex:
         """
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
         name = f"{len(self._segments()):06d}-{uuid.uuid4().hex[:8]}"
-        made = written(rows.mapInArrow(_blocks(int(name[:6])), _POSTINGS), "grams")
-        made.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{self.root}/{name}")
+        made = new_folder(self.spark, "grams")
+        rows.mapInArrow(_blocks(int(name[:6])), _POSTINGS).write.parquet(made)
+        with shuffles_dropped(self.spark):
+            self.spark.read.schema(_POSTINGS).parquet(made).repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{self.root}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return self
 
     def candidates(self, needles: DataFrame, rarest: int = 4) -> DataFrame:
@@ -133,18 +137,22 @@ class SubstringIndex:
         few = postings.select("gram", "ids").join(begins.join(short, "start").select("nid", "gram"), "gram")
         return long.unionByName(few.select("nid", F.explode("ids").alias("id")).distinct())
 
-    def search(self, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item", ignore_case: bool = False, rarest: int = 4) -> DataFrame:
+    def search(self, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item", ignore_case: bool | Column = False, rarest: int = 4) -> DataFrame:
         """(item id, id) for each item and row of the indexed ``docs`` whose text holds the item's text; exact.
 
-        Equal items are looked up once.  An empty item is in every text, a null
+        ``ignore_case`` may differ by item, as a column of ``items``.  Equal
+        items are looked up once, and texts meet their candidates once for all
+        items.  An empty item is in every text, a null
         item and a null text in none.  Jobs run when this is called.
         """
-        lower = F.lower if ignore_case else (lambda c: c)
-        distinct = items.where(F.col(item_text).isNotNull()).select(F.col(item_text).alias("needle")).distinct()
+        either = F.coalesce(F.lit(ignore_case) if isinstance(ignore_case, bool) else ignore_case, F.lit(False))
+        named = items.select(F.col(item_col), F.col(item_text).alias("needle"), either.alias("__either"))
+        distinct = named.where("needle IS NOT NULL").select("needle", "__either").distinct()
         needles = written(distinct.withColumn("nid", F.monotonically_increasing_id()), "needles")
-        found = written(self.candidates(needles, rarest), "substring-candidates")
+        with shuffles_dropped(self.spark):
+            found = written(self.candidates(needles, rarest), "substring-candidates")
+        lower = lambda c: F.when(F.col("__either"), F.lower(c)).otherwise(F.col(c))
         texts = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
         places = found.join(needles, "nid").withColumnRenamed("id", "__doc")
-        held = texts.join(places, "__doc").where(F.contains(lower(F.col("__text")), lower(F.col("needle")))).select(F.col(id_col).alias("__id"), "needle")
-        named = items.select(F.col(item_col), F.col(item_text).alias("needle"))
-        return named.join(held, "needle").select(item_col, F.col("__id").alias(id_col))
+        held = texts.join(places, "__doc").where(F.contains(lower("__text"), lower("needle"))).select(F.col(id_col).alias("__id"), "needle", "__either")
+        return named.join(held, ["needle", "__either"]).select(item_col, F.col("__id").alias(id_col))

@@ -95,13 +95,12 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark item, its first word (in any case) and its first two characters: how many documents hold them, through one index."""
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    index = SubstringIndex(spark).add(docs)
-    out = []
-    for kind, needle in (("item", F.col("text")), ("word", F.split_part(F.trim("text"), F.lit(" "), F.lit(1))), ("start", F.left("text", F.lit(2)))):
-        asked = items.select("item_id", needle.alias("item"))
-        found = index.search(docs, asked, ignore_case=kind == "word")
-        out.append(found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("doc_ids")).withColumn("kind", F.lit(kind)))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    needles = {"item": F.col("text"), "word": F.split_part(F.trim("text"), F.lit(" "), F.lit(1)), "start": F.left("text", F.lit(2))}
+    asked = items.select("item_id", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), n.alias("item")) for kind, n in needles.items()))).alias("n"))
+    asked = asked.select(F.struct("n.kind", "item_id").alias("asked"), "n.item")
+    found = SubstringIndex(spark).add(docs).search(docs, asked, item_col="asked", ignore_case=F.col("asked.kind") == "word")
+    counts = found.groupBy("asked").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("doc_ids"))
+    return counts.select("asked.kind", "asked.item_id", "n_docs", "doc_ids")
 
 
 def embedding_cache_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
