@@ -57,15 +57,17 @@ def shuffled_rows(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+@pytest.mark.parametrize("weighting", [BM25, DOT])
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, weighting):
     """Words that every document has, asked for by many queries in several passes: postings are shuffled, not pairs."""
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(8) for _ in range(1 + i * (j + 3) % 7))) for i in range(500)], "doc_id long, text string")
     queries = spark.createDataFrame([(q, f"w{q % 8} w{q * 3 % 8} w{q * 5 % 8}") for q in range(60)], "query_id long, text string")
     index = LexicalIndex(spark, block=100).add(docs)
     before = shuffled_rows(spark)
-    got = sorted(map(tuple, index.search(queries, 5, asked=40).collect()))
+    got = sorted(map(tuple, index.search(queries, 5, weighting, asked=40).collect()))
     assert shuffled_rows(spark) - before < 60 * 500 / 4
-    assert got == sorted(map(tuple, search.bm25_top_k(docs, queries, 5).select("query_id", "doc_id", "score", "rank").collect()))
+    scan = search.sparse_top_k if weighting.plain else search.bm25_top_k
+    assert got == sorted(map(tuple, scan(docs, queries, 5).select("query_id", "doc_id", "score", "rank").collect()))
 
 
 def test_ids_of_an_index_are_new_and_not_null(spark, tmp_path):
