@@ -13,7 +13,7 @@ from millrace.operators import agent, experiments, pipeline, ranking, reports, s
 from millrace.plans.evaluation import ALPHAS, RRF_KS, grid_search, truth_of
 from millrace.plans.evaluation import QUERIES as EVALUATED
 from millrace.plans.retrieval import TOKENS, dense, read, second, text_queries
-from millrace.session import new_folder, written
+from millrace.session import new_folder, shuffles_dropped, written
 from millrace.sources import qa
 from millrace.sources.config import load_adapter
 
@@ -136,9 +136,14 @@ def answer_enhancer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_and_vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The documents that have a vector, and the query set: vectors of ids divisible by 100, with the first six words of their document."""
+    """The documents that have a vector, and the query set: vectors of ids divisible by 100, with the first six words of their document.
+
+    They are joined once and written, as searches read them once for each block of queries.
+    """
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("vec_id"), "text")
     corpus = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").join(docs, "vec_id")
+    with shuffles_dropped(spark):
+        corpus = written(corpus, "text-and-vector")
     words = F.array_join(F.slice(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), 1, 6), " ")
     return corpus, corpus.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", words.alias("text"))
 

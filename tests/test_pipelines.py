@@ -231,3 +231,11 @@ def test_judge_out_of_range_and_failing(spark):
     assert (got["a"].faithfulness, got["a"].attempts, got["a"].has_context) == (0, 3, True) and "9" in got["a"].justification
     assert got["b"].relevance == 0 and "too slow" in got["b"].justification
     assert (got["c"].faithfulness, got["c"].relevance, got["c"].helpfulness, got["c"].justification, got["c"].attempts) == (5, 4, 3, "fine", 2)
+
+
+def test_text_and_vectors_are_joined_once(spark, sf_dir):
+    """What a search reads once for each block of queries is a table, no join."""
+    from millrace.plans import posts
+
+    for rows in posts._text_and_vector(spark, sf_dir):
+        assert "Join" not in rows._jdf.queryExecution().toString()
