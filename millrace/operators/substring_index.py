@@ -14,10 +14,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.ranking import top_k
 from millrace.session import new_folder, shuffles_dropped, written
@@ -25,6 +27,8 @@ from millrace.session import new_folder, shuffles_dropped, written
 GRAM = 3
 #: Documents and grams of a block at most (a document is never cut).
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+#: Needles compared with a text in one row.
+TOGETHER = 4096
 _PAD = "\0" * GRAM
 _POSTINGS = "gram string, block bigint, ids array<bigint>, n int"
 
@@ -38,35 +42,74 @@ def grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
+def _codes(text: str) -> np.ndarray:
+    """The grams of a text, each once and in order, as numbers: 21 bits a character."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    n = max(0, len(points) - GRAM + 1)
+    found = np.zeros(n, np.int64)
+    for i in range(GRAM):
+        found = found << 21 | points[i : i + n]
+    found.sort()
+    return found[np.append(True, found[1:] != found[:-1])] if n else found
+
+
+def _name(code: int) -> str:
+    return "".join(chr(code >> 21 * i & 0x1FFFFF) for i in reversed(range(GRAM)))
+
+
 def _blocks(segment: int):
     """id, text -> postings of each block of the partition's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = segment << 44 | TaskContext.get().partitionId() << 22
-        held: dict[str, list[int]] = {}
-        docs = total = 0
+        names: dict[int, str] = {}
+        ids: list[int] = []
+        held: list[np.ndarray] = []
+        total = 0
 
         def flush() -> pa.RecordBatch:
-            names = sorted(held)
-            ids = pa.array([held[g] for g in names], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([block] * len(names), pa.int64()), ids, pa.array([len(held[g]) for g in names], pa.int32())], names=["gram", "block", "ids", "n"])
+            codes, owner = np.concatenate(held), np.repeat(np.array(ids, np.int64), [len(h) for h in held])
+            order = np.argsort(codes, kind="stable")
+            codes, owner = codes[order], owner[order]
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            cuts = np.append(first, len(codes)).astype(np.int32)
+            if len(names) > 1 << 18:
+                names.clear()
+            grams = [names.get(c) or names.setdefault(c, _name(c)) for c in codes[first].tolist()]
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(owner))
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(grams), block)), lists, pa.array(np.diff(cuts))], names=["gram", "block", "ids", "n"])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = grams(fold(text.as_py()) + _PAD)
-                for g in found:
-                    held.setdefault(g, []).append(i)
-                docs, total = docs + 1, total + len(found)
-                if docs >= BLOCK or total >= BLOCK_GRAMS:
+                found = _codes(fold(text.as_py()) + _PAD)
+                ids.append(i)
+                held.append(found)
+                total += len(found)
+                if len(ids) >= BLOCK or total >= BLOCK_GRAMS:
                     yield flush()
                     block += 1
-                    held, docs, total = {}, 0, 0
+                    ids, held, total = [], [], 0
         if held:
             yield flush()
 
     return run
 
 
+def _holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text, lower case of the text, list of (nid, needle, whether the lower case is meant) -> id and the nids of needles that it holds."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):
+            batch = whole.slice(start, 512)
+            lists = batch.column(3)
+            flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            texts, lower = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found = [needle in (lower if either else texts)[at] for at, needle, either in zip(owner.tolist(), flat.field(1).to_pylist(), flat.field(2).to_pylist())]
+            mask = np.array(found, bool)
+            cuts = np.append(0, np.cumsum(np.bincount(owner[mask], minlength=len(lists)))).astype(np.int32)
+            nids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.field(0).to_numpy()[mask]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), nids], names=["id", "nids"])
+
+
 def _needles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """nid, needle -> a row for each gram, or the beginning of grams (``short``) that stands for a short needle."""
     for batch in batches:
@@ -151,8 +194,13 @@ class SubstringIndex:
         needles = written(distinct.withColumn("nid", F.monotonically_increasing_id()), "needles")
         with shuffles_dropped(self.spark):
             found = written(self.candidates(needles, rarest), "substring-candidates")
-        lower = lambda c: F.when(F.col("__either"), F.lower(c)).otherwise(F.col(c))
-        texts = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
-        places = found.join(needles, "nid").withColumnRenamed("id", "__doc")
-        held = texts.join(places, "__doc").where(F.contains(lower("__text"), lower("needle"))).select(F.col(id_col).alias("__id"), "needle", "__either")
-        return named.join(held, ["needle", "__either"]).select(item_col, F.col("__id").alias(id_col))
+        # a text meets its candidates once, in groups of so many needles at most on average, and its lower case is made once for each
+        groups = max(1, -(-needles.count() // TOGETHER))
+        meant = F.struct("nid", F.when(F.col("__either"), F.lower("needle")).otherwise(F.col("needle")).alias("needle"), F.col("__either").alias("either"))
+        together = found.join(needles, "nid").groupBy(F.col("id").alias("__doc"), F.pmod(F.xxhash64("nid"), F.lit(groups)).alias("__group")).agg(F.collect_list(meant).alias("__needles"))
+        texts = docs.select(F.col(id_col).alias("__id"), F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text")).where("__text IS NOT NULL")
+        lower = F.when(F.exists("__needles", lambda n: n["either"]), F.lower("__text"))
+        met = texts.join(together, "__doc").select(F.col("__id").alias("id"), "__text", lower.alias("__lower"), "__needles")
+        held = met.mapInArrow(_holds, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("nids", T.ArrayType(T.LongType()))]))
+        held = held.select(F.col("id").alias("__id"), F.explode("nids").alias("nid"))
+        return named.join(needles, ["needle", "__either"]).select(item_col, "nid").join(held, "nid").select(item_col, F.col("__id").alias(id_col))

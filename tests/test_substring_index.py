@@ -51,3 +51,15 @@ def test_nothing_indexed(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, item string")
     assert SubstringIndex(spark).search(docs, items).isEmpty() and SubstringIndex(spark).add(docs).search(docs, items).isEmpty()
+
+
+def test_a_text_meets_its_needles_once(spark):
+    """Many short needles in every text: a row for each text is compared, not one for each pair with its own lower case."""
+    docs = spark.createDataFrame([(i, "ABCDEFGH İς " * 3) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(n, c) for n, c in enumerate("abcdefghABCDEFGH ")], "item_id long, item string")
+    found = SubstringIndex(spark).add(docs).search(docs, items, ignore_case=F.col("item_id") < 8)
+    assert found.count() == 40 * 17
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Contains" not in plan and plan.count("MapInArrow") >= 1
+    one = SubstringIndex(spark).add(docs.withColumn("doc_id", F.col("doc_id").cast("int"))).search(docs.withColumn("doc_id", F.col("doc_id").cast("int")), items)
+    assert dict(one.dtypes)["doc_id"] == "int" and one.count() == 40 * 9
