@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from millrace.session import ship
 
+#: Lines taken from a batch at once; records and characters of a batch that is given out.
+LINES, RECORDS, CHARACTERS = 256, 4096, 1 << 22
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 _QUOTED = re.compile(r'[^"]*(?:""[^"]*)*')
 _CLOSED = re.compile(r'"[\x00-\x20]*(?=,|$)')
@@ -58,11 +60,14 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
     """(file, start) and its lines, for one range after the other."""
     seen = None
     for batch in batches:
-        for file, start, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if (file, start) != seen:
-                seen = (file, start)
-                yield seen, None
-            yield None, line
+        # a few lines at once as Python's strings: a batch counts rows, and lines may be long
+        for at in range(0, batch.num_rows, LINES):
+            few = batch.slice(at, LINES)
+            for file, start, line in zip(*(few.column(i).to_pylist() for i in range(3))):
+                if (file, start) != seen:
+                    seen = (file, start)
+                    yield seen, None
+                yield None, line
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +98,15 @@ def _records(ranges: dict[tuple[str, int], tuple[int, int | None]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        size = 0
         file, number, owner, at, lines, within = "", 0, None, 0, [], False
 
         def flush(goes_on: bool) -> None:
-            nonlocal at, lines, owner
+            nonlocal at, lines, owner, size
             if lines:
                 begun = number if owner is None else owner
                 out.append((file, begun, number, begun << 33 | (at if owner is None else (1 << 33) - 1), owner is None and not goes_on, "\n".join(lines)))
-                at += 1
+                at, size = at + 1, size + len(out[-1][5])
             lines, owner = [], None
 
         def batch_of() -> pa.RecordBatch:
@@ -118,9 +124,10 @@ def _records(ranges: dict[tuple[str, int], tuple[int, int | None]]):
             within = ends_within(line, within)
             if not within:
                 flush(False)
-                if len(out) >= 4096:
+                if len(out) >= RECORDS or size >= CHARACTERS:
                     yield batch_of()
                     out.clear()
+                    size = 0
         flush(within)
         yield batch_of()
 

@@ -63,3 +63,14 @@ def test_files_of_a_folder_each_have_a_header(spark, tmp_path, small_ranges):
 @pytest.mark.parametrize("line, within, after", [('a,b', False, False), ('a,"b', False, True), ('b",c', True, False), ('b""', True, True), ('5" disk', False, False), ('x"y,"z', True, True), ("", True, True)])
 def test_lines(line, within, after):
     assert split_csv.ends_within(line, within) is after
+
+
+def test_batches_are_bounded_by_characters():
+    """Long records are given out in small batches, though they are fewer than a batch may have."""
+    import pyarrow as pa
+
+    text = "x" * 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 2000), pa.array([0] * 2000), pa.array([text] * 2000)], names=["file", "start", "line"])
+    out = list(split_csv._records({("f", 0): (0, None)})(iter([batch])))
+    assert sum(b.num_rows for b in out) == 2000 and max(b.nbytes for b in out) < 5_000_000
+    assert [at for b in out for at in b.column(3).to_pylist()] == list(range(2000))
