@@ -70,6 +70,23 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark, weighting):
     assert got == sorted(map(tuple, scan(docs, queries, 5).select("query_id", "doc_id", "score", "rank").collect()))
 
 
+@pytest.mark.parametrize("weighting", [DOT, BM25])
+def test_what_a_search_shuffles_follows_the_wanted_postings(spark, weighting):
+    """Most words are in no query: their postings stay where they are, and four times the documents are four times the rows."""
+    queries = spark.createDataFrame([(q, f"w{q % 8} w{q * 3 % 8} w{q * 5 % 8}") for q in range(20)], "query_id long, text string")
+    rows = []
+    for n in (250, 1000):
+        docs = spark.createDataFrame([(i, " ".join([f"w{i * (j + 3) % 8}" for j in range(6)] + [f"o{i}x{j}" for j in range(40)])) for i in range(n)], "doc_id long, text string")
+        index = LexicalIndex(spark, block=25).add(docs.coalesce(1))
+        before = shuffled_rows(spark)
+        got = sorted(map(tuple, index.search(queries, 5, weighting).collect()))
+        rows.append(shuffled_rows(spark) - before)
+        scan = search.sparse_top_k if weighting.plain else search.bm25_top_k
+        assert got == sorted(map(tuple, scan(docs, queries, 5).select("query_id", "doc_id", "score", "rank").collect()))
+        assert rows[-1] < 40 * n / 4
+    assert rows[1] <= 4 * rows[0]
+
+
 def test_ids_of_an_index_are_new_and_not_null(spark, tmp_path):
     index = LexicalIndex(spark, str(tmp_path / "index")).add(texts(spark, 10))
     for odd in ([(3, "again")], [(None, "no id")], [(70, "twice"), (70, "twice")]):
