@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import documents
 
-from millrace.llm import queries, suffix_dedup
+from millrace.llm import queries, ranking, suffix_dedup
 from tests import oracle
 
 
@@ -77,6 +78,33 @@ def test_samples_do_not_depend_on_slices(monkeypatch):
     assert whole[0][0] == 0 and whole[0][-1] == len(text) - 273 and np.diff(whole[0]).max() <= 128
 
 
+@pytest.mark.parametrize("length, k", [(400, 273), (24, 13), (9, 9)])
+def test_short_texts_are_hashed_together(length, k, monkeypatch):
+    """As many hashings as there are bundles of texts, and the samples of each text alone."""
+    rng = random.Random(k)
+    texts = ["".join(rng.choices("abc"[: rng.randint(1, 3)], k=rng.randint(0, 4 * length))) for _ in range(200)]
+    texts += [texts[-1]] * 3 + ["a" * length, "b" * (suffix_dedup._TOGETHER + 1), "a" * (length - 1), ""]
+    alone, times, minima = [], [], suffix_dedup.minima_of
+    for t in texts:
+        found = suffix_dedup.samples(np.frombuffer(t.encode(), np.uint8), length, k) if len(t) >= length else None
+        alone.append([] if found is None else list(zip(*(x.tolist() for x in (found[0], *suffix_dedup.needed(found[0], len(t), length, k), found[1].view(np.int64), found[2].view(np.int64))))))
+    monkeypatch.setattr(suffix_dedup, "minima_of", lambda *a: times.append(1) or minima(*a))
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    (out,) = suffix_dedup._scan(length, k)(iter([batch]))
+    assert len(times) <= 2 * sum(map(len, texts)) // suffix_dedup._TOGETHER + 3
+    assert [[tuple(s.values()) for s in row] for row in out.column("samples").to_pylist()] == alone
+
+
+def test_few_rounds(spark, monkeypatch):
+    """A string of many samples is ranked in as many sorts as its number of samples has digits to the base 4."""
+    labels, put = [], ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, label, *a: labels.append(label) or put(df, label, *a))
+    texts = ["a" * 120, letters(200, 5) + "a" * 120]
+    assert got(spark, texts, length=40, k=27) == plain(texts, 40)
+    # the strings hold 14 samples: of one, 4 and 16 samples, and the strings near ends
+    assert len(labels) <= 4
+
+
 def test_odd_rows(odd, empty):
     found = suffix_dedup.suffix_dedup(odd).collect()
     assert len(found) == 10
